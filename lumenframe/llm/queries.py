@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, token_counts
-from lumenframe.llm.tables import table
+from lumenframe.llm import ann, bpe, decontam, langid, quality, token_counts, urls, warc
+from lumenframe.llm.tables import cut, table
 
 
 def tokenizer(name: str) -> str:
@@ -48,9 +48,67 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+#: The rules of the url filter's query.
+URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges every url; a page is labelled by the document whose number its path holds."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
+    number = F.expr("try_cast(regexp_extract(url, '/([0-9]{1,18})', 1) as bigint)")
+    labelled = pages.withColumn("n", number).join(marks, F.col("n") == F.col("doc_id"), "left").select("page_id", "url", "bad")
+    return urls.judge(labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows to each row whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it contains."""
+    small_batches(spark)
+    return decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every text; a fifth of the labels is held out."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(langid.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
+    marks = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.fit(docs.filter(~F.col("held_out")).join(marks, "doc_id"))
+    return quality.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page to archives in the shared folder, and reads them back."""
+    small_batches(spark)
+    archives = cut(warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+PIECES = "piece_bpe_32k.model"
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicts the language of every text; a quarter of the rows is held out."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(langid.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
+    model = langid.fit(docs.filter(~F.col("held_out")), tokenizer(PIECES))
+    return langid.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_bpe": op2_bpe,
+    "op3_ann": op3_ann,
+    "op4_decontamination": op4_decontamination,
+    "op6_quality": op6_quality,
     "op8_token_counts": op8_token_counts,
+    "op9_warc": op9_warc,
+    "op10_language": op10_language,
 }
 
 #: Queries that DuckDB can express over whole tables.
