@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import ann, bpe, decontam, langid, quality, token_counts, urls, warc
+from lumenframe.llm import ann, bpe, decontam, langid, ngram_join, quality, suffix_dedup, token_counts, urls, warc
 from lumenframe.llm.tables import cut, table
 
 
@@ -39,6 +39,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linked groups of documents whose sets of three-word shingles have a Jaccard index of 0.9."""
+    small_batches(spark)
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts the tokens of every text against a budget of 2048."""
     small_batches(spark)
@@ -73,6 +79,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes every repeated string of 200 bytes."""
+    small_batches(spark)
+    done = suffix_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return done.select("doc_id", (F.octet_length("kept") + gone).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every text; a fifth of the labels is held out."""
     small_batches(spark)
@@ -105,7 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_ann": op3_ann,
     "op4_decontamination": op4_decontamination,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality": op6_quality,
+    "op7_ngram_join": op7_ngram_join,
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
