@@ -360,10 +360,10 @@ def covered(starts: list[dict[str, int]] | None, length: int) -> list[tuple[int,
     return [(a, b) for a, b in out]
 
 
-def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", kept: str = "kept", spans: str = "spans") -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", kept: str = "kept", spans: str = "spans", as_text: bool = False) -> DataFrame:
     """Adds kept, the remaining bytes, and spans, the removed stretches, to every row of docs.
 
-    All other columns stay; columns that have those names are replaced.
+    With as_text, kept is a string without characters of which only some bytes are left.  All other columns stay; columns that have those names are replaced.
     """
     keep = [c for c in docs.columns if c.lower() not in (kept.lower(), spans.lower())]
     rows = docs.select(*keep).withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
@@ -371,7 +371,7 @@ def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str =
     found = repeated_windows(plain, length).select(F.col("doc_id").alias("_k"), F.col("h").alias("_g"), F.col("spans").alias("_s"))
     joined = rows.join(found, F.col(key).cast("long").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g")), "left").drop("_k", "_g", "_h")
     pair = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([f for f in docs.schema.fields if f.name in keep] + [T.StructField(kept, T.BinaryType()), T.StructField(spans, T.ArrayType(pair))])
+    schema = T.StructType([f for f in docs.schema.fields if f.name in keep] + [T.StructField(kept, T.StringType() if as_text else T.BinaryType()), T.StructField(spans, T.ArrayType(pair))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, text):
@@ -382,6 +382,6 @@ def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str =
                 left.append(b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
                 gone.append([{"start": a, "end": b} for a, b in stretches])
             kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(left, pa.binary()), pa.array(gone, kinds)], names=[*keep, kept, spans])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()) if as_text else pa.array(left, pa.binary()), pa.array(gone, kinds)], names=[*keep, kept, spans])
 
     return joined.select(*keep, "_s").mapInArrow(run, schema)
