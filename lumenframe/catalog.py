@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from lumenframe.plans import pixel_queries  # noqa: F401
+from lumenframe.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "a05_pixel_sweep"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
