@@ -78,15 +78,15 @@ STACK_SQL = "stk AS (SELECT image_id, r, c FROM pxs WHERE (r + c) % 11 = 0)"
 
 def sky(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Sources before (customers) and after (suppliers): src_id, ra, dec in degrees."""
-    def place(name: str, key: str, step: int) -> DataFrame:
+    def place(name: str, key: str, step: int, up: int) -> DataFrame:
         k = F.col(key)
-        return table(spark, sf_dir, name).select(k.alias("src_id"), (150 + ((k * step) % 997) * 0.0002).alias("ra"), (2 + ((k * 31) % 499) * 0.0002).alias("dec"))
+        return table(spark, sf_dir, name).select(k.alias("src_id"), (150 + ((k * step) % 61) * 0.0002).alias("ra"), (2 + ((k * up) % 53) * 0.0002).alias("dec"))
 
-    return place("customer", "c_custkey", 17), place("supplier", "s_suppkey", 17)
+    return place("customer", "c_custkey", 17, 31), place("supplier", "s_suppkey", 23, 37)
 
 
-SKY_SQL = """pre AS (SELECT c_custkey AS src_id, 150 + ((c_custkey*17) % 997)*0.0002 AS ra, 2 + ((c_custkey*31) % 499)*0.0002 AS dec FROM customer),
-post AS (SELECT s_suppkey AS src_id, 150 + ((s_suppkey*17) % 997)*0.0002 AS ra, 2 + ((s_suppkey*31) % 499)*0.0002 AS dec FROM supplier)"""
+SKY_SQL = """pre AS (SELECT c_custkey AS src_id, 150 + ((c_custkey*17) % 61)*0.0002::DOUBLE AS ra, 2 + ((c_custkey*31) % 53)*0.0002::DOUBLE AS dec FROM customer),
+post AS (SELECT s_suppkey AS src_id, 150 + ((s_suppkey*23) % 61)*0.0002::DOUBLE AS ra, 2 + ((s_suppkey*37) % 53)*0.0002::DOUBLE AS dec FROM supplier)"""
 
 
 def ephemerides(spark: SparkSession, sf_dir: str) -> DataFrame:
