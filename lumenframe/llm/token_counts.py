@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lumenframe.llm.batches import chunked
-from lumenframe.llm.bpe import CACHE_WORDS, ODD_SPACE, PIECE, WORD_END, Recent, Vocabulary, _with_columns, merge, normalise, vocabulary
+from lumenframe.llm.bpe import CACHE_WORDS, ODD_SPACE, WORD_END, Recent, Vocabulary, _with_columns, merge, normalise, pieces_of, vocabulary
 
 
 class PrefixCounter:
@@ -88,7 +88,7 @@ class PrefixCounter:
     def prefixes(self, piece: str) -> list[int]:
         """Counts of the prefixes of a piece of 1, 2, ... characters, each as a text of its own."""
         if piece[0] == "'" and len(piece) > 1 and piece[1] != "'":  # a contraction; its prefixes split otherwise
-            return [sum(map(self.piece, PIECE.findall(piece[:k]))) for k in range(1, len(piece) + 1)]
+            return [sum(self.piece(m[0]) for m in pieces_of(piece[:k])) for k in range(1, len(piece) + 1)]
         raw = [c.encode("utf-8") for c in piece]
         symbols = "".join([self.vocab.byte_symbol[b] for c in raw for b in c])
         last, count = self.last_tokens(symbols)
@@ -97,7 +97,7 @@ class PrefixCounter:
     def word(self, word: str) -> int:
         known = self.words.get(word)
         if known is None:
-            known = sum(map(self.piece, PIECE.findall(word)))
+            known = sum(self.piece(m[0]) for m in pieces_of(word))
             if len(word) <= 64:
                 self.words.put(word, known)
         return known
@@ -132,7 +132,7 @@ class PrefixCounter:
                 ends.append(base + len(part))
                 counts.append(n)
             else:
-                for m in PIECE.finditer(part):
+                for m in pieces_of(part):
                     n += self.piece(m[0])
                     ends.append(base + m.end())
                     counts.append(n)
