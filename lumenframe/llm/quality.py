@@ -106,6 +106,21 @@ class Model:
         return self.forward(x, per)[0].astype(np.float64)
 
 
+def gradients(model: Model, x: np.ndarray, per: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss of these bags, for each weight."""
+    w = model.w
+    p, t = model.forward(x, per)
+    bag, a, h, z = t["bag"], t["a"], t["h"], t["z"]
+    dp = (p - y) / len(y)
+    dz = dp[:, None] * w["c"]
+    da = (dz[bag] * h).sum(axis=1)
+    de = a * (da - np.add.reduceat(a * da, t["first"])[bag])
+    gate = de[:, None] * w["w"]
+    dv, du = gate * t["u"] * (1 - t["v"] ** 2), gate * t["v"] * t["u"] * (1 - t["u"])
+    dh = (a[:, None] * dz[bag] + dv @ w["V"].T + du @ w["U"].T) * (1 - h**2)
+    return {"c": z.T @ dp, "d": np.array([dp.sum()]), "w": (t["v"] * t["u"]).T @ de, "V": h.T @ dv, "U": h.T @ du, "W": x.T @ dh, "b": dh.sum(axis=0)}
+
+
 def fit_bags(x: np.ndarray, per: np.ndarray, y: np.ndarray) -> Model:
     """Minimises the log loss of bags by Adam on mini-batches."""
     rng = np.random.default_rng(SEED)
@@ -123,16 +138,7 @@ def fit_bags(x: np.ndarray, per: np.ndarray, y: np.ndarray) -> Model:
             take = order[lo : lo + BATCH]
             rows = np.concatenate([np.arange(start[i], start[i + 1]) for i in take])
             xb = x[rows]
-            p, t = model.forward(xb, per[take])
-            bag, a, h, z = t["bag"], t["a"], t["h"], t["z"]
-            dp = (p - y[take]) / len(take)
-            dz = dp[:, None] * w["c"]
-            da = (dz[bag] * h).sum(axis=1)
-            de = a * (da - np.add.reduceat(a * da, t["first"])[bag])
-            gate = de[:, None] * w["w"]
-            dv, du = gate * t["u"] * (1 - t["v"] ** 2), gate * t["v"] * t["u"] * (1 - t["u"])
-            dh = (a[:, None] * dz[bag] + dv @ w["V"].T + du @ w["U"].T) * (1 - h**2)
-            g = {"c": z.T @ dp, "d": np.array([dp.sum()]), "w": (t["v"] * t["u"]).T @ de, "V": h.T @ dv, "U": h.T @ du, "W": xb.T @ dh, "b": dh.sum(axis=0)}
+            g = gradients(model, xb, per[take], y[take])
             step += 1
             for k, v in w.items():
                 grad = (g[k] + DECAY * v).astype(np.float32)
