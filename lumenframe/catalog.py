@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.plans import catalog_queries, object_queries, pixel_queries  # noqa: F401
+from lumenframe.plans import catalog_queries, object_queries, pixel_queries, raster_queries  # noqa: F401
 from lumenframe.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "a05_pixel_sweep"
