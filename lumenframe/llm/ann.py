@@ -4,10 +4,11 @@ A vector is approximated by a sum of one full-dimensional word from each of BOOK
 to residuals in turn on a bounded sample; encoding is a beam search over the books.  With the codes
 goes one stored number, the ratio of the vector's norm to that of its approximation.  A query makes a
 table of its inner products with all words; a candidate's score is the sum of BOOKS table entries
-times its ratio.  The SHORT best candidates are ranked again by exact double-precision products.
+times its ratio.  The SHORT best candidates of a block are ranked again by exact double-precision products.
 
 Queries and codes meet in blocks: every query block goes to every code block (a stated query set
-against all rows), each pair of blocks keeps SHORT candidates of a query, and one window merges them.
+against all rows), and each pair of blocks keeps SHORT candidates of a query, so the share of rows that
+are ranked exactly doesn't fall as the table grows.
 
 Vectors that are null, zero, or hold null or non-finite components take no part.  Equal scores go
 to the smaller id.  With fewer than `top` candidates all are returned.
@@ -24,12 +25,13 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.tables import cut
 
-BOOKS, WORDS = 8, 256
+BOOKS, WORDS = 32, 256
 SAMPLE_ROWS = 12_000
 ITERATIONS = 8
-BEAM = 6
+BEAM = 3
+#: Candidates of a query that are ranked exactly, from each block of codes.
 SHORT = 150
-QUERY_BLOCK, CODE_BLOCK = 256, 32_768
+QUERY_BLOCK, CODE_BLOCK = 256, 65_536
 SEED = 5
 
 
@@ -144,9 +146,6 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, key: str = "ve
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float32())], names=["query_id", "vec_id", "near"])
 
     short = pairs.repartition(min(query_blocks * code_blocks, 4096), "qb", "cb").mapInArrow(meet, out)
-    if code_blocks > 1:
-        best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-        short = short.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= SHORT).drop("r")
     exact = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     scored = short.select("query_id", "vec_id").join(asked, "query_id").join(good, "vec_id").select("query_id", "vec_id", exact.alias("score"))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
