@@ -15,19 +15,19 @@ def first_k(df: DataFrame, order: Column, key: str, k: int) -> DataFrame:
     return df.withColumn("_o", order).orderBy("_o", key).limit(k).drop("_o")
 
 
-def numbered(df: DataFrame, order: Column, key: str, name: str) -> DataFrame:
-    """Adds 0, 1, ... in shuffle order, by counts of ranges: no single task sorts everything.
+def numbered(df: DataFrame, order: Column, key: str, name: str, by: str | None = None) -> DataFrame:
+    """Adds 0, 1, ... in order, within each value of `by` if there is one; no task sorts everything.
 
     The key space of order is cut into ranges; rows are numbered in their range and moved by the
     rows of all lower ranges.
     """
-    width = 1 << 21
+    width, group = 1 << 21, [by] if by else []
     rows = df.withColumn("_o", order).withColumn("_b", F.floor(F.col("_o") / width))
-    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    place = F.row_number().over(Window.partitionBy("_b").orderBy("_o", key)) - 1
-    return rows.withColumn("_p", place).join(F.broadcast(base), "_b").withColumn(name, F.col("_p") + F.col("_base")).drop("_o", "_b", "_p", "_base")
+    sizes = rows.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_o", key)) - 1
+    return rows.withColumn("_p", place).join(base, [*group, "_b"]).withColumn(name, F.col("_p") + F.col("_base")).drop("_o", "_b", "_p", "_base")
 
 
 def filter_until(df: DataFrame, order: Column, key: str, valid: Column, k: int, max_checks: int | None = None) -> DataFrame:
@@ -67,8 +67,7 @@ def mixture_counts(sizes: dict[str, int], fractions: dict[str, float], total: in
 def mixture(df: DataFrame, key: str, bucket: str, counts: dict[str, int], seed: int, epoch: int) -> DataFrame:
     """draw, bucket, key: draws with replacement; draw i of a bucket takes row hash(i) mod its size."""
     spark = df.sparkSession
-    order = Window.partitionBy(bucket).orderBy(key)
-    rows = df.select(key, F.col(bucket).alias("bucket"), (F.row_number().over(order) - 1).alias("_k")) if bucket != "bucket" else df.select(key, "bucket", (F.row_number().over(order) - 1).alias("_k"))
+    rows = numbered(df.select(key, F.col(bucket).alias("bucket")), F.col(key), key, "_k", "bucket")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("_n"))
     draws = None
     for name, n in sorted(counts.items()):
@@ -80,8 +79,8 @@ def mixture(df: DataFrame, key: str, bucket: str, counts: dict[str, int], seed:
 
 def cycle(df: DataFrame, key: str, n: int) -> DataFrame:
     """i, key: n items in order of key, again from the first after the last."""
-    rows = df.select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("_k"))
-    size = rows.count()
+    rows = numbered(df.select(key), F.col(key), key, "_k")
+    size = df.count()
     return df.sparkSession.range(n).select(F.col("id").alias("i"), (F.col("id") % max(1, size)).alias("_k")).join(rows, "_k").select("i", key)
 
 
