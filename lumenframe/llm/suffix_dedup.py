@@ -323,9 +323,10 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     contexts = found.groupBy("fp", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("at"))
     contexts = cut(contexts)
     anchors = contexts.groupBy("fp").agg(F.count("*").alias("m"), F.sum((F.col("n") == 1).cast("int")).alias("single"))
+    anchors = cut(anchors.filter("m > 1 and single > 0").select("fp", "m"))  # written, so that the join below can split its large partitions
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("at.span") + 1).cast("int").alias("b")))
     twice = contexts.filter("n > 1").select("fp", "ctx", whole.alias("spans"))
-    open_ = contexts.join(anchors.filter("m > 1 and single > 0"), "fp").select("fp", "ctx", "n", "m", "at.*")
+    open_ = contexts.join(anchors, "fp").select("fp", "ctx", "n", "m", "at.*")
     wanted = open_.groupBy("doc_id", "h").agg(F.collect_list(F.struct("fp", "ctx", "n", "m", "lo", "span", "left")).alias("w"))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
