@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import ann, bpe, decontam, langid, ngram_join, quality, suffix_dedup, token_counts, urls, warc
+from lumenframe.llm import ann, bpe, decontam, langid, ngram_join, oracles, quality, suffix_dedup, token_counts, urls, warc
 from lumenframe.llm.tables import cut, table
 
 
@@ -128,4 +128,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Queries that DuckDB can express over whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op7_ngram_join": oracles.NGRAM_JOIN,
+    "op9_warc": oracles.WARC,
+}
