@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 #: Bytes of text that are handled at once; a single longer text is one chunk.
 CHUNK_BYTES = 1 << 21
 
+#: Bytes of one longer text whose arrays are held at once.
+PIECE_BYTES = 1 << 22
+
 U64 = np.uint64
 
 # ASCII separators of words (space and \x09-\x0D).
@@ -108,3 +111,25 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after[edges - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(offsets[1:], starts, side="right")
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the A-Z-folded words of all texts, and their text numbers.
+
+    A longer chunk (which is one text) goes in pieces that end at separators, so that only the
+    words' hashes grow with it.
+    """
+    if len(data) <= PIECE_BYTES or len(offsets) != 2:
+        starts, ends, of = word_spans(data, offsets)
+        return span_hashes(ASCII_LOWER[data], starts, ends), of
+    parts, at = [], 0
+    while at < len(data):
+        to = min(at + PIECE_BYTES, len(data))
+        while to < len(data) and not IS_SEPARATOR[data[to]]:
+            to += 1
+        part = data[at:to]
+        starts, ends, _ = word_spans(part, np.array([0, len(part)]))
+        parts.append(span_hashes(ASCII_LOWER[part], starts, ends))
+        at = to
+    hashes = np.concatenate(parts)
+    return hashes, np.zeros(len(hashes), dtype=np.int64)

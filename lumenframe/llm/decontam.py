@@ -37,6 +37,8 @@ FILTER_BITS = 22
 def squeeze(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes without white space, and the texts' offsets in them."""
     keep = ~IS_SEPARATOR[data]
+    if len(offsets) == 2:  # one text, which can be long
+        return ASCII_LOWER[data[keep]], np.array([0, np.count_nonzero(keep)])
     total = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum(keep, out=total[1:])
     return ASCII_LOWER[data[keep]], total[offsets]

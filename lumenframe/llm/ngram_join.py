@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.batches import ASCII_LOWER, chunked, mix, span_hashes, text_buffer, word_spans
+from lumenframe.llm.batches import chunked, mix, text_buffer, word_hashes
 from lumenframe.llm.graph import components
 from lumenframe.llm.tables import cut
 
@@ -41,11 +41,10 @@ QUARTER = U64(1 << 62)
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct n-gram hashes of all texts, and the offsets of each text's."""
     data, offsets = text_buffer(column)
-    starts, ends, of = word_spans(data, offsets)
+    words, of = word_hashes(data, offsets)
     texts = len(offsets) - 1
-    if len(starts) == 0:
+    if len(words) == 0:
         return np.zeros(0, dtype=U64), np.zeros(texts + 1, dtype=np.int64)
-    words = span_hashes(ASCII_LOWER[data], starts, ends)
     per = np.bincount(of, minlength=texts)
     width = np.minimum(per, n)[of]  # a text of fewer words is one gram
     first = np.concatenate([[0], np.cumsum(per)[:-1]])

@@ -45,9 +45,20 @@ BYTE_CLASS = _byte_classes()
 FEATURES = CLASSES * CLASSES + 4
 
 
+#: Bytes of one longer text that are encoded at once; each such piece ends like a text.
+PIECE = 2048 * PASSAGE
+
+
 def encode_passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages of a column, and the number of passages of each text (one at least)."""
     data, offsets = text_buffer(column)
+    if len(column) == 1 and len(data) > PIECE:
+        parts = [_features(data[at : at + PIECE], np.array([0, len(data[at : at + PIECE])]))[0] for at in range(0, len(data), PIECE)]
+        return np.vstack(parts), np.array([sum(map(len, parts))])
+    return _features(data, offsets)
+
+
+def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.diff(offsets)
     per = np.maximum(1, -(-lengths // PASSAGE))
     first = np.concatenate([[0], np.cumsum(per)])

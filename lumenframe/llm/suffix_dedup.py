@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenframe.llm import batches
 from lumenframe.llm.batches import chunked, span_hashes, text_buffer
 from lumenframe.llm.tables import cut, workers
 
@@ -78,6 +79,21 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     return h[p], context, text, lo - offsets[text], hi - lo, p - lo
 
 
+def runs_of_chunk(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """runs(); a longer chunk, which is one text, goes in pieces that share length - 1 bytes.
+
+    A run that is cut gives two contexts of the same anchor, with disjoint windows.
+    """
+    if len(data) <= batches.PIECE_BYTES or len(offsets) != 2:
+        return runs(data, offsets, length)
+    parts = []
+    for at in range(0, len(data) - length + 1, batches.PIECE_BYTES):
+        piece = data[at : at + batches.PIECE_BYTES + length - 1]
+        fp, ctx, text, lo, span, left = runs(piece, np.array([0, len(piece)]), length)
+        parts.append((fp, ctx, text, lo + at, span, left))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def suffix_array(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, order of all suffixes by at least depth bytes, number of bytes left at each, and string of each.
 
@@ -162,7 +178,7 @@ ANCHORS = {"fp": "<u8", "ctx": "<u8", "at": "<i4", "lo": "<i8", "span": "<i2", "
 def blocks(docs: DataFrame, length: int) -> DataFrame:
     """A row for each block of texts: keys, text hashes, and the packed runs of all its texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base, seq = TaskContext.get().partitionId() << 24, 0
@@ -172,9 +188,9 @@ def blocks(docs: DataFrame, length: int) -> DataFrame:
             columns = [_bytes_of([h[k] for h in held], kind) for k, kind in enumerate(ANCHORS.values())]
             return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), pa.array([[i for part in ids for i in part]], pa.list_(pa.int64())), pa.array([[i for part in hashes for i in part]], pa.list_(pa.int64())), *[pa.array([c], pa.binary()) for c in columns]], names=["block", "ids", "hashes", *ANCHORS])
 
-        for batch in chunked(batches, "text"):
+        for batch in chunked(rows, "text"):
             data, offsets = text_buffer(batch.column("text"))
-            fp, ctx, text, lo, span, left = runs(data, offsets, length)
+            fp, ctx, text, lo, span, left = runs_of_chunk(data, offsets, length)
             held.append((fp, ctx, text + texts, lo, span, left))
             ids.append(batch.column("doc_id").to_pylist())
             hashes.append(batch.column("h").to_pylist())
@@ -253,7 +269,7 @@ def transform(rows: DataFrame, length: int) -> DataFrame:
 
     Only windows of one unit can be equal, and a unit's rows are in one batch.
     """
-    batches = max(1, -(-rows.count() // BATCH))
+    parts = max(1, -(-rows.count() // BATCH))
 
     def run(table: pa.Table) -> pa.Table:
         strings = table.column("bytes").to_pylist()
@@ -262,7 +278,7 @@ def transform(rows: DataFrame, length: int) -> DataFrame:
         spans = [_stretches(part) for part in np.split(flags, cuts)]
         return pa.table([table.column("unit"), table.column("s"), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["unit", "s", "spans"])
 
-    dealt = rows.select("unit", "s", "bytes", F.pmod(F.xxhash64("unit"), F.lit(batches)).alias("batch"))
+    dealt = rows.select("unit", "s", "bytes", F.pmod(F.xxhash64("unit"), F.lit(parts)).alias("batch"))
     return dealt.groupBy("batch").applyInArrow(run, f"unit long, s long, spans {SPANS}").filter(F.size("spans") > 0)
 
 

@@ -141,3 +141,21 @@ def test_transform_against_counts():
         n = Counter(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
         want = [i + length <= len(s) and n[s[i : i + length]] > 1 for s in strings for i in range(len(s))]
         assert suffix_dedup.repeats(strings, length).tolist() == want
+
+
+def test_long_texts_in_pieces_give_the_same(monkeypatch):
+    import pyarrow as pa
+
+    from lumenframe.llm import batches
+
+    rng = random.Random(9)
+    text = " ".join(rng.choice(["Ab", "b", "cdé", "e" * 40]) for _ in range(4000))
+    whole = ngram_join.shingle_sets(pa.array([text]), 3)
+    data, offsets = batches.text_buffer(pa.array([text]))
+    first = suffix_dedup.runs_of_chunk(data, offsets, 60)
+    monkeypatch.setattr(batches, "PIECE_BYTES", 1000)
+    cut = ngram_join.shingle_sets(pa.array([text]), 3)
+    assert np.array_equal(whole[0], cut[0]) and np.array_equal(whole[1], cut[1])
+    second = suffix_dedup.runs_of_chunk(data, offsets, 60)
+    spread = lambda r: sorted((int(lo) + k, int(fp), int(left) - k) for fp, _, _, lo, span, left in zip(*r, strict=True) for k in range(int(span) + 1))
+    assert spread(first) == spread(second)
