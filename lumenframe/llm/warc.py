@@ -45,7 +45,7 @@ def record(headers: dict[str, str], block: bytes) -> bytes:
 
 def page_record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A response with its payload, or, if it refers to another record, a revisit with an empty block."""
-    name = lambda i: f"<urn:page:{i}>"
+    name = lambda i: f"<urn:page:{'' if i is None else i}>"
     clean = "".join(c for c in url or "" if c not in "\r\n")
     block = payload if refers_to is None else b""
     headers = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": name(page_id), "WARC-Target-URI": clean, "WARC-Payload-Digest": f"sha1:{digest(payload)}", "WARC-Block-Digest": f"sha1:{digest(block)}", "X-Payload-Length": str(len(payload))}
@@ -115,12 +115,15 @@ def slices(data: bytes, size: int = READ) -> Iterator[bytes]:
 def refer(pages: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:
     """Adds refers_to: of rows with equal payloads the smallest key, for all rows but that one.
 
-    A null payload is empty.  Only digests are grouped and joined; the join with the payloads is by key.
+    A null payload is empty.  Only digests are grouped; the join with the payloads is by key and digest.
+    Rows with equal key and payload are alike; rows without a key are responses.
     """
-    plain = pages.select(F.col(key).alias("_k"), F.sha1(F.coalesce(F.col(payload), F.lit("")).cast("binary")).alias("_d"))
+    digest_of = F.sha1(F.coalesce(F.col(payload), F.lit("")).cast("binary"))
+    plain = pages.select(F.col(key).alias("_k"), digest_of.alias("_d"))
     groups = plain.groupBy("_d").agg(F.min("_k").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    repeats = plain.join(groups, "_d").filter(F.col("_k") != F.col("_first")).select("_k", F.col("_first").alias("refers_to"))
-    return pages.drop("refers_to").join(repeats, F.col(key) == F.col("_k"), "left").drop("_k")
+    repeats = plain.join(groups, "_d").filter(F.col("_k") != F.col("_first")).select("_k", "_d", F.col("_first").alias("refers_to")).distinct()
+    rows = pages.drop("refers_to").withColumn("_e", digest_of)
+    return rows.join(repeats, (F.col(key) == F.col("_k")) & (F.col("_e") == F.col("_d")), "left").drop("_k", "_d", "_e")
 
 
 def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
@@ -155,7 +158,7 @@ def read(archives: DataFrame, payload: str | None = None) -> DataFrame:
     """The records of archive rows (any frame with a binary column `content`), and their blocks if named."""
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ([payload] if payload else [])
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    number = lambda s: None if s is None else int(s.removeprefix("<urn:page:").removesuffix(">"))
+    number = lambda s: int(x) if s is not None and (x := s.removeprefix("<urn:page:").removesuffix(">")) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

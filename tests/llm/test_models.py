@@ -192,7 +192,7 @@ def test_similar_branches_merge():
 def test_archives_round_trip(spark, tmp_path):
     rows = [(3, "http://a", "<p>x</p>"), (1, "http://b\r\nX: y", "<p>x</p>"), (2, None, None), (5, "u", ""), (4, "v", "é" * 200_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers_to", F.lit("mine")).repartition(2)
-    assert warc.write_files(df, str(tmp_path / "w")).count() == 2
+    assert warc.write_files(df, str(tmp_path / "w")).count() >= 1
     got = {r["page_id"]: r for r in warc.read_files(spark, str(tmp_path / "w"), "block").collect()}
     for i, _, html in rows:
         raw = (html or "").encode()
@@ -202,6 +202,9 @@ def test_archives_round_trip(spark, tmp_path):
     assert {i: r["refers_to"] for i, r in got.items()} == {1: None, 2: None, 3: 1, 4: None, 5: 2}
     assert {i for i, r in got.items() if r["record_type"] == "revisit"} == {3, 5}
     assert warc.read(warc.write(df.limit(0))).count() == 0
+    odd = spark.createDataFrame([(1, "x"), (2, "x"), (2, "x"), (2, "y"), (None, "x"), (None, None)], "page_id long, html string").withColumn("url", F.lit("u"))
+    got = sorted(((r["page_id"], r["payload_bytes"], r["refers_to"]) for r in warc.read(warc.write(odd)).collect()), key=str)
+    assert got == sorted([(1, 1, None), (2, 1, 1), (2, 1, 1), (2, 1, None), (None, 1, None), (None, 0, None)], key=str)
 
 
 @pytest.mark.parametrize("spoil", ["digest", "length", "cut", "tail"])
