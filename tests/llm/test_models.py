@@ -11,6 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from llm_brute import edits
+
 from lumenframe.llm import ann, decontam, langid, quality, urls, warc
 from lumenframe.llm.queries import PIECES, URL_RULES, tokenizer
 
@@ -102,17 +104,6 @@ def test_passages_of_empty_and_long_texts():
 
 # Decontamination
 
-def edits(a, b):
-    """Least edits from a to any stretch of b."""
-    row = [0] * (len(b) + 1)
-    for i, c in enumerate(a, 1):
-        new = [i]
-        for j, d in enumerate(b, 1):
-            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[j - 1] + 1))
-        row = new
-    return min(row)
-
-
 def test_planted_items_are_found(spark):
     rng = random.Random(3)
     prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 8))) for _ in range(n))
