@@ -5,8 +5,9 @@ A document's set holds the hashes of its distinct word n-grams.  Two documents l
 
 1. Equal sets become one (by two sums of mixed hashes and the size); links join distinct sets.
 2. A set of n grams can lack at most miss = n - ceil(n * PERCENT / 100) grams of its partner, so a set
-   with more than `miss` grams that no other set has can't link.  This is tested on the fixed
-   quarter of the grams whose hashes are smallest: of those, too, at most `miss` may be unshared.
+   with more than `miss` grams that no other set has can't link.  This is tested first on the fixed
+   quarter of the grams whose hashes are smallest, of which at most `miss` may be unshared too,
+   and then, for the sets that are left, on all grams.
 3. Grams are ordered from rare to frequent.  Linked sets share one of their first miss + 1 grams,
    so the sets are put into buckets: the connected components of sharing such a gram.
 4. In a bucket the sets, now ordered from frequent to rare, are stored in a compressed trie.  Each set
@@ -206,10 +207,13 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
 
 def link(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that join exactly the linked sets of rows (id, n, grams)."""
+    miss = F.col("n") - F.ceil(F.col("n") * percent / 100)
     sets = cut(sets)
+    # The same test as on the quarter, now on all grams: only sets that can link are ordered below.
+    alone = sets.select("id", F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"), F.min("id").alias("id")).filter("df = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    sets = cut(sets.join(alone, "id", "left").filter(F.coalesce("alone", F.lit(0)) <= miss).drop("alone"))
     spread = sets.select("id", "n", F.explode("grams").alias("g"))
     often = spread.groupBy("g").agg(F.count("*").alias("df"))
-    miss = F.col("n") - F.ceil(F.col("n") * percent / 100)
     ordered = spread.join(often, "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
     first = ordered.select("id", F.explode(F.slice("o", F.lit(1), (miss + 1).cast("int"))).alias("p")).filter("p.df > 1").select("id", F.col("p.g").alias("g"))
     first = cut(first)
