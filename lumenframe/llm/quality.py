@@ -160,11 +160,15 @@ def fit_bags(x: np.ndarray, per: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id") -> Model:
-    """Fits on the SAMPLE_ROWS labelled rows that come first in hash order of key."""
-    rows = labelled.filter(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("double").alias("y"))
-    first = rows.select("k", "y", F.xxhash64("k").alias("h")).orderBy("h", "k", "y").limit(SAMPLE_ROWS).select("k").distinct()
-    sample = rows.join(F.broadcast(first), "k", "left_semi")  # SAMPLE_ROWS keys
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id") -> Model:
+    """Fits on the SAMPLE_ROWS labelled rows of docs that come first in hash order of key.
+
+    The rows are chosen by keys alone; only the chosen ones' texts are read.
+    """
+    marks = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("double").alias("y"))
+    known = marks.join(docs.select(F.col(key).alias("k")), "k", "left_semi")
+    first = known.select("k", "y", F.xxhash64("k").alias("h")).orderBy("h", "k", "y").limit(SAMPLE_ROWS).select("k", "y")
+    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(first), "k")  # SAMPLE_ROWS keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, "t"):

@@ -92,7 +92,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(langid.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
     marks = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.fit(docs.filter(~F.col("held_out")).join(marks, "doc_id"))
+    model = quality.fit(docs.filter(~F.col("held_out")), marks)
     return quality.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -66,12 +66,12 @@ def test_quality_learns_from_bags(spark):
     bad = lambda n: " ".join(word().upper() + "!!" for _ in range(n))
     rows = [(i, good(rng.randint(20, 400)) + (bad(100) if i % 4 == 0 else ""), int(i % 4 != 0)) for i in range(600)]
     df = spark.createDataFrame([*rows, (900, None, 1), (901, "", None)], "doc_id long, text string, quality int")
-    model = quality.fit(df.filter("doc_id % 3 > 0"))
+    model = quality.fit(df.filter("doc_id % 3 > 0"), df)
     got = quality.score(df, model).filter("doc_id % 3 = 0 and doc_id < 600").collect()
     assert np.mean([(r["score"] >= 0.3) == bool(r["quality"]) for r in got]) > 0.9
     odd = quality.score(df.filter("doc_id >= 900"), model).collect()
     assert len(odd) == 2 and all(0 <= r["score"] <= 1 for r in odd)
-    assert quality.score(df.limit(0), quality.fit(df.limit(0))).count() == 0
+    assert quality.score(df.limit(0), quality.fit(df.limit(0), df)).count() == 0
 
 
 def test_gradients_of_attention_by_differences():
