@@ -4,8 +4,9 @@ A document's set holds the hashes of its distinct word n-grams.  Two documents l
 100 * intersection >= PERCENT * union.  All of the steps below keep every link:
 
 1. Equal sets become one (by two sums of mixed hashes and the size); links join distinct sets.
-2. A set of n grams can lack at most miss = n - ceil(n * PERCENT / 100) grams of its partner, so a set
-   with more than `miss` grams that no other set has can't link.  This is tested first on the fixed
+2. The Jaccard index of a set of n grams with another set is at most n / (n + 1), so a set for which that
+   is too little can't link.  It can lack at most miss = n - ceil(n * PERCENT / 100) grams of its partner,
+   so a set with more than `miss` grams that no other set has can't link.  This is tested first on the fixed
    quarter of the grams whose hashes are smallest, of which at most `miss` may be unshared too,
    and then, for the sets that are left, on all grams.
 3. Grams are ordered from rare to frequent.  Linked sets share one of their first miss + 1 grams,
@@ -250,7 +251,8 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key
     some = sets.filter("n > 0 and doc_id is not null")
     equal = cut(some.groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("rep")))
     miss = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    open_ = equal.select(F.col("rep").alias("doc_id"), "sig_a", "n").filter(miss > 0)
+    # Of sets of other grams, one of n + 1 that holds all n is the nearest that a set of n can have.
+    open_ = equal.select(F.col("rep").alias("doc_id"), "sig_a", "n").filter(100 * F.col("n") >= percent * (F.col("n") + 1))
     spread = some.join(open_, ["doc_id", "sig_a", "n"], "left_semi").select("doc_id", F.explode("grams").alias("g"))
     alone = spread.groupBy("g").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id")).filter("df = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
     likely = cut(open_.join(alone, "doc_id", "left").filter(F.coalesce("alone", F.lit(0)) <= miss).select("doc_id").distinct())

@@ -44,6 +44,32 @@ def test_join_of_odd_rows(spark):
     assert ngram_join.join(df.limit(0), 3, 90).count() == 0
 
 
+@pytest.mark.parametrize(("n", "percent", "words"), [(3, 90, 11), (5, 80, 8)])
+def test_join_of_a_set_inside_one_a_gram_larger(spark, n, percent, words):
+    w = [f"w{i}" for i in range(words + 1)]
+    rows = [(1, " ".join(w[:-1])), (2, " ".join(w)), (3, " ".join(w[:-2])), (4, " ".join(w[1:-1]) + " end"), (5, "own " + " ".join(w[1:]))]
+    want = brute_components(rows, n, percent)
+    assert want[2][1] == 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(df, n, percent).collect()} == want
+    alone = df.filter("doc_id < 3")
+    assert {r["component_id"] for r in ngram_join.join(alone, n, percent).collect()} == {1}
+
+
+@pytest.mark.parametrize(("n", "percent"), [(1, 50), (1, 75), (2, 67), (2, 80), (3, 90), (1, 100)])
+def test_join_of_short_sets_equals_brute_force(spark, n, percent):
+    rng = random.Random(n * percent)
+    rows = []
+    for base in range(8):
+        w = [f"b{base}w{i}" for i in range(rng.randint(1, 14))]
+        for _ in range(5):
+            lo = rng.choice([0, 0, 1])
+            rows.append((len(rows), " ".join(w[lo : len(w) - rng.choice([0, 0, 1])])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(df, n, percent).collect()}
+    assert got == brute_components(rows, n, percent)
+
+
 def test_trie_partners():
     rng = np.random.default_rng(0)
     for _ in range(60):
