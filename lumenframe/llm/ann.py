@@ -2,13 +2,15 @@
 
 A vector is approximated by a sum of one full-dimensional word from each of BOOKS codebooks, fitted
 to residuals in turn on a bounded sample; encoding is a beam search over the books.  With the codes
-goes one stored number, the ratio of the vector's norm to that of its approximation.  A query makes a
-table of its inner products with all words; a candidate's score is the sum of BOOKS table entries
-times its ratio.  The SHORT best candidates of a block are ranked again by exact double-precision products.
+go the ratio of the vector's norm to that of its approximation, and a bound of what the approximation
+times that ratio misses.  A query makes a table of its inner products with all words; a candidate's score
+is the sum of BOOKS table entries times its ratio.  The SHORT best candidates of a block are ranked again
+by exact double-precision products.  A candidate's exact product is at most its score and the bound times
+the query's norm; all candidates for which that reaches the product of the best `top` so far are ranked
+exactly too.  So copies and near copies of a vector, however many, are all compared, and nothing is lost.
 
 Queries and codes meet in blocks: every query block goes to every code block (a stated query set
-against all rows), and each pair of blocks keeps SHORT candidates of a query, so the share of rows that
-are ranked exactly doesn't fall as the table grows.
+against all rows), and each pair of blocks returns the best `top` of a query.
 
 Vectors that are null, zero, or hold null or non-finite components take no part.  Equal scores go
 to the smaller id.  With fewer than `top` candidates all are returned.
@@ -29,7 +31,7 @@ BOOKS, WORDS = 32, 256
 SAMPLE_ROWS = 12_000
 ITERATIONS = 8
 BEAM = 3
-#: Candidates of a query that are ranked exactly, from each block of codes.
+#: Candidates of a query that are ranked exactly first, from each block of codes.
 SHORT = 150
 QUERY_BLOCK, CODE_BLOCK = 256, 65_536
 SEED = 5
@@ -84,6 +86,52 @@ def encode(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[pick, k], (own / np.maximum(near, 1e-12)).astype(np.float32)
 
 
+def missed(x: np.ndarray, codes: np.ndarray, ratio: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Norms of what the approximations miss, with the rounding of single-precision scores; infinite if unknown."""
+    near, size = np.zeros(x.shape), np.zeros(len(x))
+    with np.errstate(all="ignore"):
+        for m, words in enumerate(books.astype(np.float64)):
+            near += words[codes[:, m]]
+            size += np.linalg.norm(words, axis=1)[codes[:, m]]
+        ratio = ratio.astype(np.float64)
+        left = np.linalg.norm(x - near * ratio[:, None], axis=1)
+        rounding = 2 * (x.shape[1] + len(books)) * np.finfo(np.float32).eps * (size * ratio + np.linalg.norm(x, axis=1))
+        bound = left + rounding
+    return np.where(np.isfinite(bound), bound, np.inf)
+
+
+def products(q: np.ndarray, columns: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Inner products of q with some columns, summed in order of the components, so equal vectors have equal ones."""
+    total = np.zeros(len(at))
+    for x, row in zip(q.tolist(), columns, strict=True):
+        total += row[at] * x
+    return total
+
+
+def nearest(q: np.ndarray, score: np.ndarray, bound: np.ndarray, ids: np.ndarray, columns: np.ndarray, own: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact products of the `top` best columns, itself apart; equal ones by smaller id."""
+    with np.errstate(all="ignore"):
+        most = score + bound * np.linalg.norm(q)
+    most[np.isnan(most)] = np.inf
+    most[ids == own] = -np.inf
+    score = np.where(np.isnan(score), -np.inf, score)
+    score[ids == own] = -np.inf
+    k = max(SHORT, top)
+    at = np.argpartition(-score, k)[:k] if len(score) > k else np.arange(len(score))
+    at = at[ids[at] != own]
+    exact = products(q, columns, at)
+    if len(at) >= top and len(score) > k:
+        least = np.partition(exact, len(exact) - top)[len(exact) - top]
+        most[at] = -np.inf
+        more = np.flatnonzero(most >= least)
+        at, exact = np.concatenate([at, more]), np.concatenate([exact, products(q, columns, more)])
+    elif len(score) > k:
+        at = np.flatnonzero(ids != own)
+        exact = products(q, columns, at)
+    best = np.lexsort((ids[at], -exact))[:top]
+    return at[best], exact[best]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
@@ -98,27 +146,32 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, key: str = "ve
     good = vectors.filter(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     asked = queries.filter(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q"))
     sample = good.select("vec_id", "v", F.xxhash64("vec_id").alias("h")).orderBy("h", "vec_id").limit(SAMPLE_ROWS).select("v").toArrow()  # SAMPLE_ROWS rows
-    out = "query_id long, vec_id long, near float"
+    out = "query_id long, vec_id long, score double"
     if sample.num_rows == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = len(sample.column("v")[0])
     same = sample.filter(pa.compute.equal(pa.compute.list_value_length(sample.column("v")), dim))
     good, asked = good.filter(F.size("v") == dim), asked.filter(F.size("q") == dim)
+    element = vectors.schema[vector].dataType.elementType.typeName()
+    kind = np.float32 if element == "float" else np.float64  # vectors travel as they are
     shared = spark.sparkContext.broadcast(fit_books(_matrix(same.column("v").combine_chunks())))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                codes, ratio = encode(_matrix(part.column("v")).astype(np.float32), shared.value)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio, pa.float32())], names=["vec_id", "codes", "ratio"])
+                x = _matrix(part.column("v"))
+                codes, ratio = encode(x.astype(np.float32), shared.value)
+                bytes_ = [pa.array([row.tobytes() for row in rows], pa.binary()) for rows in (codes, x.astype(kind))]
+                bound = pa.array(missed(x, codes, ratio, shared.value), pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), bytes_[0], pa.array(ratio, pa.float32()), bound, bytes_[1]], names=["vec_id", "codes", "ratio", "bound", "v"])
 
-    coded = cut(good.mapInArrow(pack, "vec_id long, codes binary, ratio float"))
+    coded = cut(good.mapInArrow(pack, "vec_id long, codes binary, ratio float, bound double, v binary"))
     n_codes, n_asked = coded.count(), asked.count()
     code_blocks, query_blocks = max(1, -(-n_codes // CODE_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    # One row for a block: codes are BOOKS + 12 bytes a vector, queries 8 bytes a component.
-    code_rows = coded.groupBy(block("vec_id", code_blocks).alias("cb")).agg(F.collect_list(F.struct("vec_id", "codes", "ratio")).alias("c"))
+    # One row for a block: codes are BOOKS + 20 bytes a vector and the vector itself, queries 8 bytes a component.
+    code_rows = coded.groupBy(block("vec_id", code_blocks).alias("cb")).agg(F.collect_list(F.struct("vec_id", "codes", "ratio", "bound", "v")).alias("c"))
     query_rows = asked.groupBy(block("query_id", query_blocks).alias("qb")).agg(F.collect_list(F.struct("query_id", "q")).alias("q"))
     pairs = query_rows.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1)))).join(code_rows, "cb")
 
@@ -130,23 +183,22 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, key: str = "ve
                 order = np.argsort(ids, kind="stable")
                 codes = np.frombuffer(b"".join(c.field("codes").to_pylist()), np.uint8).reshape(-1, BOOKS)[order]
                 ids, ratio = ids[order], c.field("ratio").to_numpy()[order]
-                tables = np.einsum("mwd,nd->nmw", shared.value, _matrix(q.field("q")).astype(np.float32))
+                bound = c.field("bound").to_numpy()[order]
+                columns = np.ascontiguousarray(np.frombuffer(b"".join(c.field("v").to_pylist()), kind).reshape(len(ids), -1)[order].T.astype(np.float64))
+                wanted = _matrix(q.field("q"))
+                tables = np.einsum("mwd,nd->nmw", shared.value, wanted.astype(np.float32))
                 rows = []
-                for own, t in zip(asking, tables, strict=True):
+                for own, x, t in zip(asking, wanted, tables, strict=True):
                     s = t[0][codes[:, 0]]
                     for m in range(1, BOOKS):
                         s += t[m][codes[:, m]]
                     s *= ratio
-                    s[ids == own] = -np.inf
-                    best = np.argpartition(-s, SHORT)[:SHORT] if len(s) > SHORT else np.arange(len(s))
-                    best = best[np.isfinite(s[best])]
-                    rows.append((np.full(len(best), own), ids[best], s[best]))
+                    best, exact = nearest(x, s, bound, ids, columns, own, top)
+                    rows.append((np.full(len(best), own), ids[best], exact))
                 if rows:
                     a, b, s = map(np.concatenate, zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float32())], names=["query_id", "vec_id", "near"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    short = pairs.repartition(min(query_blocks * code_blocks, 4096), "qb", "cb").mapInArrow(meet, out)
-    exact = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    scored = short.select("query_id", "vec_id").join(asked, "query_id").join(good, "vec_id").select("query_id", "vec_id", exact.alias("score"))
+    scored = pairs.repartition(min(query_blocks * code_blocks, 4096), "qb", "cb").mapInArrow(meet, out)
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

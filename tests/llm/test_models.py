@@ -248,3 +248,20 @@ def test_few_or_no_vectors(spark):
     got = ann.search(df, df.filter("vec_id = 1"), 20).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [0, 2]
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_neighbours_among_many_copies(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1800, 16)).astype(np.float32)
+    x[200:900] = x[200]  # copies
+    x[900:1500] = x[900] + 1e-4 * rng.normal(size=(600, 16)).astype(np.float32)  # near copies
+    ids = rng.permutation(1800)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    asked = [int(ids[k]) for k in (0, 1, 250, 600, 899, 950, 1200, 1499)]
+    got = ann.search(df, df.filter(F.col("vec_id").isin(asked)), 20).collect()
+    for q in asked:
+        own = x[np.flatnonzero(ids == q)[0]].astype(float)
+        s = sum(x[:, k].astype(float) * own[k] for k in range(16))
+        s[ids == q] = -np.inf
+        best = np.lexsort((ids, -s))[:20]
+        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(int(ids[k]), s[k]) for k in best]
