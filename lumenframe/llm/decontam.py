@@ -3,11 +3,16 @@
 Texts are compared as bytes without white space and with A-Z lower-cased.  A document is contaminated
 by an item if WINDOW consecutive bytes of the item (the whole item, if shorter) align with a
 stretch of the document with at most BUDGET of that many edits.  If they do, the two share at least
-window - Q + 1 - Q * edits q-grams, on diagonals that differ by no more than the edits.  So: find the
+window - q + 1 - q * edits q-grams, on diagonals that differ by no more than the edits.  So: find the
 shared q-grams, count them in overlapping bands of diagonals, keep the bands with item windows that
-reach that count, and verify those by alignment within the band.
+reach that count, and verify those by alignment within the band.  q is Q, or for a short item the
+largest for which that count is positive.
 
-Items shorter than SHORTEST bytes are not looked for.  Null or empty texts match nothing.  The items go to all
+An item that allows no edits (under 14 bytes) matches where it neither begins nor ends inside a word.
+Words are runs of ASCII letters and digits and of characters of two bytes (Latin, Greek, Cyrillic,
+Hebrew, Arabic); other scripts, many of which have no spaces, have a boundary at every character.
+
+Null or empty texts match nothing, nor do items of white space alone.  The items go to all
 tasks in blocks of BLOCK_BYTES, one pass over the documents for each block.
 """
 
@@ -25,7 +30,6 @@ from lumenframe.llm.batches import ASCII_LOWER, IS_SEPARATOR, chunked, mix, text
 Q = 10
 WINDOW = 80
 BUDGET = 0.075
-SHORTEST = 25
 BLOCK_BYTES = 8 << 20
 #: Bytes of a document that are matched at once; neighbours overlap by OVERLAP.
 PIECE, OVERLAP = 2 << 20, 4096
@@ -44,34 +48,41 @@ def squeeze(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ASCII_LOWER[data[keep]], total[offsets]
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the Q bytes from each position on (Q from 9 to 16)."""
-    if len(data) < Q:
+def word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte that squeeze() keeps, whether no word goes on before it, and after it."""
+    lower = ASCII_LOWER[data]
+    word = ((lower >= ord("a")) & (lower <= ord("z"))) | ((data >= ord("0")) & (data <= ord("9"))) | ((data >= 0xC3) & (data <= 0xDF))
+    word[1:] |= (data[1:] >= 0x80) & (data[1:] <= 0xBF) & word[:-1] & (data[:-1] >= 0xC3)
+    apart = np.ones(len(data) + 1, dtype=bool)
+    apart[1:-1] = ~(word[1:] & word[:-1])
+    apart[offsets] = True
+    keep = ~IS_SEPARATOR[data]
+    return apart[:-1][keep], apart[1:][keep]
+
+
+def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
+    """A 64-bit hash of the q bytes from each position on (q up to 16)."""
+    if len(data) < q:
         return np.zeros(0, dtype=U64)
     x = data.astype(U64)
+    if q <= 8:
+        total = np.zeros(len(data) - q + 1, dtype=U64)
+        for k in range(q):
+            total |= x[k : len(data) - q + 1 + k] << U64(8 * k)
+        return mix(total * U64(0x9E3779B97F4A7C15))
     for k, shift in ((1, 8), (2, 16), (4, 32)):
         x = x[:-k] | (x[k:] << U64(shift))
-    return mix(x[: len(data) - Q + 1] * U64(0x9E3779B97F4A7C15) + x[Q - 8 :])
+    return mix(x[: len(data) - q + 1] * U64(0x9E3779B97F4A7C15) + x[q - 8 :])
 
 
-class Items:
-    """The q-grams of a block of items, sorted, with the places where they occur."""
+class Index:
+    """The q-grams of some items, sorted, with the places where they occur."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        data, offsets = squeeze(*text_buffer(pa.array(texts, pa.string())))
-        self.ids, self.bytes = [], []
-        for k, i in enumerate(ids):
-            if offsets[k + 1] - offsets[k] >= SHORTEST:
-                self.ids.append(i)
-                self.bytes.append(data[offsets[k] : offsets[k + 1]])
-        size = np.array([len(b) for b in self.bytes], dtype=np.int64)
-        self.window = np.minimum(WINDOW, size)
-        self.edits = np.floor(self.window * BUDGET).astype(np.int64)
-        self.bound = np.maximum(1, self.window - Q + 1 - Q * self.edits)
-        every = [grams(b) for b in self.bytes]
-        hashes = np.concatenate(every) if every else np.zeros(0, dtype=U64)
-        item = np.repeat(np.arange(len(every)), [len(g) for g in every])
-        pos = np.concatenate([np.arange(len(g)) for g in every]) if every else np.zeros(0, dtype=np.int64)
+    def __init__(self, q: int, numbers: np.ndarray, texts: list[np.ndarray]):
+        self.q = q
+        every = [grams(b, q) for b in texts]
+        hashes = np.concatenate(every)
+        item, pos = np.repeat(numbers, [len(g) for g in every]), np.concatenate([np.arange(len(g)) for g in every])
         order = np.argsort(hashes, kind="stable")
         self.item, self.pos = item[order], pos[order]
         self.hashes, self.first, self.n = np.unique(hashes[order], return_index=True, return_counts=True)
@@ -80,9 +91,9 @@ class Items:
 
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions in data, items and positions in them of all shared q-grams."""
-        h = grams(data)
+        h = grams(data, self.q)
         at = np.flatnonzero(self.maybe[(h >> U64(64 - FILTER_BITS)).astype(np.int64)]) if len(h) else np.zeros(0, dtype=np.int64)
-        if len(at) == 0 or len(self.hashes) == 0:
+        if len(at) == 0:
             none = np.zeros(0, dtype=np.int64)
             return none, none, none
         k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
@@ -93,6 +104,41 @@ class Items:
         return np.repeat(at, n), self.item[entry], self.pos[entry]
 
 
+class Items:
+    """A block of items and the indexes of their q-grams."""
+
+    def __init__(self, ids: list[int], texts: list[str]):
+        data, offsets = squeeze(*text_buffer(pa.array(texts, pa.string())))
+        self.ids, self.bytes = [], []
+        for k, i in enumerate(ids):
+            if offsets[k + 1] > offsets[k]:
+                self.ids.append(i)
+                self.bytes.append(data[offsets[k] : offsets[k + 1]])
+        size = np.array([len(b) for b in self.bytes], dtype=np.int64)
+        self.window = np.minimum(WINDOW, size)
+        self.edits = np.floor(self.window * BUDGET).astype(np.int64)
+        self.q = np.minimum(Q, self.window // (self.edits + 1))
+        self.bound = self.window - self.q + 1 - self.q * self.edits
+        self.indexes = [Index(q, own := np.flatnonzero(self.q == q), [self.bytes[k] for k in own]) for q in np.unique(self.q).tolist()]
+        self.words = bool((self.edits == 0).any())
+
+    def edges(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """word_edges() where an item needs them."""
+        return word_edges(data, offsets) if self.words else None
+
+    def hits(self, data: np.ndarray, edges: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions in data, items and positions in them of all shared q-grams, without words that go on."""
+        none = np.zeros(0, dtype=np.int64)
+        at, item, pos = map(np.concatenate, zip((none, none, none), *(index.hits(data) for index in self.indexes), strict=True))
+        if edges is not None:
+            start, end = at - pos, at - pos + self.window[item]
+            fits = (start >= 0) & (end <= len(data))
+            whole = edges[0][np.where(fits, start, 0)] & edges[1][np.where(fits, end, 1) - 1] & fits
+            good = whole | (self.edits[item] > 0)
+            at, item, pos = at[good], item[good], pos[good]
+        return at, item, pos
+
+
 def band_edits(pattern: np.ndarray, text: np.ndarray, most: int) -> int:
     """The least edits that turn the pattern into a stretch of text, within a band; most + 1 if more.
 
@@ -114,11 +160,11 @@ def band_edits(pattern: np.ndarray, text: np.ndarray, most: int) -> int:
     return int(row.min())
 
 
-def find(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int, int]]:
+def find(data: np.ndarray, offsets: np.ndarray, items: Items, edges: tuple[np.ndarray, np.ndarray] | None) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, shared q-grams, edits, item position, text position) of all contaminated pairs."""
-    at, item, pos = items.hits(data)
+    at, item, pos = items.hits(data, edges)
     text = np.searchsorted(offsets[1:], at, side="right")
-    inside = at + Q <= offsets[text + 1] if len(at) else np.zeros(0, dtype=bool)
+    inside = at + items.q[item] <= offsets[text + 1] if len(at) else np.zeros(0, dtype=bool)
     at, item, pos, text = at[inside], item[inside], pos[inside], text[inside]
     if len(at) == 0:
         return []
@@ -143,10 +189,10 @@ def find(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[int,
 
 def verify(text: np.ndarray, items: Items, i: int, pos: np.ndarray, at: np.ndarray) -> tuple[int, int, int, int] | None:
     """The first item window of a band that has enough q-grams and aligns within the edits."""
-    own, w, most, bound = items.bytes[i], int(items.window[i]), int(items.edits[i]), int(items.bound[i])
+    own, w, most, bound, q = items.bytes[i], int(items.window[i]), int(items.edits[i]), int(items.bound[i]), int(items.q[i])
     starts = np.arange(len(own) - w + 1)
     places, nth = np.unique(pos, return_index=True)
-    lo, hi = np.searchsorted(places, starts), np.searchsorted(places, starts + w - Q, side="right")
+    lo, hi = np.searchsorted(places, starts), np.searchsorted(places, starts + w - q, side="right")
     diagonals = at[nth] - places
     for s in starts[hi - lo >= bound].tolist():
         inner = diagonals[lo[s] : hi[s]]
@@ -186,8 +232,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in chunked(batches, "t"):
-                data, offsets = squeeze(*text_buffer(batch.column("t")))
-                found = find(data, offsets, items) if len(data) <= PIECE else in_pieces(data, offsets, items)
+                raw = text_buffer(batch.column("t"))
+                (data, offsets), edges = squeeze(*raw), items.edges(*raw)
+                found = find(data, offsets, items, edges) if len(data) <= PIECE else in_pieces(data, offsets, items, edges)
                 ids = batch.column("k")
                 columns = list(zip(*found, strict=True)) if found else [[]] * 6
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0], pa.int64())), pa.array([items.ids[i] for i in columns[1]], pa.int64()), *[pa.array(c, pa.int32()) for c in columns[2:]]], names=["doc_id", "item_id", "shared", "edits", "item_start", "doc_start"])
@@ -197,13 +244,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     return out
 
 
-def in_pieces(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple]:
+def in_pieces(data: np.ndarray, offsets: np.ndarray, items: Items, edges: tuple[np.ndarray, np.ndarray] | None) -> list[tuple]:
     """find() for long texts, in overlapping pieces; of several alignments of a pair the first stays."""
     found: dict[tuple[int, int], tuple] = {}
     for t in range(len(offsets) - 1):
         for lo in range(int(offsets[t]), max(int(offsets[t]) + 1, int(offsets[t + 1]) - OVERLAP), PIECE - OVERLAP):
-            part = data[lo : min(lo + PIECE, int(offsets[t + 1]))]
-            for _, i, shared, edits, s, at in find(part, np.array([0, len(part)]), items):
+            hi = min(lo + PIECE, int(offsets[t + 1]))
+            part = data[lo:hi]
+            for _, i, shared, edits, s, at in find(part, np.array([0, len(part)]), items, edges and (edges[0][lo:hi], edges[1][lo:hi])):
                 found.setdefault((t, i), (shared, edits, s, at + lo - int(offsets[t])))
     return [(t, i, *hit) for (t, i), hit in sorted(found.items())]
 

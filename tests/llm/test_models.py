@@ -132,6 +132,43 @@ def test_planted_items_are_found(spark):
     assert decontam.matches(df, marks.limit(0)).count() == 0
 
 
+def test_short_items_are_found(spark):
+    items = [(1, "Yes"), (2, "17 + 25"), (3, "été"), (4, "北京是中国的首都"), (5, "What is the  capital?"), (6, "a"), (7, " \n"), (8, "42."), (9, "C3PO, really")]
+    docs = [(10, "he said yes."), (11, "yesterday, eyes"), (12, "is 17+25 more"), (13, "117 + 25"), (14, "cet ÉTÉ, l'été\nici"), (15, "les étés"), (16, "我知道北京是中国的首都。对"), (17, "so what is\nthe capital?42"), (18, "what is thee capital?"), (19, "17 + 2 5"), (20, "it's 42."), (21, "c3po,really"), (22, "xC3PO, really")]
+    want = {(10, 1), (12, 2), (14, 3), (16, 4), (17, 5), (18, 5), (19, 2), (20, 8), (21, 9)}
+    long = "z " * (decontam.PIECE - 3) + "yes " + "z " * 50
+    df = spark.createDataFrame([*docs, (30, long), (31, None), (32, "")], "doc_id long, text string")
+    marks = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.matches(df, marks).collect()} == want | {(30, 1)}
+    assert {r["doc_id"] for r in decontam.remove(df, marks).collect()} == {11, 13, 15, 22, 31, 32}
+
+
+def test_items_of_every_length_against_full_alignment():
+    rng = random.Random(6)
+    prose = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n)).decode()
+    for size in [*range(1, 45), 60, 79, 80]:
+        most = int(size * decontam.BUDGET)
+        own = prose(size)
+        items = decontam.Items([3], [own])
+        texts, want = [], []
+        for _ in range(25):
+            leak = list(own)
+            for _ in range(rng.randint(0, most + 1)):
+                k = rng.randrange(len(leak))
+                leak[k : k + 1] = rng.choice([[], ["x"], ["x", leak[k]]])
+            if not leak:
+                continue
+            text = prose(30) + " " + "".join(leak) + " " + prose(30)
+            texts.append(text)
+            if most:
+                want.append(edits(own, text.replace(" ", "")) <= most)
+            else:
+                want.append(f" {own} " in f" {text} ")
+        raw = decontam.text_buffer(pa.array(texts))
+        got = {t for t, *_ in decontam.find(*decontam.squeeze(*raw), items, items.edges(*raw))}
+        assert got == {t for t, w in enumerate(want) if w}, size
+
+
 def test_band_alignment_equals_full_alignment():
     rng = random.Random(4)
     for _ in range(200):
