@@ -357,7 +357,8 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in part], kind) for k, kind in enumerate(kinds)], names=["fp", "ctx", "n", "m", "left", "bytes"])
 
     # Rows with equal key and text give their contexts more than once.
-    strings = cut(docs.join(wanted, ["doc_id", "h"]).select("text", "w").mapInArrow(slices, "fp long, ctx long, n long, m long, left int, bytes binary").dropDuplicates(["fp", "ctx"]))
+    own = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["h"] == wanted["h"])
+    strings = cut(docs.join(wanted, own).select("text", "w").mapInArrow(slices, "fp long, ctx long, n long, m long, left int, bytes binary").dropDuplicates(["fp", "ctx"]))
     common = transform(cut(strings.filter(F.col("m") <= CAP).select(F.col("fp").alias("unit"), F.col("ctx").alias("s"), "bytes")), length)
     rest = finer(strings.filter(F.col("m") > CAP).drop("m"), length)
     spans = cut(twice.unionByName(common.select(F.col("unit").alias("fp"), F.col("s").alias("ctx"), "spans")).unionByName(rest))

@@ -130,6 +130,16 @@ def test_dedup_keeps_other_columns_and_cuts_no_character(spark):
     assert suffix_dedup.remove(df.limit(0)).count() == 0
 
 
+def test_dedup_of_rows_without_a_key(spark):
+    rng = random.Random(12)
+    make = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    shared = [make(90), make(200), make(61), make(140)]
+    rows = [(None, make(40) + shared[0] + make(70) + shared[1] + make(9)), (1, make(150) + shared[0] + make(33)), (None, make(20) + shared[2]), (None, shared[2] + make(80) + shared[3] + "x"), (2, make(30) + shared[1] + make(60)), (3, "y" + shared[3] + make(200)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.remove(df, 60).collect()]
+    assert sorted(got, key=str) == brute_dedup(rows, 60)
+
+
 def test_transform_against_counts():
     rng = random.Random(5)
     for _ in range(80):
