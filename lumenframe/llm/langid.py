@@ -5,11 +5,13 @@ a word is the sum, over all ways to cut it into pieces, of the products of their
 forward pass computes it for all languages at once.  A text's score is the product over its words
 (maximal runs of letters, lower-cased), and the posterior under equal priors picks the language.
 
-The piece probabilities are fitted by expectation maximisation on word counts of a bounded sample
-of labelled texts: SAMPLE_ROWS rows in hash order, and TYPES words of each language.
+The piece probabilities are fitted by expectation maximisation on all words of a bounded sample of
+labelled texts: at most SAMPLE_ROWS rows and SAMPLE_BYTES of text, in hash order.
 
 A text that is null, empty or has no letter is `und` with score 0.  Languages that are null are
-not learned.  With no labelled text at all, everything is `und`.
+not learned.  With no labelled text at all, everything is `und`.  Of equal posteriors the language that
+is first in order wins.  Repeated rows are told alike, and learned from once.  Words of very long texts
+are counted whole; a word over LONG characters is scored one character after the other.
 """
 
 from __future__ import annotations
@@ -22,17 +24,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.llm.batches import chunked, span_hashes, text_buffer
 from lumenframe.llm.bpe import _with_columns
+from lumenframe.llm.tables import bounded_sample, drop
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters and of signs that Python counts as numbers but not as digits.
+RUNS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-SAMPLE_ROWS = 4_000
-TYPES = 6_000
+SAMPLE_ROWS, SAMPLE_BYTES = 2_500, 32 << 20
 ROUNDS = 4
 #: Added to each piece's expected count.
 SMOOTHING = 0.01
@@ -54,50 +57,133 @@ def pieces(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not odd(i)]
 
 
-def matches(word: str, known: dict, longest: int) -> list[list[tuple[int, object]]]:
-    """For each end in the marked word, the (start, entry) of pieces that end there."""
-    s = START + word
-    get = known.get
-    out: list[list[tuple[int, object]]] = [[]]
-    for j in range(1, len(s) + 1):
-        found = [(i, e) for i in range(max(0, j - longest), j) if (e := get(s[i:j])) is not None]
-        if not found or found[-1][0] != j - 1:
-            found.append((j - 1, None))
-        out.append(found)
-    return out
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case."""
+    found = RUNS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ("".join(c if c.isalpha() else " " for c in run).split())]
 
 
-def fit_language(counts: dict[str, int], ids: dict[str, int], longest: int) -> np.ndarray:
-    """Piece probabilities by expectation maximisation; the last entry is the rest for unknown characters."""
-    n = len(ids)
-    p = np.full(n + 1, 1.0 / n)
+class Lattice:
+    """Finds the pieces of a vocabulary in words; words of one length side by side."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.longest = max(map(len, vocabulary), default=1)
+        data, offsets = text_buffer(pa.array(vocabulary, pa.string()))
+        hashes = span_hashes(data, offsets[:-1], offsets[1:])
+        self.order = np.argsort(hashes)
+        self.hashes, self.none = hashes[self.order], len(hashes)
+        self.maybe = np.zeros(1 << 20, dtype=bool)
+        self.maybe[(hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes; `none` for others."""
+        out = np.full(len(hashes), self.none, dtype=np.int64)
+        likely = np.flatnonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[likely]), self.none - 1)
+        good = self.hashes[at] == hashes[likely] if self.none else np.zeros(0, bool)
+        out[likely[good]] = self.order[at[good]]
+        return out
+
+    def edges(self, words: list[str]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(i, j, places of words, pieces) for the pieces that go from i to j in words of one length.
+
+        A single character that is no piece counts as the piece `none`.
+        """
+        k, n = len(words), len(words[0]) + 1
+        data, offsets = text_buffer(pa.array([START + w for w in words], pa.string()))
+        edge = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data)).astype(np.int64)  # of characters
+        first = np.arange(k, dtype=np.int64) * n
+        out = []
+        for j in range(1, n + 1):
+            for i in range(max(0, j - self.longest), j):
+                row = self.find(span_hashes(data, edge[first + i], edge[first + j]))
+                hit = np.arange(k) if i == j - 1 else np.flatnonzero(row != self.none)
+                if len(hit):
+                    out.append((i, j, hit, row[hit]))
+        return out
+
+    def edges_of_one(self, word: str) -> list[list[tuple[int, int]]]:
+        """For each end in one word of any length, (start, piece)."""
+        s = START + word
+        data, offsets = text_buffer(pa.array(list(s), pa.string()))
+        out: list[list[tuple[int, int]]] = [[]]
+        for j in range(1, len(s) + 1):
+            i = max(0, j - self.longest)
+            begin = offsets[i]
+            row = self.find(span_hashes(data[begin : offsets[j]], offsets[i:j] - begin, np.full(j - i, offsets[j] - begin)))
+            out.append([(i + k, r) for k, r in enumerate(row.tolist()) if r != self.none or i + k == j - 1])
+        return out
+
+    def blocks(self, words: list[str]) -> Iterator[list[int]]:
+        """Places of words of the same length, in blocks of bounded size; words over LONG one by one."""
+        by: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by.setdefault(len(w), []).append(k)
+        for n, same in sorted(by.items()):
+            step = 1 if n > LONG else max(1, 400_000 // (n + 1) // self.longest)
+            yield from (same[lo : lo + step] for lo in range(0, len(same), step))
+
+
+def expected_of_block(edges: list[tuple[int, int, np.ndarray, np.ndarray]], n: int, counts: np.ndarray, scaled: np.ndarray, expected: np.ndarray) -> None:
+    """Adds the expected numbers of pieces in words of one length to expected, for all languages.
+
+    counts are words x languages; scaled are the probabilities times SCALE for each character.
+    """
+    alpha, beta = np.zeros((n + 1, *counts.shape)), np.zeros((n + 1, *counts.shape))
+    alpha[0] = beta[n] = 1.0
+    for i, j, hit, row in edges:
+        alpha[j][hit] += alpha[i][hit] * scaled[row]
+    for i, j, hit, row in reversed(edges):
+        beta[i][hit] += scaled[row] * beta[j][hit]
+    share = counts / alpha[n]
+    for i, j, hit, row in edges:
+        np.add.at(expected, row, share[hit] * alpha[i][hit] * scaled[row] * beta[j][hit])
+
+
+def expected_of_word(edges: list[list[tuple[int, int]]], counts: np.ndarray, scaled: np.ndarray, expected: np.ndarray) -> None:
+    """The same for one word of any length: sums are kept with the logarithms of their scales."""
+    n, m = len(edges) - 1, len(counts)
+    alpha, logs = np.zeros((n + 1, m)), np.zeros((n + 1, m))
+    beta, after = np.zeros((n + 1, m)), np.zeros((n + 1, m))
+    alpha[0] = beta[n] = 1.0
+    for j in range(1, n + 1):
+        top = logs[j - 1]
+        now = sum(alpha[i] * np.exp(logs[i] - top) * scaled[r] for i, r in edges[j])
+        alpha[j], logs[j] = 1.0, top + np.log(np.maximum(now, 1e-300))
+    for j in range(n, 0, -1):  # beta[i] * exp(after[i]); what is pushed to earlier places is settled when they are reached
+        size = np.maximum(beta[j], 1e-300)
+        beta[j], after[j] = 1.0, after[j] + np.log(size)
+        for i, r in edges[j]:
+            shift = after[j] - np.where(beta[i] > 0, after[i], after[j])
+            after[i] = np.where(beta[i] > 0, after[i], after[j])
+            beta[i] += np.exp(shift) * scaled[r]
+    for j in range(1, n + 1):
+        for i, r in edges[j]:
+            expected[r] += counts * np.exp(logs[i] + after[j] - logs[n]) * scaled[r]
+
+
+def fit_pieces(words: list[str], counts: np.ndarray, vocabulary: list[str]) -> np.ndarray:
+    """Piece probabilities (languages x pieces) by expectation maximisation; the last entry is that of unknown characters."""
+    n, m = len(vocabulary), counts.shape[1]
+    lattice = Lattice(vocabulary)
+    size = np.array([SCALE ** len(s) for s in vocabulary] + [SCALE])[:, None]
+    p = np.full((n + 1, m), 1.0 / n)
     p[n] = UNKNOWN
-    scale = [SCALE**k for k in range(longest + 1)]
-    lattices = [(c, matches(w, ids, longest)) for w, c in counts.items() if len(w) <= LONG]
+    blocks = [(b, lattice.edges_of_one(words[b[0]]) if len(words[b[0]]) > LONG else lattice.edges([words[k] for k in b])) for b in lattice.blocks(words)]
     for _ in range(ROUNDS):
-        expected = np.zeros(n + 1)
-        q = p.tolist()
-        for c, lattice in lattices:
-            m = len(lattice)
-            alpha, beta = [1.0] + [0.0] * (m - 1), [0.0] * (m - 1) + [1.0]
-            for j in range(1, m):
-                alpha[j] = sum(alpha[i] * q[n if e is None else e] * scale[j - i] for i, e in lattice[j])
-            for j in range(m - 1, 0, -1):
-                b = beta[j]
-                for i, e in lattice[j]:
-                    beta[i] += b * q[n if e is None else e] * scale[j - i]
-            total = alpha[-1]
-            if total <= 0:
-                continue
-            for j in range(1, m):
-                for i, e in lattice[j]:
-                    if e is not None:
-                        expected[e] += c * alpha[i] * q[e] * scale[j - i] * beta[j] / total
+        expected, scaled = np.zeros((n + 1, m)), p * size
+        for b, edges in blocks:
+            if len(words[b[0]]) > LONG:
+                expected_of_word(edges, counts[b[0]], scaled, expected)
+            else:
+                expected_of_block(edges, len(words[b[0]]) + 1, counts[b], scaled, expected)
         p = expected + SMOOTHING
         p[n] = 0
-        p /= p.sum()
+        p /= p.sum(axis=0)
         p[n] = UNKNOWN
-    return p
+    return p.T
 
 
 class Model:
@@ -115,51 +201,23 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.languages = model.languages
-        self.longest = max(map(len, model.vocabulary), default=1)
-        size = np.array([SCALE ** len(s) for s in model.vocabulary])
-        scaled = model.probabilities[:, :-1].T * size[:, None] if model.languages else np.zeros((len(model.vocabulary), 0))
-        data, offsets = text_buffer(pa.array(model.vocabulary, pa.string()))
-        hashes = span_hashes(data, offsets[:-1], offsets[1:])
-        order = np.argsort(hashes)
-        self.hashes, self.scaled = hashes[order], np.vstack([scaled[order], np.zeros((1, scaled.shape[1]))])
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[(hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.lattice = Lattice(model.vocabulary)
+        size = np.array([SCALE ** len(s) for s in model.vocabulary] + [SCALE])
+        self.scaled = model.probabilities.T * size[:, None] if model.languages else np.zeros((len(size), 0))
+        self.scaled[-1] = UNKNOWN * SCALE
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.rows = np.zeros((CACHE, max(1, len(self.languages))))
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Rows of the pieces with these hashes; the row of zeros for others."""
-        out = np.full(len(hashes), len(self.hashes), dtype=np.int64)
-        likely = np.flatnonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, hashes[likely]), len(self.hashes) - 1)
-        good = self.hashes[at] == hashes[likely]
-        out[likely[good]] = at[good]
-        return out
-
     def score(self, words: list[str]) -> np.ndarray:
         """Log likelihoods of words of the same length, in characters, in each language."""
-        k, n = len(words), len(words[0]) + 1
-        data, offsets = text_buffer(pa.array([START + w for w in words], pa.string()))
-        begins = np.flatnonzero((data & 0xC0) != 0x80)  # of characters
-        edge = np.append(begins, len(data)).astype(np.int64)
-        first = np.arange(k, dtype=np.int64) * n
-        pairs = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - self.longest), j)]
-        starts = np.concatenate([edge[first + i] for i, _ in pairs])
-        ends = np.concatenate([edge[first + j] for _, j in pairs])
-        row = self.find(span_hashes(data, starts, ends)).reshape(len(pairs), k)
-        alpha = np.zeros((n + 1, k, len(self.languages)))
+        n = len(words[0]) + 1
+        alpha = np.zeros((n + 1, len(words), len(self.languages)))
         alpha[0] = 1.0
-        none = len(self.hashes)
-        for (i, j), r in zip(pairs, row, strict=True):
-            hit = np.flatnonzero(r != none)
-            if len(hit):
-                alpha[j][hit] += alpha[i][hit] * self.scaled[r[hit]]
-            if i == j - 1 and len(hit) < k:
-                miss = np.flatnonzero(r == none)
-                alpha[j][miss] += alpha[i][miss] * (UNKNOWN * SCALE)
+        for i, j, hit, row in self.lattice.edges(words):
+            alpha[j][hit] += alpha[i][hit] * self.scaled[row]
         return np.log(alpha[n]) - n * math.log(SCALE)
 
     def long_word(self, word: str) -> np.ndarray:
@@ -171,34 +229,28 @@ class Scorer:
             now = np.zeros(len(self.languages))
             first = j - len(window)
             begin = offsets[first]
-            row = self.find(span_hashes(data[begin : offsets[j]], offsets[first:j] - begin, np.full(j - first, offsets[j] - begin)))
+            row = self.lattice.find(span_hashes(data[begin : offsets[j]], offsets[first:j] - begin, np.full(j - first, offsets[j] - begin)))
             for i, r in enumerate(row.tolist()):
-                if r < len(self.hashes):
+                if r != self.lattice.none or first + i == j - 1:
                     now += window[i] * self.scaled[r]
-            if row[-1] == len(self.hashes):
-                now += window[-1] * (UNKNOWN * SCALE)
             top = np.maximum(now, 1e-300)
-            window = ([w / top for w in window] + [now / top])[-self.longest :]
+            window = ([w / top for w in window] + [now / top])[-self.lattice.longest :]
             logs += np.log(top)
         return logs - len(s) * math.log(SCALE)
 
     def learn(self, words: set[str]) -> None:
-        by: dict[int, list[str]] = {}
-        for w in words:
-            by.setdefault(len(w), []).append(w)
-        for n, same in by.items():
-            step = max(1, 400_000 // (n + 1) // self.longest)
-            for lo in range(0, len(same), step):
-                part = same[lo : lo + step]
-                got = np.array([self.long_word(w) for w in part]) if n > LONG else self.score(part)
-                base = len(self.at)
-                self.at.update(zip(part, range(base, base + len(part)), strict=True))
-                self.rows[base : base + len(part)] = got
+        every = list(words)
+        for block in self.lattice.blocks(every):
+            part = [every[k] for k in block]
+            got = np.array([self.long_word(w) for w in part]) if len(part[0]) > LONG else self.score(part)
+            base = len(self.at)
+            self.at.update(zip(part, range(base, base + len(part)), strict=True))
+            self.rows[base : base + len(part)] = got
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.languages:
             return [(UNDETERMINED, 0.0)] * len(texts)
-        counted = [Counter(LETTERS.findall(t.lower())) if t else {} for t in texts]
+        counted = [Counter(words_of(t)) if t else {} for t in texts]
         total = np.zeros((len(texts), len(self.languages)))
         waiting: list[tuple[int, list[str], np.ndarray]] = []
         fresh: set[str] = set()
@@ -232,7 +284,7 @@ def _count_words(text: str, lang: str):
         counts: dict[tuple[str, str], int] = Counter()
         for batch in batches:
             for t, y in zip(batch.column(text).to_pylist(), batch.column(lang).to_pylist(), strict=True):
-                counts.update((y, w) for w in LETTERS.findall((t or "").lower()) if len(w) <= LONG)
+                counts.update((y, w) for w in words_of(t or ""))
                 if len(counts) > CACHE:
                     yield _rows(counts)
                     counts = Counter()
@@ -246,22 +298,19 @@ def _rows(counts: dict[tuple[str, str], int]) -> pa.RecordBatch:
 
 
 def fit(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Fits the model on the SAMPLE_ROWS labelled rows that come first in hash order of key."""
+    """Fits the model on the bounded sample that comes first in hash order of key."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    first = rows.select("k", F.xxhash64("k").alias("h")).orderBy("h", "k").limit(SAMPLE_ROWS).select("k")
-    sample = rows.join(F.broadcast(first), "k", "left_semi").select("t", "l")  # SAMPLE_ROWS keys
-    counts = sample.mapInArrow(_count_words("t", "l"), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    kept = counts.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= TYPES).drop("r").collect()
-    by: dict[str, dict[str, int]] = {}
-    for r in kept:
-        by.setdefault(r["lang"], {})[r["word"]] = r["n"]
+    sample = bounded_sample(rows, SAMPLE_ROWS, SAMPLE_BYTES)
+    counts = sample.select("t", "l").mapInArrow(_count_words("t", "l"), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    found = sorted((r["word"], r["lang"], r["n"]) for r in counts.collect())  # words of the sample
+    drop(sample)
     vocabulary = pieces(path)
-    ids = {s: i for i, s in enumerate(vocabulary)}
-    longest = max(map(len, vocabulary))
-    languages = sorted(by)
-    fitted = [fit_language(by[y], ids, longest) for y in languages]
-    return Model(languages, vocabulary, np.array(fitted).reshape(len(languages), len(vocabulary) + 1))
+    languages, words = sorted({y for _, y, _ in found}), sorted({w for w, _, _ in found})
+    counted = np.zeros((len(words), len(languages)))
+    row, column = {w: k for k, w in enumerate(words)}, {y: k for k, y in enumerate(languages)}
+    for w, y, n in found:
+        counted[row[w], column[y]] = n
+    return Model(languages, vocabulary, fit_pieces(words, counted, vocabulary))
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
