@@ -5,9 +5,10 @@ the shares of pairs of byte classes, and how its words repeat.  A hidden layer m
 gated attention, w . (tanh(V h) * sigmoid(U h)), is normalised over the bag, and the weighted mean
 of the h gives the score.  Only documents have labels; which passages matter is learned from them.
 
-The network is fitted on a bounded sample: SAMPLE_ROWS labelled rows in hash order, and of each at
-most SAMPLE_PASSAGES passages, evenly spaced.  Scoring reads every passage of the whole text.
-An empty or null text is one empty passage.  Rows with a null label are not learned from.
+The network is fitted on a bounded sample: at most SAMPLE_ROWS labelled rows and SAMPLE_BYTES of text, in
+hash order of their keys, with all of their passages.  Scoring reads every passage of the whole text.
+An empty or null text is one empty passage.  Rows with a null label are not learned from.  A key with
+several labels is learned with each.  Repeated rows are scored alike, and learned from once.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql import types as T
 
 from lumenframe.llm.batches import ASCII_LOWER, chunked, span_hashes, text_buffer, word_spans
 from lumenframe.llm.bpe import _with_columns
+from lumenframe.llm.tables import bounded_sample, drop
 
 PASSAGE = 512
-SAMPLE_ROWS = 3_000
-SAMPLE_PASSAGES = 48
+SAMPLE_ROWS, SAMPLE_BYTES = 3_000, 32 << 20
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 10, 64, 4e-3, 1e-4
 SEED = 11
@@ -161,27 +162,25 @@ def fit_bags(x: np.ndarray, per: np.ndarray, y: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id") -> Model:
-    """Fits on the SAMPLE_ROWS labelled rows of docs that come first in hash order of key.
+    """Fits on the bounded sample of labelled rows of docs that comes first in hash order of key.
 
-    The rows are chosen by keys alone; only the chosen ones' texts are read.
+    Candidates are chosen by keys alone, so that no other rows' texts are shuffled.
     """
-    marks = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("double").alias("y"))
+    marks = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("double").alias("y")).distinct()
     known = marks.join(docs.select(F.col(key).alias("k")), "k", "left_semi")
     first = known.select("k", "y", F.xxhash64("k").alias("h")).orderBy("h", "k", "y").limit(SAMPLE_ROWS).select("k", "y")
-    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(first), "k")  # SAMPLE_ROWS keys
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(first.select("k").distinct()), "k", "left_semi")  # SAMPLE_ROWS keys
+    sample = bounded_sample(texts, SAMPLE_ROWS, SAMPLE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, "t"):
             x, per = encode_passages(batch.column("t"))
-            at, parts, kept = 0, [], []
-            for n in per.tolist():
-                take = np.unique(np.linspace(0, n - 1, min(n, SAMPLE_PASSAGES)).astype(int))
-                parts.append(x[at + take].astype(np.float16).tobytes())
-                kept.append(len(take))
-                at += n
-            yield pa.RecordBatch.from_arrays([batch.column("k").cast(pa.string()), batch.column("y"), pa.array(kept, pa.int64()), pa.array(parts, pa.binary())], names=["k", "y", "n", "x"])
-
-    got = sorted(sample.mapInArrow(run, "k string, y double, n long, x binary").collect(), key=lambda r: (r["k"] or "", r["y"], bytes(r["x"])))  # at most SAMPLE_ROWS x SAMPLE_PASSAGES passages
+            parts = np.split(x.astype(np.float16), np.cumsum(per)[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("k").cast(pa.string()), batch.column("y"), pa.array(per, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["k", "y", "n", "x"])
+
+    encoded = sample.join(F.broadcast(first), "k").select("k", "y", "t").mapInArrow(run, "k string, y double, n long, x binary")
+    got = sorted(encoded.collect(), key=lambda r: (r["k"] or "", r["y"], bytes(r["x"])))  # passages of the sample
+    drop(sample)
     if not got:
         return fit_bags(np.zeros((0, FEATURES), np.float32), np.zeros(0, int), np.zeros(0))
     x = np.vstack([np.frombuffer(r["x"], np.float16).reshape(r["n"], FEATURES) for r in got]).astype(np.float32)
