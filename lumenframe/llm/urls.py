@@ -1,17 +1,20 @@
 """URL filters by a tree of path templates for each host.
 
-Urls are cut into host and path segments.  Per host the segments form a tree, built level by level
-from counts: segments that look like values (digits, long or hexadecimal tokens) become wildcards at
-once; at a node with more than FAN distinct children, children under MIN_SHARE of the node's urls
-become one wildcard; the branches that are left are merged while their shares of bad labels
-don't differ by more than Z standard errors.  A template is rejected if its labelled purity,
-smoothed towards the global share, reaches REJECT with at least MIN_LABELS labels.  Segments from
-DEPTH on are one rest segment.
+Urls are cut into host and path segments.  Per host the segments form a tree, built level by level from
+counts.  At a node with more than FAN distinct children, children with under MIN_SHARE of the node's urls
+are one wildcard; at one with more than FEW children, where at least half of the urls have a child of
+their own, so are those children.  The branches that are left are merged while their shares of bad labels
+don't differ by more than Z standard errors.  Segments that all urls of a node share are passed at once, so
+the levels are those of the tree's branchings, and the tree goes on until no node has two urls that differ.
+A template is rejected if its labelled purity, smoothed towards the global share, reaches REJECT with at
+least MIN_LABELS labels.
 
 Explicit rules come first: a rule `host/path` fits its host and all subdomains where the path
-starts with `/path`; the longest fitting rule decides.
+starts with `/path`; the longest fitting rule decides, of equally long ones the last in order.
 
-Null urls and urls without `://` have an empty host and path, and are judged like any other.
+Null urls and urls without `://` have an empty host and path, and are judged like any other.  Empty
+segments are left out of templates.  Long urls are used whole.  Of branches that are equally close the
+cleaner ones are merged first, then those first in order.  Repeated rows count each, and are judged alike.
 """
 
 from __future__ import annotations
@@ -25,14 +28,11 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.tables import cut
 
-DEPTH = 4
-FAN, MIN_SHARE = 32, 0.02
+FAN, MIN_SHARE, FEW = 32, 0.02, 8
 Z = 1.64
 PRIOR_WEIGHT, MIN_LABELS, REJECT = 4.0, 5, 0.5
 SALTS = 16
-WILD, REST, END = "*", "**", ""
-#: Segments that are values rather than names.
-VALUE = r"[0-9]|^[0-9a-fA-F-]{16,}$|^.{40,}$"
+WILD, END = "*", ""
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,10 +56,8 @@ def fitting_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """The first DEPTH segments with value-like ones as wildcards, and a rest segment if there are more."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    general = F.transform(F.slice(parts, 1, DEPTH), lambda s: F.when(s.rlike(VALUE), F.lit(WILD)).otherwise(s))
-    return F.when(F.size(parts) > DEPTH, F.concat(general, F.array(F.lit(REST)))).otherwise(general)
+    """The segments of a path; the signs that templates use for themselves are escaped."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.replace(F.replace(s, F.lit("*"), F.lit("%2A")), F.lit("|"), F.lit("%7C")))
 
 
 def merge_branches(branches: list[tuple[str, int, int]]) -> dict[str, str]:
@@ -87,35 +85,59 @@ def _name_branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [])
         for host, tmpl, kids in zip(*(batch.column(c).to_pylist() for c in ("host", "tmpl", "kids")), strict=True):
-            named = merge_branches([(k["seg"], k["bad"], k["labelled"]) for k in kids if k["seg"] not in (WILD, REST, END)])
+            named = merge_branches([(k["seg"], k["bad"], k["labelled"]) for k in kids if k["seg"] != END])
             for k in kids:
                 for column, value in zip(out, (host, tmpl, k["seg"], named.get(k["seg"], k["seg"])), strict=True):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["host", "tmpl", "seg", "name"])
+        kinds = (pa.string(), pa.list_(pa.string()), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["host", "tmpl", "seg", "name"])
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def shared_start(lo: Column, hi: Column) -> Column:
+    """The segments that the first and the last of some lists in order, and so all of them, begin with."""
+    differ = F.array_position(F.zip_with(lo, hi, lambda a, b: a.eqNullSafe(b)), False).cast("int")
+    return F.slice(lo, F.lit(1), F.when(differ > 0, differ - 1).otherwise(F.size(lo)))
 
 
 def templates(urls: DataFrame) -> DataFrame:
     """(host, segs, tmpl, bad, labelled) for every distinct host and list of segments.
 
-    urls has host, segs, and bad: 1, 0 or null where there is no label.
+    urls has host, segs, and bad: 1, 0 or null where there is no label.  tmpl is the list of the template's
+    segments.  A url that ends at a branching has END as its last segment there.
     """
+    nothing = F.array().cast("array<string>")
     shapes = urls.groupBy("host", "segs").agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"), F.count("bad").alias("labelled"))
-    shapes = cut(shapes.withColumn("tmpl", F.lit("")).withColumn("salt", F.pmod(F.hash("segs"), F.lit(SALTS))))
+    shapes = cut(shapes.withColumn("tmpl", nothing).withColumn("rest", F.col("segs")).withColumn("salt", F.pmod(F.hash("segs"), F.lit(SALTS))))
+    columns = ["host", "segs", "n", "bad", "labelled"]
+    done = None
     sums = [F.sum(c).alias(c) for c in ("n", "bad", "labelled")]
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    for level in range(DEPTH + 1):
-        shapes = shapes.withColumn("seg", F.coalesce(F.get("segs", F.lit(level)), F.lit(END)))
+    while True:
+        ends = [F.min("rest").alias("lo"), F.max("rest").alias("hi")]
+        nodes = shapes.groupBy("host", "tmpl", "salt").agg(*ends).groupBy("host", "tmpl").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        nodes = _salted(nodes.select("host", "tmpl", shared_start(F.col("lo"), F.col("hi")).alias("start"), (F.col("lo") == F.col("hi")).alias("alike")))
+        passed = shapes.join(nodes, ["host", "tmpl", "salt"]).withColumn("tmpl", F.concat("tmpl", "start")).withColumn("rest", F.slice("rest", F.size("start") + 1, F.size("rest")))
+        passed = cut(passed.drop("start"), shapes)
+        finished = passed.filter("alike").select(*columns, "tmpl")
+        shapes = passed.filter("not alike").drop("alike").withColumn("seg", F.coalesce(F.get("rest", F.lit(0)), F.lit(END)))
         kids = shapes.groupBy("host", "tmpl", "seg", "salt").agg(*sums).groupBy("host", "tmpl", "seg").agg(*sums)
-        wide = kids.groupBy("host", "tmpl").agg(F.count("*").alias("fan"), F.sum("n").alias("all")).filter(F.col("fan") > FAN).select("host", "tmpl", "all", salts.alias("salt"))
-        rare = (F.col("n") < MIN_SHARE * F.col("all")) & ~F.col("seg").isin(END, REST)
-        kept = kids.withColumn("salt", F.pmod(F.hash("seg"), F.lit(SALTS))).join(wide, ["host", "tmpl", "salt"], "left").withColumn("rare", F.coalesce(rare, F.lit(False)))
+        wide = kids.groupBy("host", "tmpl").agg(F.count("*").alias("fan"), F.sum("n").alias("all"), F.count_if((F.col("n") == 1) & (F.col("seg") != END)).alias("single")).filter(F.col("fan") > FEW)
+        rare = ((F.col("fan") > FAN) & (F.col("n") < MIN_SHARE * F.col("all"))) | ((F.col("n") == 1) & (2 * F.col("single") >= F.col("all")))
+        kept = kids.withColumn("salt", F.pmod(F.hash("seg"), F.lit(SALTS))).join(_salted(wide), ["host", "tmpl", "salt"], "left").filter(~(F.coalesce(rare, F.lit(False)) & (F.col("seg") != END)))
         # What is left of a node has at most FAN + 1 / MIN_SHARE branches.
-        nodes = kept.filter(~F.col("rare")).groupBy("host", "tmpl").agg(F.collect_list(F.struct("seg", "bad", "labelled")).alias("kids"))
-        names = nodes.mapInArrow(_name_branches, "host string, tmpl string, seg string, name string").select("host", "tmpl", "seg", "name", salts.alias("salt"))
-        shapes = shapes.join(names, ["host", "tmpl", "seg", "salt"], "left")
-        shapes = shapes.withColumn("tmpl", F.when(F.col("seg") == END, F.col("tmpl")).otherwise(F.concat("tmpl", F.lit("/"), F.coalesce("name", F.lit(WILD))))).drop("seg", "name")
+        branches = kept.groupBy("host", "tmpl").agg(F.collect_list(F.struct("seg", "bad", "labelled")).alias("kids"))
+        names = _salted(branches.mapInArrow(_name_branches, "host string, tmpl array<string>, seg string, name string"))
+        shapes = shapes.join(names, ["host", "tmpl", "seg", "salt"], "left").withColumn("tmpl", F.concat("tmpl", F.array(F.when(F.col("seg") == END, F.col("seg")).otherwise(F.coalesce("name", F.lit(WILD))))))
+        shapes = shapes.withColumn("rest", F.slice("rest", 2, F.greatest(F.size("rest"), F.lit(1)))).drop("name")
         shapes = cut(shapes)
-    return shapes.select("host", "segs", "tmpl", "n", "bad", "labelled")
+        finished = finished.unionByName(shapes.filter(F.col("seg") == END).select(*columns, "tmpl"))
+        done = finished if done is None else done.unionByName(finished)
+        shapes = shapes.filter(F.col("seg") != END).drop("seg")
+        if shapes.isEmpty():
+            return done.withColumn("tmpl", F.concat_ws("", F.transform("tmpl", lambda s: F.concat(F.lit("/"), s))))
 
 
 def rejected(shapes: DataFrame) -> DataFrame:
@@ -136,9 +158,9 @@ def judge(urls: DataFrame, rules: dict[str, str], url: str = "url", bad: str = "
     mine = ("host", "path", "rule", "template", "purity", "verdict", "segs")
     base = urls.drop(*[c for c in urls.columns if c.lower() in mine]).withColumn("host", host).withColumn("path", path)
     base = base.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("segs", segments(F.col("path")))
-    shapes = templates(base.select("host", "segs", F.col(bad).cast("long").alias("bad")))
+    shapes = cut(templates(base.select("host", "segs", F.col(bad).cast("long").alias("bad"))))
     # One row for each shape; both salts below spread the shapes of one host.
-    refused = rejected(shapes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    refused = _salted(rejected(shapes))
     known = shapes.withColumn("salt", F.pmod(F.hash("segs"), F.lit(SALTS))).join(refused.drop("n"), ["host", "tmpl", "salt"], "left").select("host", "segs", F.col("tmpl").alias("template"), "purity")
     said = F.create_map(*[F.lit(x) for rule in rules.items() for x in rule]) if rules else F.create_map().cast("map<string,string>")
     verdict = F.coalesce(F.element_at(said, F.col("rule")), F.when(F.col("purity").isNotNull(), "block").otherwise("allow"))
