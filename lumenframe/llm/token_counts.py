@@ -7,8 +7,13 @@ tokens' symbols together gives the two tokens again).  The count at a prefix is
 count where its last token starts.  A prefix that ends a text has a word-end token last; the
 same step with word-end tokens gives the count of each prefix taken as a text of its own.
 
-From the counts of all prefixes, truncation to a budget and "how many tokens up to here" are
-lookups.  Prefixes are those of the normalised text (NFC, lower case).  Null counts as empty.
+A text's prefix table holds the exact count up to the end of each of its words (words are what white
+space and special tokens delimit; no token crosses them).  The text's count is its last entry, and how
+much of it fits a budget is a lookup; within a word the same is read off the word's own prefixes, so
+nothing is encoded again.  Prefixes are those of the normalised text (NFC, lower case).
+
+Null counts as empty and has an empty table.  Long texts go whole, with one entry a word.  Repeated rows
+are counted alike.  Columns that have an output's name are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -16,14 +21,16 @@ from __future__ import annotations
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.llm.batches import chunked
-from lumenframe.llm.bpe import CACHE_WORDS, ODD_SPACE, WORD_END, Recent, Vocabulary, _with_columns, merge, normalise, pieces_of, vocabulary
+from lumenframe.llm.bpe import CACHE_WORDS, ODD_SPACE, WORD_END, Recent, Vocabulary, _lists, _with_columns, merge, normalise, pieces_of, vocabulary
 
 
 class PrefixCounter:
@@ -108,18 +115,23 @@ class PrefixCounter:
             if part:
                 yield part, bool(i % 2)
 
-    def total(self, text: str | None) -> int:
-        n = 0
+    def prefix_table(self, text: str | None) -> array:
+        """The exact count up to the end of each word or special token."""
+        counts: list[int] = []
         for part, special in self.parts_of(text or ""):
             if special:
-                n += 1
+                counts.append(1)
                 continue
             part = normalise(part)
             young = self.words.young
             for word in [part] if ODD_SPACE.search(part) else part.split():
                 known = young.get(word)
-                n += known if known is not None else self.word(word)
-        return n
+                counts.append(known if known is not None else self.word(word))
+        return array("i", accumulate(counts))
+
+    def total(self, text: str | None) -> int:
+        known = self.prefix_table(text)
+        return known[-1] if known else 0
 
     def table(self, text: str | None) -> tuple[str, array, array]:
         """The normalised text, and the end offset and total count after each of its pieces."""
@@ -155,33 +167,39 @@ class PrefixCounter:
         return whole[: start + blank + fit]
 
 
-def count_tokens(df: DataFrame, path: str, text: str = "text", count: str = "n_tokens", prefixes: str | None = None) -> DataFrame:
-    """Adds the token count of the whole text and, if named, its prefix table.
-
-    The table is array<struct<end, tokens>>: for each piece the offset where it ends in the
-    normalised text and the exact count of the prefix that ends there.
-    """
-    pair = T.StructType([T.StructField("end", T.LongType()), T.StructField("tokens", T.LongType())])
-    add = {count: T.LongType()} | ({prefixes: T.ArrayType(pair)} if prefixes else {})
-    schema = _with_columns(df, add)
-    keep = [f.name for f in schema.fields if f.name not in add]
+def prefix_table(df: DataFrame, path: str, text: str = "text", out: str = "prefix_tokens") -> DataFrame:
+    """Adds array<int>: the exact count of the text up to the end of its first, second, ... word."""
+    schema = _with_columns(df, {out: T.ArrayType(T.IntegerType())})
+    keep = [f.name for f in schema.fields if f.name != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter(vocabulary(path))
         for batch in chunked(batches, text):
-            columns, texts = [batch.column(c) for c in keep], batch.column(text).to_pylist()
-            if prefixes:
-                tables = [counter.table(t) for t in texts]
-                columns.append(pa.array([c[-1] if c else 0 for _, _, c in tables], type=pa.int64()))
-                rows = [[{"end": e, "tokens": c} for e, c in zip(ends, counts, strict=True)] for _, ends, counts in tables]
-                columns.append(pa.array(rows, type=pa.list_(pa.struct([("end", pa.int64()), ("tokens", pa.int64())]))))
-            else:
-                columns.append(pa.array([counter.total(t) for t in texts], type=pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *add])
+            tables = [counter.prefix_table(t) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [_lists(tables)], names=[*keep, out])
 
     return df.mapInArrow(run, schema)
 
 
+def total(table: Column) -> Column:
+    """The count of the whole text, from its prefix table."""
+    return F.when(F.size(table) > 0, F.element_at(table, -1)).otherwise(0).cast("long")
+
+
+def words_within(table: Column, budget: int) -> Column:
+    """How many of the text's first words have at most budget tokens together, from its prefix table."""
+    return F.size(F.filter(table, lambda n: n <= budget)).cast("long")
+
+
+def count_tokens(df: DataFrame, path: str, text: str = "text", count: str = "n_tokens", prefixes: str | None = None) -> DataFrame:
+    """Adds the token count of the whole text and, if named, its prefix table."""
+    name = prefixes or "_prefix_tokens"
+    plain = df.drop(*[c for c in df.columns if c.lower() == count.lower()])
+    done = prefix_table(plain, path, text, name)
+    counted = done.withColumn(count, total(F.col(name)))
+    return counted if prefixes else counted.drop(name)
+
+
 def truncate(df: DataFrame, path: str, budget: int, text: str = "text", out: str = "truncated") -> DataFrame:
     """Adds the longest prefix of the normalised text with at most budget tokens; null gives an empty one."""
     schema = _with_columns(df, {out: T.StringType()})
