@@ -12,8 +12,14 @@ An item that allows no edits (under 14 bytes) matches where it neither begins no
 Words are runs of ASCII letters and digits and of characters of two bytes (Latin, Greek, Cyrillic,
 Hebrew, Arabic); other scripts, many of which have no spaces, have a boundary at every character.
 
-Null or empty texts match nothing, nor do items of white space alone.  The items go to all
-tasks in blocks of BLOCK_BYTES, one pass over the documents for each block.
+Null or empty texts match nothing, nor do items of white space alone or without a key.  The items go to
+all tasks in blocks of BLOCK_BYTES, one pass over the documents for each block.  Texts and items that share
+more than HITS q-grams at once are taken apart (texts, then stretches of a text, items, and stretches of an
+item, with overlaps that hold a whole window), so that memory is bounded however repetitive they are.
+
+Of several alignments of a document and an item the first that is found is reported, by half-band, band
+and item position; which one it is doesn't change whether there is one.  Repeated rows are looked at each;
+items of equal key are items of their own.
 """
 
 from __future__ import annotations
@@ -34,6 +40,9 @@ BLOCK_BYTES = 8 << 20
 #: Bytes of a document that are matched at once; neighbours overlap by OVERLAP.
 PIECE, OVERLAP = 2 << 20, 4096
 
+#: Shared q-grams that are looked at together, about.
+HITS = 4 << 20
+
 U64 = np.uint64
 FILTER_BITS = 22
 
@@ -89,16 +98,16 @@ class Index:
         self.maybe = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.maybe[(self.hashes >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions in data, items and positions in them of all shared q-grams."""
+    def common(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in data of shared q-grams, and their numbers here."""
         h = grams(data, self.q)
         at = np.flatnonzero(self.maybe[(h >> U64(64 - FILTER_BITS)).astype(np.int64)]) if len(h) else np.zeros(0, dtype=np.int64)
-        if len(at) == 0:
-            none = np.zeros(0, dtype=np.int64)
-            return none, none, none
         k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-        same = self.hashes[k] == h[at]
-        at, k = at[same], k[same]
+        same = self.hashes[k] == h[at] if len(at) else np.zeros(0, dtype=bool)
+        return at[same], k[same]
+
+    def hits(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions in data, items and positions in them, of what common() gives."""
         n = self.n[k]
         entry = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, dtype=np.int64)
         return np.repeat(at, n), self.item[entry], self.pos[entry]
@@ -107,29 +116,44 @@ class Index:
 class Items:
     """A block of items and the indexes of their q-grams."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        data, offsets = squeeze(*text_buffer(pa.array(texts, pa.string())))
-        self.ids, self.bytes = [], []
-        for k, i in enumerate(ids):
-            if offsets[k + 1] > offsets[k]:
-                self.ids.append(i)
-                self.bytes.append(data[offsets[k] : offsets[k + 1]])
-        size = np.array([len(b) for b in self.bytes], dtype=np.int64)
+    def __init__(self, ids: list[int], texts: list[np.ndarray]):
+        self.ids, self.bytes = ids, texts
+        size = np.array([len(b) for b in texts], dtype=np.int64)
         self.window = np.minimum(WINDOW, size)
         self.edits = np.floor(self.window * BUDGET).astype(np.int64)
         self.q = np.minimum(Q, self.window // (self.edits + 1))
         self.bound = self.window - self.q + 1 - self.q * self.edits
-        self.indexes = [Index(q, own := np.flatnonzero(self.q == q), [self.bytes[k] for k in own]) for q in np.unique(self.q).tolist()]
+        self.indexes = [Index(q, own := np.flatnonzero(self.q == q), [texts[k] for k in own]) for q in np.unique(self.q).tolist()]
         self.words = bool((self.edits == 0).any())
+        self.parts: list[tuple[Items, int, int]] | None = None
+
+    @classmethod
+    def of(cls, ids: list[int], texts: list[str]) -> Items:
+        """The items that have a byte that isn't white space."""
+        data, offsets = squeeze(*text_buffer(pa.array(texts, pa.string())))
+        some = [k for k in range(len(ids)) if offsets[k + 1] > offsets[k]]
+        return cls([ids[k] for k in some], [data[offsets[k] : offsets[k + 1]] for k in some])
+
+    def halves(self) -> list[tuple[Items, int, int]]:
+        """(items, number of the first, its offset): half of the items each, or overlapping halves of a long one; none of a short one."""
+        if self.parts is None:
+            n, size = len(self.ids), len(self.bytes[0])
+            if n > 1:
+                self.parts = [(Items(self.ids[lo:hi], self.bytes[lo:hi]), lo, 0) for lo, hi in ((0, n // 2), (n // 2, n))]
+            elif size > 4 * WINDOW:
+                self.parts = [(Items(self.ids, [self.bytes[0][lo:hi]]), 0, lo) for lo, hi in ((0, size // 2 + WINDOW), (size // 2, size))]
+            else:
+                self.parts = []
+        return self.parts
 
     def edges(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """word_edges() where an item needs them."""
         return word_edges(data, offsets) if self.words else None
 
-    def hits(self, data: np.ndarray, edges: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hits(self, data: np.ndarray, edges: tuple[np.ndarray, np.ndarray] | None, common: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions in data, items and positions in them of all shared q-grams, without words that go on."""
         none = np.zeros(0, dtype=np.int64)
-        at, item, pos = map(np.concatenate, zip((none, none, none), *(index.hits(data) for index in self.indexes), strict=True))
+        at, item, pos = map(np.concatenate, zip((none, none, none), *(index.hits(*c) for index, c in zip(self.indexes, common, strict=True)), strict=True))
         if edges is not None:
             start, end = at - pos, at - pos + self.window[item]
             fits = (start >= 0) & (end <= len(data))
@@ -160,24 +184,50 @@ def band_edits(pattern: np.ndarray, text: np.ndarray, most: int) -> int:
     return int(row.min())
 
 
+def apart(data: np.ndarray, offsets: np.ndarray, items: Items, edges: tuple[np.ndarray, np.ndarray] | None) -> list[tuple[tuple, tuple[int, int, int, int]]]:
+    """find()'s arguments for two parts of the work, with what to add to the parts' texts, items and positions."""
+    part = lambda lo, hi: (data[lo:hi], edges and (edges[0][lo:hi], edges[1][lo:hi]))
+    n = len(offsets) - 1
+    if n > 1:
+        out = []
+        for first, past in ((0, n // 2), (n // 2, n)):
+            d, e = part(offsets[first], offsets[past])
+            out.append(((d, offsets[first : past + 1] - offsets[first], items, e), (first, 0, 0, 0)))
+        return out
+    if len(data) > 2 * OVERLAP:
+        out = []
+        for lo, hi in ((0, len(data) // 2 + OVERLAP // 2), (len(data) // 2 - OVERLAP // 2, len(data))):
+            d, e = part(lo, hi)
+            out.append(((d, np.array([0, hi - lo]), items, e), (0, 0, 0, lo)))
+        return out
+    return [((data, offsets, half, edges), (0, first, lo, 0)) for half, first, lo in items.halves()]
+
+
 def find(data: np.ndarray, offsets: np.ndarray, items: Items, edges: tuple[np.ndarray, np.ndarray] | None) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, shared q-grams, edits, item position, text position) of all contaminated pairs."""
-    at, item, pos = items.hits(data, edges)
+    common = [index.common(data) for index in items.indexes]
+    if sum(int(index.n[k].sum()) for index, (_, k) in zip(items.indexes, common, strict=True)) > HITS and (parts := apart(data, offsets, items, edges)):
+        best: dict[tuple[int, int], tuple] = {}
+        for part, shifts in parts:
+            for t, i, shared, edits, s, at in find(*part):
+                best.setdefault((t + shifts[0], i + shifts[1]), (shared, edits, s + shifts[2], at + shifts[3]))
+        return [(*pair, *hit) for pair, hit in sorted(best.items())]
+    at, item, pos = items.hits(data, edges, common)
     text = np.searchsorted(offsets[1:], at, side="right")
     inside = at + items.q[item] <= offsets[text + 1] if len(at) else np.zeros(0, dtype=bool)
     at, item, pos, text = at[inside], item[inside], pos[inside], text[inside]
     if len(at) == 0:
         return []
     span = 2 * items.edits[item] + 1  # a band of twice this width holds any alignment once it is offset by half
-    diagonal = at - offsets[text] - pos + (1 << 20)
+    diagonal = at - offsets[text] - pos
+    pair = text * len(items.ids) + item
     found: dict[tuple[int, int], tuple] = {}
     for half in (0, 1):
         band = (diagonal + half * span) // (2 * span)
-        key = (text * len(items.ids) + item) * (1 << 32) + band
-        order = np.lexsort((pos, key))
-        k = key[order]
-        begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        count = np.diff(np.append(begin, len(k)))
+        order = np.lexsort((pos, band, pair))
+        p, b = pair[order], band[order]
+        begin = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (b[1:] != b[:-1])))
+        count = np.diff(np.append(begin, len(p)))
         enough = count >= items.bound[item[order[begin]]]
         for b, n in zip(begin[enough].tolist(), count[enough].tolist(), strict=True):
             part = order[b : b + n]
@@ -214,16 +264,17 @@ def item_blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[Items]:
     blocks = max(1, -(-total // BLOCK_BYTES))
     for b in range(blocks):
         rows = sized.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).collect()  # about BLOCK_BYTES
-        yield Items(*map(list, zip(*sorted((r["k"], r["t"]) for r in rows), strict=True)) if rows else ([], []))
+        yield Items.of(*map(list, zip(*sorted((r["k"], r["t"]) for r in rows), strict=True)) if rows else ([], []))
 
 
-FOUND = "doc_id long, item_id long, shared int, edits int, item_start int, doc_start int"
+FOUND = "doc_id long, item_id long, shared int, edits int, item_start int, doc_start int, text_hash long"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item that it contains, with the first alignment found.
 
-    Positions count bytes of the squeezed texts.  Rows with equal keys are looked at one by one.
+    Positions count bytes of the squeezed texts; text_hash tells rows of equal key apart.  Other columns
+    are not looked at.
     """
     out = None
     for block in item_blocks(benchmark, item, item_text):
@@ -237,9 +288,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
                 found = find(data, offsets, items, edges) if len(data) <= PIECE else in_pieces(data, offsets, items, edges)
                 ids = batch.column("k")
                 columns = list(zip(*found, strict=True)) if found else [[]] * 6
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0], pa.int64())), pa.array([items.ids[i] for i in columns[1]], pa.int64()), *[pa.array(c, pa.int32()) for c in columns[2:]]], names=["doc_id", "item_id", "shared", "edits", "item_start", "doc_start"])
+                rows = pa.array(columns[0], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(rows), pa.array([items.ids[i] for i in columns[1]], pa.int64()), *[pa.array(c, pa.int32()) for c in columns[2:]], batch.column("h").take(rows)], names=["doc_id", "item_id", "shared", "edits", "item_start", "doc_start", "text_hash"])
 
-        got = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, FOUND)
+        got = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).mapInArrow(run, FOUND)
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -257,6 +309,6 @@ def in_pieces(data: np.ndarray, offsets: np.ndarray, items: Items, edges: tuple[
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents that contain no item; rows without a key stay."""
-    bad = matches(docs, benchmark, text, key).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(key) == F.col("_bad"), "left_anti")
+    """The rows that contain no item, those without a key included."""
+    bad = matches(docs, benchmark, text, key).select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_text")).distinct()
+    return docs.join(bad, F.col(key).cast("long").eqNullSafe(F.col("_bad")) & (F.xxhash64(text) == F.col("_bad_text")), "left_anti")
