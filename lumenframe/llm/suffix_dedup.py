@@ -10,18 +10,19 @@ A transform of a whole corpus is not one task's work, so equal windows are first
    they span are its context.
 2. Anchors that occur once are out.  Their fingerprints meet in packed blocks, and each block gets
    back one bit an anchor, so a fingerprint of very many copies is one entry of each block.
-3. Equal contexts are counted where they are made.  All windows of a context that occurs twice repeat.
-4. The contexts of an anchor with several of them, at least one of which is single, go to a suffix
-   array and its transform.  Starting from the empty string, intervals are extended backwards breadth
-   first; the boundaries that a level meets for the first time have that level as the length of
-   their common prefix.  The expansion ends at `length`; boundaries that are left separate suffixes that share at least
-   `length` bytes.
-5. An anchor with more than CAP contexts is split: its windows are dealt to ranges of offsets,
-   and the string that all windows of a range share becomes part of the key.  Ranges get finer until one
-   is a single window, where the key is the window itself and a count decides.
-
-Null texts count as empty; texts shorter than `length` keep all.  Rows with equal key and text are
-copies of each other like any others.
+3. Equal contexts become one string with a multiplicity.
+4. The strings of an anchor go to a suffix array and its transform, in which a string of multiplicity n
+   stands for n equal ones.  Starting from the empty string, intervals are extended backwards breadth
+   first; the boundaries that a level meets for the first time have that level as the length of their common
+   prefix.  The expansion ends at `length`; boundaries that are left don't separate suffixes that share at
+   least `length` bytes, and between two others the multiplicities are added up.
+5. An anchor with more than CAP strings is split: its windows are dealt to ranges of offsets, and the string
+   that all windows of a range share becomes part of the key.  Ranges get finer until a range is a single
+   window, where a unit has one string; each unit goes to a transform as in step 4.
+
+Null texts count as empty; texts shorter than `length` keep all.  Rows with equal key and text are copies
+of each other like any others; rows without a key are treated like those with one.  Long texts go in pieces
+that overlap.  There are no ties to settle: a repeated string goes wherever it is.
 """
 
 from __future__ import annotations
@@ -42,12 +43,12 @@ from lumenframe.llm.tables import cut, workers
 U64 = np.uint64
 LENGTH = 200
 K = 32
-#: Contexts of one anchor that are handled together, and contexts of one transform.
+#: Strings of one anchor that go to one transform, and strings of one transform, about.
 CAP, BATCH = 3_000, 3_000
 #: Numbers of ranges of offsets that larger anchors are split into; the last gives single windows.
 SPLITS = (4, 24, None)
-#: Text of a block of packed fingerprints.
-BLOCK_BYTES = 8 << 20
+#: Text of a block of packed fingerprints, and fingerprints that meet in one place.
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -126,9 +127,12 @@ def suffix_array(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarr
         covered *= 2
 
 
-def repeats(strings: list[bytes], length: int) -> np.ndarray:
-    """For each byte of the joined strings, whether the `length` bytes from there start elsewhere too."""
-    data, order, left, _ = suffix_array(strings, length)
+def repeats(strings: list[bytes], length: int, times: np.ndarray | None = None) -> np.ndarray:
+    """For each byte of the joined strings, whether the `length` bytes from there start elsewhere too.
+
+    times are the multiplicities of the strings, 1 if not given.
+    """
+    data, order, left, of_string = suffix_array(strings, length)
     n = len(order)
     place = np.empty(n, dtype=np.int64)
     place[order] = np.arange(n)
@@ -162,9 +166,10 @@ def repeats(strings: list[bytes], length: int) -> np.ndarray:
                 break
             continue
         known[hi] = True
-    same = np.flatnonzero(~known)
+    group = np.cumsum(known[:n]) - 1
+    weight = np.ones(n) if times is None else times[of_string[order]]
     out = np.zeros(n, dtype=bool)
-    out[order[same]] = out[order[same - 1]] = True
+    out[order] = np.bincount(group, weight)[group] > 1
     return out & (left >= length)
 
 
@@ -265,20 +270,20 @@ def _stretches(flags: np.ndarray) -> list[dict[str, int]]:
 
 
 def transform(rows: DataFrame, length: int) -> DataFrame:
-    """(unit, s, spans) for rows (unit, s, bytes): windows that occur in two strings of all that are in a batch.
+    """(unit, s, spans) for written rows (unit, s, n, bytes): windows that occur more than once in their batch.
 
-    Only windows of one unit can be equal, and a unit's rows are in one batch.
+    Only windows of one unit can be equal, and a unit's rows are in one batch; n are multiplicities.
     """
     parts = max(1, -(-rows.count() // BATCH))
 
     def run(table: pa.Table) -> pa.Table:
         strings = table.column("bytes").to_pylist()
-        flags = repeats(strings, length)
+        flags = repeats(strings, length, table.column("n").to_numpy())
         cuts = np.cumsum([len(s) for s in strings])[:-1]
         spans = [_stretches(part) for part in np.split(flags, cuts)]
         return pa.table([table.column("unit"), table.column("s"), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["unit", "s", "spans"])
 
-    dealt = rows.select("unit", "s", "bytes", F.pmod(F.xxhash64("unit"), F.lit(parts)).alias("batch"))
+    dealt = rows.select("unit", "s", "n", "bytes", F.pmod(F.xxhash64("unit"), F.lit(parts)).alias("batch"))
     return dealt.groupBy("batch").applyInArrow(run, f"unit long, s long, spans {SPANS}").filter(F.size("spans") > 0)
 
 
@@ -308,41 +313,35 @@ def split_windows(rows: DataFrame, parts: int | None, length: int) -> DataFrame:
 
 
 def finer(rows: DataFrame, length: int) -> DataFrame:
-    """(fp, ctx, spans) for the contexts (fp, ctx, n, left, bytes) of anchors with more than CAP of them."""
-    out = None
+    """(fp, ctx, spans) for the strings (fp, ctx, n, left, bytes) of anchors with more than CAP of them."""
+    out = rows.select("fp", "ctx", F.lit(None).cast(SPANS).alias("spans")).limit(0)
     for parts in SPLITS:
-        rows = cut(rows)
         if rows.isEmpty():
             break
         sub = cut(split_windows(rows, parts, length))
         strings = sub.groupBy("unit", "s").agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes"))
-        units = strings.groupBy("unit").agg(F.count("*").alias("m"), F.sum((F.col("n") == 1).cast("int")).alias("single"))
-        all_of = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("bytes") - length + 1).cast("int").alias("b")))
-        found = strings.filter("n > 1").select("unit", "s", all_of.alias("spans"))
-        hot = units.filter((F.col("single") > 0) & (F.col("m") > CAP)).select("unit")
-        if parts is not None:
-            some = units.filter((F.col("single") > 0) & (F.col("m") > 1) & (F.col("m") <= CAP)).select("unit")
-            found = found.unionByName(transform(cut(strings.join(some, "unit").select("unit", "s", "bytes")), length))
-            below = sub.join(hot, "unit", "left_semi").select("fp", "ctx").distinct()
-            rows = rows.join(below, ["fp", "ctx"], "left_semi")
+        units = cut(strings.groupBy("unit").agg(F.count("*").alias("m"), F.sum("n").alias("n")).filter("n > 1").select("unit", "m"))
+        some = units if parts is None else units.filter(F.col("m") <= CAP)
+        mine = cut(strings.join(some.select("unit"), "unit"))
         shifted = F.transform("spans", lambda x: F.struct((x["a"] + F.col("base")).alias("a"), (x["b"] + F.col("base")).alias("b")))
-        got = cut(sub.select("unit", "s", "fp", "ctx", "base").join(found, ["unit", "s"]).select("fp", "ctx", shifted.alias("spans")))
-        out = got if out is None else out.unionByName(got)
-    return rows.select("fp", "ctx", F.lit(None).cast(SPANS).alias("spans")).limit(0) if out is None else out
+        got = cut(sub.select("unit", "s", "fp", "ctx", "base").join(transform(mine, length), ["unit", "s"]).select("fp", "ctx", shifted.alias("spans")), mine)
+        out = out.unionByName(got)
+        if parts is not None:
+            below = sub.join(units.filter(F.col("m") > CAP), "unit", "left_semi").select("fp", "ctx").distinct()
+            rows = cut(rows.join(below, ["fp", "ctx"], "left_semi"), sub, units, rows)
+    return out
 
 
 def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, h, spans): ranges of window starts of each text (doc_id, h, text) that occur elsewhere too."""
     spark = docs.sparkSession
-    found = cut(repeated_runs(cut(blocks(docs, length)), max(16, workers(spark))))
+    packed = cut(blocks(docs, length))
+    size = packed.agg(F.sum(F.octet_length("fp").cast("long")).alias("n")).first()["n"] or 0
+    found = cut(repeated_runs(packed, max(workers(spark), -(-size // BUCKET_BYTES))), packed)
     place = F.struct("doc_id", "h", "lo", "span", "left")
-    contexts = found.groupBy("fp", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("at"))
-    contexts = cut(contexts)
-    anchors = contexts.groupBy("fp").agg(F.count("*").alias("m"), F.sum((F.col("n") == 1).cast("int")).alias("single"))
-    anchors = cut(anchors.filter("m > 1 and single > 0").select("fp", "m"))  # written, so that the join below can split its large partitions
-    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("at.span") + 1).cast("int").alias("b")))
-    twice = contexts.filter("n > 1").select("fp", "ctx", whole.alias("spans"))
-    open_ = contexts.join(anchors, "fp").select("fp", "ctx", "n", "m", "at.*")
+    contexts = cut(found.groupBy("fp", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("at")))
+    anchors = cut(contexts.groupBy("fp").agg(F.count("*").alias("m")))  # written, so that the join below can split its large partitions
+    open_ = contexts.join(anchors, "fp").select("fp", "ctx", F.least("n", F.lit(2)).alias("n"), "m", "at.*")
     wanted = open_.groupBy("doc_id", "h").agg(F.collect_list(F.struct("fp", "ctx", "n", "m", "lo", "span", "left")).alias("w"))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,10 +357,10 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
 
     # Rows with equal key and text give their contexts more than once.
     own = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["h"] == wanted["h"])
-    strings = cut(docs.join(wanted, own).select("text", "w").mapInArrow(slices, "fp long, ctx long, n long, m long, left int, bytes binary").dropDuplicates(["fp", "ctx"]))
-    common = transform(cut(strings.filter(F.col("m") <= CAP).select(F.col("fp").alias("unit"), F.col("ctx").alias("s"), "bytes")), length)
+    strings = cut(docs.join(wanted, own).select("text", "w").mapInArrow(slices, "fp long, ctx long, n long, m long, left int, bytes binary").dropDuplicates(["fp", "ctx"]), contexts, anchors)
+    common = transform(strings.filter(F.col("m") <= CAP).select(F.col("fp").alias("unit"), F.col("ctx").alias("s"), "n", "bytes"), length)
     rest = finer(strings.filter(F.col("m") > CAP).drop("m"), length)
-    spans = cut(twice.unionByName(common.select(F.col("unit").alias("fp"), F.col("s").alias("ctx"), "spans")).unionByName(rest))
+    spans = cut(common.select(F.col("unit").alias("fp"), F.col("s").alias("ctx"), "spans").unionByName(rest), strings)
     hits = found.select("doc_id", "h", "fp", "ctx", "lo").join(spans, ["fp", "ctx"])
     placed = F.transform("spans", lambda x: F.struct((x["a"] + F.col("lo")).alias("a"), (x["b"] + F.col("lo")).alias("b")))
     return hits.groupBy("doc_id", "h").agg(F.flatten(F.collect_list(placed)).alias("spans"))
@@ -384,22 +383,24 @@ def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str =
     With as_text, kept is a string without characters of which only some bytes are left.  All other columns stay; columns that have those names are replaced.
     """
     keep = [c for c in docs.columns if c.lower() not in (kept.lower(), spans.lower())]
-    rows = docs.select(*keep).withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    plain = rows.select(F.col(key).cast("long").alias("doc_id"), F.col("_h").alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = repeated_windows(plain, length).select(F.col("doc_id").alias("_k"), F.col("h").alias("_g"), F.col("spans").alias("_s"))
-    joined = rows.join(found, F.col(key).cast("long").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g")), "left").drop("_k", "_g", "_h")
+    body = F.coalesce(F.col(text), F.lit(""))
+    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("text"))
+    found = repeated_windows(plain, length)
+    rows = docs.select(F.struct(*keep).alias("row"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("h"))
+    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["h"] == found["h"]), "left").select("row", "spans")
     pair = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([f for f in docs.schema.fields if f.name in keep] + [T.StructField(kept, T.StringType() if as_text else T.BinaryType()), T.StructField(spans, T.ArrayType(pair))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunked(batches, text):
+        with_text = (pa.RecordBatch.from_arrays([b.column("row"), b.column("spans"), b.column("row").field(text)], names=["row", "spans", "t"]) for b in batches)
+        for batch in chunked(with_text, "t"):
             left, gone = [], []
-            for t, s in zip(batch.column(text).to_pylist(), batch.column("_s").to_pylist(), strict=True):
+            for t, s in zip(batch.column("t").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw, stretches = (t or "").encode("utf-8"), covered(s, length)
                 edges = [0, *[x for pair in stretches for x in pair], len(raw)]
                 left.append(b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
                 gone.append([{"start": a, "end": b} for a, b in stretches])
             kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()) if as_text else pa.array(left, pa.binary()), pa.array(gone, kinds)], names=[*keep, kept, spans])
+            yield pa.RecordBatch.from_arrays([batch.column("row").field(c) for c in keep] + [pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()) if as_text else pa.array(left, pa.binary()), pa.array(gone, kinds)], names=[*keep, kept, spans])
 
-    return joined.select(*keep, "_s").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
