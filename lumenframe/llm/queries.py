@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import ann, bpe, decontam, langid, ngram_join, oracles, quality, suffix_dedup, token_counts, urls, warc
-from lumenframe.llm.tables import cut, table
+from lumenframe.llm.tables import cut, scratch, table
 
 
 def tokenizer(name: str) -> str:
@@ -23,6 +23,7 @@ ROWS_AT_ONCE = 500
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batches to ROWS_AT_ONCE for the queries here, which run when their result is used."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
 
 
@@ -45,13 +46,17 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90)
 
 
+#: Budget of tokens of the token counts' query.
+LIMIT = 2048
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts the tokens of every text against a budget of 2048."""
+    """The prefix table of every text, and what it says of the text's count and a budget."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    done = token_counts.count_tokens(docs, tokenizer(WORD_BPE))
-    return done.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+    done = token_counts.prefix_table(docs, tokenizer(WORD_BPE)).withColumn("n_tokens", token_counts.total(F.col("prefix_tokens")))
+    return done.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), token_counts.words_within(F.col("prefix_tokens"), LIMIT).alias("words_within"))
 
 
 #: The rules of the url filter's query.
@@ -76,7 +81,7 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that it contains."""
     small_batches(spark)
-    return decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +102,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes every page to archives in the shared folder, and reads them back."""
+    """Writes every page to .warc.gz files in the shared folder, and reads them back."""
     small_batches(spark)
-    archives = cut(warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
-    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder = scratch(spark)
+    cut(warc.write_files(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder))
+    return warc.read_files(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 PIECES = "piece_bpe_32k.model"

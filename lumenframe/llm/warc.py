@@ -8,19 +8,22 @@ and verifies the block and payload digests (base 32 SHA-1).
 Records whose payload repeats refer to the first one: of equal payloads, the record with the
 smallest id is a `response`, the others are `revisit` records without a block, which name it.
 
-Archives travel as rows (archive, part, content), cut to MAX_BYTES, in a Parquet table in the shared
-folder; `write_files` puts them out as .warc.gz files where executors share a file system.
+Archives are rows (archive, part, content), cut between records to MAX_BYTES; `write_files` puts them out as
+.warc.gz files in a folder that all executors reach, and `read_files` reads such files.
+
+Null payloads and urls are empty.  A long payload is one record, whatever its length.  Rows of equal key
+and payload are alike; rows without a key are responses.  Of equal payloads there is no tie but equal rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ from lumenframe.llm.batches import chunked
 
 VERSION = b"WARC/1.1"
 MAX_BYTES = 16 << 20
+#: Pages come without the time of their capture.
+DATE = "1970-01-01T00:00:00Z"
 LEVEL = 6
 READ = 1 << 16
 
@@ -48,7 +53,7 @@ def page_record(page_id: int, url: str | None, payload: bytes, refers_to: int |
     name = lambda i: f"<urn:page:{'' if i is None else i}>"
     clean = "".join(c for c in url or "" if c not in "\r\n")
     block = payload if refers_to is None else b""
-    headers = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": name(page_id), "WARC-Target-URI": clean, "WARC-Payload-Digest": f"sha1:{digest(payload)}", "WARC-Block-Digest": f"sha1:{digest(block)}", "X-Payload-Length": str(len(payload))}
+    headers = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": name(page_id), "WARC-Date": DATE, "Content-Type": "text/html; charset=utf-8", "WARC-Target-URI": clean, "WARC-Payload-Digest": f"sha1:{digest(payload)}", "WARC-Block-Digest": f"sha1:{digest(block)}", "X-Payload-Length": str(len(payload))}
     if refers_to is not None:
         headers |= {"WARC-Refers-To": name(refers_to), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
     return record(headers | {"Content-Length": str(len(block))}, block)
@@ -115,15 +120,14 @@ def slices(data: bytes, size: int = READ) -> Iterator[bytes]:
 def refer(pages: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:
     """Adds refers_to: of rows with equal payloads the smallest key, for all rows but that one.
 
-    A null payload is empty.  Only digests are grouped; the join with the payloads is by key and digest.
-    Rows with equal key and payload are alike; rows without a key are responses.
+    Only digests are grouped; the join with the payloads is by key and digest.
     """
     digest_of = F.sha1(F.coalesce(F.col(payload), F.lit("")).cast("binary"))
-    plain = pages.select(F.col(key).alias("_k"), digest_of.alias("_d"))
-    groups = plain.groupBy("_d").agg(F.min("_k").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    repeats = plain.join(groups, "_d").filter(F.col("_k") != F.col("_first")).select("_k", "_d", F.col("_first").alias("refers_to")).distinct()
-    rows = pages.drop("refers_to").withColumn("_e", digest_of)
-    return rows.join(repeats, (F.col(key) == F.col("_k")) & (F.col("_e") == F.col("_d")), "left").drop("_k", "_d", "_e")
+    plain = pages.select(F.col(key).alias("k"), digest_of.alias("d"))
+    groups = plain.groupBy("d").agg(F.min("k").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    repeats = plain.join(groups, "d").filter("k != refers_to").distinct()
+    rows = pages.select(F.struct(*[c for c in pages.columns if c.lower() != "refers_to"]).alias("row"), F.col(key).alias("k"), digest_of.alias("d"))
+    return rows.join(repeats, ["k", "d"], "left").select("row.*", "refers_to")
 
 
 def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
@@ -178,8 +182,12 @@ def read(archives: DataFrame, payload: str | None = None) -> DataFrame:
     return archives.select("content").mapInArrow(run, FIELDS + (f", {payload} binary" if payload else ""))
 
 
+def _store(folder: str) -> tuple[pfs.FileSystem, str]:
+    return pfs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
+
+
 def write_files(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Writes .warc.gz files into a folder that all executors mount; returns (path, n_bytes).
+    """Writes .warc.gz files into a folder, a path or URI that all executors reach; returns (path, n_bytes).
 
     A file is written under a name of its attempt and then renamed, so a repeated task replaces it whole.
     """
@@ -187,17 +195,22 @@ def write_files(pages: DataFrame, folder: str, key: str = "page_id", url: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        os.makedirs(folder, exist_ok=True)
+        store, base = _store(folder)
+        store.create_dir(base, recursive=True)
         for batch in batches:
             for a, p, content in zip(*(batch.column(c).to_pylist() for c in ("archive", "part", "content")), strict=True):
-                path = f"{folder}/{a}-{p:05d}.warc.gz"
-                with open(own := f"{path}.{TaskContext.get().taskAttemptId()}", "wb") as f:
+                path = f"{base}/{a}-{p:05d}.warc.gz"
+                own = f"{path}.{TaskContext.get().taskAttemptId()}"
+                with store.open_output_stream(own, compression=None) as f:
                     f.write(content)
-                os.replace(own, path)
+                store.move(own, path)
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(content)], pa.int64())], names=["path", "n_bytes"])
 
     return write(pages, key, url, payload).mapInArrow(run, "path string, n_bytes long")
 
 
 def read_files(spark: SparkSession, folder: str, payload: str | None = None) -> DataFrame:
+    """The records of all .warc.gz files of a folder, none if there is no such folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
     return read(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder), payload)

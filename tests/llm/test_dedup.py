@@ -79,7 +79,58 @@ def test_trie_partners():
         trie = ngram_join.Trie(sets)
         for x in sets:
             want = {j for j, y in enumerate(sets) if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))}
-            assert set(trie.partners(x, v, 80).tolist()) == want
+            assert {trie.order[k] for k in trie.partners(x, 80).tolist()} == want
+
+
+@pytest.mark.parametrize("order", ["up", "down", "mixed"])
+def test_rounds_of_long_chains(spark, order):
+    n = 1000
+    name = {"up": list(range(n)), "down": list(range(n))[::-1], "mixed": random.Random(1).sample(range(n), n)}[order]
+    edges = spark.createDataFrame([(name[i], name[i + 1]) for i in range(n - 1)], "a long, b long")
+    assert {r["root"] for r in graph.components(edges).collect()} == {0}
+    assert graph.last_rounds[0] <= 10 and graph.last_rounds[1] <= 25
+
+
+def test_tries_leave_dead_branches():
+    import time
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 62, 400)).astype(np.int64) for _ in range(1000)]
+    for s in sets:
+        s[:3] = [1, 2, 3]
+    start = time.perf_counter()
+    assert ngram_join.forest(np.arange(1000), np.arange(1000), sets, [np.ones(len(s), np.int64) for s in sets], 90) == []
+    assert time.perf_counter() - start < 6
+
+
+def test_groups_that_are_joined_already_are_not_walked():
+    sets = [np.array([1, 2, 3, 4, 5 + k]) for k in range(4)] + [np.array([7, 8, 9, 10, 11]), np.array([7, 8, 9, 10, 12])]
+    often = [np.ones(5, np.int64)] * 6
+    links = ngram_join.forest(np.arange(6), np.array([0, 0, 0, 0, 4, 5]), sets, often, 60)
+    assert [set(x) for x in links] == [{4, 5}]
+
+
+@pytest.mark.parametrize("block", [3, 40])
+def test_join_of_large_buckets(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(block)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 90):
+        w = list(base if i % 3 else rows[-1][1].split())
+        for _ in range(rng.randint(1, 5 if i % 4 else 14)):
+            w[rng.randrange(len(w))] = f"v{rng.randint(0, 25)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(df, 2, 80).collect()}
+    assert got == brute_components(rows, 2, 80)
+
+
+def test_rows_of_one_key_and_different_texts(spark):
+    a, b = [" ".join(f"{c}{i}" for i in range(40)) for c in "ab"]
+    rows = [(5, a), (5, b), (9, a + " x"), (3, b + " y"), (7, "own text"), (7, a)]
+    got = sorted((r["doc_id"], r["component_id"], r["n_shingles"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, mark="h").collect())
+    assert got == [(3, 3, 39), (5, 3, 38), (5, 5, 38), (7, 5, 38), (7, 7, 1), (9, 5, 39)]
 
 
 def test_components_of_chains(spark):
@@ -149,6 +200,10 @@ def test_transform_against_counts():
         n = Counter(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
         want = [i + length <= len(s) and n[s[i : i + length]] > 1 for s in strings for i in range(len(s))]
         assert suffix_dedup.repeats(strings, length).tolist() == want
+        times = [rng.choice([1, 1, 2, 5]) for _ in strings]
+        n = Counter(s[i : i + length] for s, k in zip(strings, times, strict=True) for i in range(len(s) - length + 1) for _ in range(k))
+        want = [i + length <= len(s) and n[s[i : i + length]] > 1 for s in strings for i in range(len(s))]
+        assert suffix_dedup.repeats(strings, length, np.array(times)).tolist() == want
 
 
 def test_long_texts_in_pieces_give_the_same(monkeypatch):

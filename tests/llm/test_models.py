@@ -149,7 +149,7 @@ def test_items_of_every_length_against_full_alignment():
     for size in [*range(1, 45), 60, 79, 80]:
         most = int(size * decontam.BUDGET)
         own = prose(size)
-        items = decontam.Items([3], [own])
+        items = decontam.Items.of([3], [own])
         texts, want = [], []
         for _ in range(25):
             leak = list(own)
@@ -169,6 +169,25 @@ def test_items_of_every_length_against_full_alignment():
         assert got == {t for t, w in enumerate(want) if w}, size
 
 
+def test_repetitive_texts_are_taken_apart(monkeypatch):
+    monkeypatch.setattr(decontam, "HITS", 500)
+    monkeypatch.setattr(decontam, "OVERLAP", 256)
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    texts = ["a" * 900, prose(700) + "ab" * 200, "", prose(300), "a" * 60 + prose(90)]
+    own = ["ab" * 300, prose(200), "a" * 85, "a" * 500 + prose(80), texts[3][100:250], texts[1][600:720], "b"]
+    items = decontam.Items.of(list(range(7)), own)
+    raw = decontam.text_buffer(pa.array(texts))
+    got = {(t, i) for t, i, *_ in decontam.find(*decontam.squeeze(*raw), items, items.edges(*raw))}
+    want = set()
+    for i, o in enumerate(own):
+        w = min(decontam.WINDOW, len(o))
+        for t, x in enumerate(texts):
+            if any(edits(o[s : s + w], x) <= int(w * decontam.BUDGET) for s in range(0, len(o) - w + 1)) and w > 1:
+                want.add((t, i))
+    assert got == want
+
+
 def test_band_alignment_equals_full_alignment():
     rng = random.Random(4)
     for _ in range(200):
@@ -257,7 +276,7 @@ def test_bad_archives_are_refused(spoil):
 # Neighbours
 
 def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(ann, "CODE_BLOCK", 150)
+    monkeypatch.setattr(ann, "FEW_ROWS", 150)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(8, 16))
     x = (centres[rng.integers(8, size=600)] + 0.5 * rng.normal(size=(600, 16))).astype(np.float32)
@@ -280,6 +299,49 @@ def test_neighbours(spark, monkeypatch):
     assert hits / 300 >= 0.9
 
 
+def brute_neighbours(rows, query, top):
+    """The contract's list for one (id, vector), from distinct (id, vector) of its length."""
+    score = lambda v: sum(float(a) * float(b) for a, b in zip(v, query[1], strict=True))
+    others = [(i, v) for i, v in {(i, tuple(v)) for i, v in rows} if len(v) == len(query[1]) and (i, v) != (query[0], tuple(query[1]))]
+    return sorted(((score(v), i) for i, v in others), key=lambda s: (-s[0], s[1]))[:top]
+
+
+def test_repeated_rows_and_other_lengths(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(i, rng.normal(size=6 if i % 3 else 4).tolist()) for i in range(60)]
+    rows = vectors * 3 + [(20, rng.normal(size=6).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.search(df, df.filter("vec_id % 20 = 0"), 15).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    want = {}
+    for q in {(i, tuple(v)) for i, v in rows if i % 20 == 0}:
+        want.setdefault(q[0], []).extend(brute_neighbours(rows, q, 15))
+    assert {i: [n for _, n in sorted(x)] for i, x in by.items()} == {i: [n for _, n in sorted(x)] for i, x in want.items()}
+    assert all(sorted(r["rank"] for r in got if r["query_id"] == i) == sorted([*range(1, 16)] * (len(x) // 15)) for i, x in want.items())
+
+
+def test_equal_vectors_and_large_ones(spark):
+    rng = np.random.default_rng(4)
+    same = rng.normal(size=8)
+    rows = [(i, same.tolist()) for i in rng.permutation(1000).tolist()] + [(1000 + i, rng.normal(size=8).tolist()) for i in range(500)]
+    big = rng.normal(size=8)
+    rows += [(2000, (1e25 * big).tolist()), (2001, (1e200 * big).tolist()), (2002, (-1e200 * big).tolist()), (2003, [1e-200] * 8), (2004, (1e308 * np.sign(big)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [0, 77, 1001, 1002, 2000, 2001, 2003]
+    got = ann.search(df, df.filter(F.col("vec_id").isin(asked)), 20).collect()
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    for q in asked:
+        s = np.zeros(len(ids))
+        with np.errstate(over="ignore"):
+            for k, a in enumerate(x[ids == q][0].tolist()):
+                s += x[:, k] * a
+        s[ids == q] = -np.inf
+        best = np.lexsort((ids, -s))[:20]
+        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(int(ids[k]), s[k]) for k in best], q
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = ann.search(df, df.filter("vec_id = 1"), 20).orderBy("rank").collect()

@@ -59,7 +59,10 @@ def test_frames_keep_rows_and_other_columns(spark, library):
     assert again == {r["decoded"] for r in got}
     n = token_counts.count_tokens(df, PATH, prefixes="p").collect()
     assert sorted(r["n_tokens"] for r in n) == sorted(len(r["token_ids"]) for r in got)
-    assert all((r["p"][-1]["tokens"] if r["p"] else 0) == r["n_tokens"] for r in n)
+    for r in n:
+        words = (r["text"] or "").split()
+        assert len(r["p"]) == len(words) and (r["p"][-1] if words else 0) == r["n_tokens"]
+        assert all(r["p"][k] == length(library, " ".join(words[: k + 1])) for k in range(min(3, len(words))))
     cut = token_counts.truncate(df, PATH, 3).collect()
     assert {r["truncated"] for r in cut if not r["text"]} == {""}
 
@@ -82,3 +85,30 @@ def test_query_digests(spark, library, tmp_path):
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     got = {r["doc_id"]: (r["n_bytes"], r["over_limit"]) for r in op8_token_counts(spark, str(tmp_path)).collect()}
     assert got == {1: (9, False), 2: (0, False), 3: (15000, True)}
+
+
+def test_marks_that_are_younger_than_the_library(library):
+    import unicodedata
+
+    vocab = bpe.vocabulary(PATH)
+    marks = [chr(c) for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
+    plain = library.normalizer.normalize_str
+    for m in marks:
+        for s in (f"a{m}\u0345", f"a\u0345{m}", f"a{m}\u0316", f"a\u0316{m}", f"e{m}\u0301{m}"):
+            assert bpe.normalise(s) == plain(s)
+    for m in marks[::17]:
+        for s in (f"a{m}\u0345b", f"a\u0316{m}"):
+            assert list(bpe.Encoder(vocab).encode(s)) == library.encode(s, add_special_tokens=False).ids
+    assert bpe.normalise("\U00011935\U00011930") == plain("\U00011935\U00011930")
+
+
+def test_words_within_a_budget(spark, library):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "One two  three <|endoftext|>four incomprehensibilities"), (2, None), (3, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table = token_counts.prefix_table(df, PATH)
+    for budget in (0, 1, 3, 5, 50):
+        got = {r["doc_id"]: r["w"] for r in table.select("doc_id", token_counts.words_within(F.col("prefix_tokens"), budget).alias("w")).collect()}
+        words = ["one", "two", "three", "<|endoftext|>", "four", "incomprehensibilities"]
+        assert got == {1: max(k for k in range(7) if length(library, " ".join(words[:k])) <= budget), 2: 0, 3: 0}
