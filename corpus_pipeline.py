@@ -37,9 +37,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a doc_id stay; of rows with equal doc_id and text all stay or all go."""
     small_batches(spark)
-    groups = ngram_join.join(docs, WORDS, PERCENT)
-    extra = groups.filter("component_id != doc_id").select(F.col("doc_id").alias("_extra")).distinct()
-    return docs.join(extra, F.col("doc_id") == F.col("_extra"), "left_anti")
+    groups = ngram_join.join(docs, WORDS, PERCENT, mark="_text")
+    extra = groups.filter("component_id != doc_id").select(F.col("doc_id").alias("_extra"), "_text").distinct()
+    return docs.join(extra, (F.col("doc_id") == F.col("_extra")) & (F.xxhash64("text") == F.col("_text")), "left_anti")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
