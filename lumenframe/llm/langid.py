@@ -95,13 +95,13 @@ class Lattice:
         data, offsets = text_buffer(pa.array([START + w for w in words], pa.string()))
         edge = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data)).astype(np.int64)  # of characters
         first = np.arange(k, dtype=np.int64) * n
+        pairs = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - self.longest), j)]
+        starts, ends = (np.concatenate([edge[first + pair[side]] for pair in pairs]) for side in (0, 1))
         out = []
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                row = self.find(span_hashes(data, edge[first + i], edge[first + j]))
-                hit = np.arange(k) if i == j - 1 else np.flatnonzero(row != self.none)
-                if len(hit):
-                    out.append((i, j, hit, row[hit]))
+        for (i, j), row in zip(pairs, self.find(span_hashes(data, starts, ends)).reshape(len(pairs), k), strict=True):
+            hit = np.arange(k) if i == j - 1 else np.flatnonzero(row != self.none)
+            if len(hit):
+                out.append((i, j, hit, row[hit]))
         return out
 
     def edges_of_one(self, word: str) -> list[list[tuple[int, int]]]:
