@@ -51,6 +51,39 @@ def mag_of(snr: Column, limit: Column) -> Column:
     return F.when(snr > 0, limit - 2.5 * F.log10(snr / 5))
 
 
+def snr_measured(mag: Column, zero: float, sigma_f: Column, correction: Column) -> Column:
+    """Measurement scale: flux over the flux sigma of a trail, times the correction for its length; null on a bad sigma."""
+    good = F.when((sigma_f > 0) & (sigma_f < float("inf")), sigma_f)
+    return F.pow(F.lit(10.0), 0.4 * (zero - mag)) / good * correction
+
+
+def mag_measured(snr: Column, zero: float, sigma_f: Column, correction: Column) -> Column:
+    """The inverse of snr_measured; null on a bad sigma, correction or ratio."""
+    flux = F.when((sigma_f > 0) & (sigma_f < float("inf")) & (correction > 0), snr * sigma_f / correction)
+    return F.when(flux > 0, zero - 2.5 * F.log10(flux))
+
+
+def injection(mode: str, drawn: Column, length: Column, psf: Column, limit: Column) -> dict[str, Column]:
+    """Magnitudes of an injected object from what was drawn: snr, psf_mag, surface_brightness or integrated_mag.
+
+    A point source, of length 0 or less, has one magnitude.
+    """
+    trail = length > 0
+    loss, per_length = F.when(trail, trailing_loss(length, psf)).otherwise(0.0), F.when(trail, 2.5 * F.log10(length)).otherwise(0.0)
+    if mode == "snr":
+        magnitude = mag_of(F.greatest(drawn, F.lit(0.01)), limit) - loss
+    elif mode == "psf_mag":
+        magnitude = drawn - loss
+    elif mode == "surface_brightness":
+        magnitude = drawn - per_length
+    elif mode == "integrated_mag":
+        magnitude = drawn
+    else:
+        raise ValueError(f"unknown mode of magnitudes: {mode}")
+    point = magnitude + loss
+    return {"source_type": source_type(length), "mag": magnitude + per_length, "integrated_mag": magnitude, "PSF_mag": point, "SNR": snr_of(point, limit)}
+
+
 def snr_correction(length: Column, a: float, b: float, l0: float, p: float) -> Column:
     """a + b x / (1 + x) with x = (max(length, 0) / l0) ** p."""
     x = F.pow(F.greatest(length, F.lit(0.0)) / l0, F.lit(p))

@@ -13,22 +13,29 @@ def reach_of(gap: int) -> int:
     return 2 * gap + 1 if gap > 1 else 1
 
 
-def component_roots(r: np.ndarray, c: np.ndarray, reach: int) -> np.ndarray:
-    """For each pixel the smallest index in its component."""
-    stride = int(c.max() - c.min()) + 2 * reach + 2 if len(c) else 1
-    key = (r.astype(np.int64) - r.min()) * stride + (c.astype(np.int64) - c.min()) if len(r) else np.zeros(0, np.int64)
+def neighbours(r: np.ndarray, c: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of pixels within Chebyshev distance reach; repeated pixels are chained."""
+    if len(r) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    stride = int(c.max() - c.min()) + 2 * reach + 2
+    key = (r.astype(np.int64) - r.min()) * stride + (c.astype(np.int64) - c.min())
     order = np.argsort(key, kind="stable")
     ranked = key[order]
-    pairs = []
+    same = np.flatnonzero(ranked[1:] == ranked[:-1])
+    pairs = [(same, same + 1)]
     for dr in range(reach + 1):
         for dc in range(-reach if dr else 1, reach + 1):
             want = ranked + dr * stride + dc
             at = np.minimum(np.searchsorted(ranked, want), len(ranked) - 1)
-            hit = np.flatnonzero(ranked[at] == want) if len(ranked) else np.zeros(0, np.int64)
+            hit = np.flatnonzero(ranked[at] == want)
             pairs.append((hit, at[hit]))
     a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    root = np.arange(len(ranked))
-    while True:
+    return order[a], order[b]
+
+
+def settled(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots, smallest places, after the places a and b are joined too."""
+    while len(a):
         low = np.minimum(root[a], root[b])
         new = root.copy()
         np.minimum.at(new, root[a], low)
@@ -41,9 +48,12 @@ def component_roots(r: np.ndarray, c: np.ndarray, reach: int) -> np.ndarray:
         if np.array_equal(new, root):
             break
         root = new
-    out = np.empty(len(ranked), dtype=np.int64)
-    out[order] = root
-    return out
+    return root
+
+
+def component_roots(r: np.ndarray, c: np.ndarray, reach: int) -> np.ndarray:
+    """For each pixel the smallest place in its component."""
+    return settled(np.arange(len(r)), *neighbours(r, c, reach))
 
 
 def label_components(px: DataFrame, gap: int = 3) -> DataFrame:
@@ -99,7 +109,13 @@ def paint(px: DataFrame, low: float = 0.1, gap: int = 10, method: str = "max", f
     labelled = label_components(px.filter(F.col("p") >= low).select("image_id", "r", "c", "p"), gap)
     value = F.max("p") if method == "max" else top_mean(F.collect_list("p"), fraction, up=False)
     score = labelled.groupBy("image_id", "label").agg(value.alias("_score"))
-    step = F.sequence(F.lit(-gap if gap > 1 else 0), F.lit(gap if gap > 1 else 0))
-    grown = labelled.select("image_id", "label", F.explode(F.transform(step, lambda d: F.col("r") + d)).alias("r"), "c")
-    grown = grown.select("image_id", "label", "r", F.explode(F.transform(step, lambda d: F.col("c") + d)).alias("c")).distinct().join(score, ["image_id", "label"])
-    return px.join(grown.select("image_id", "r", "c", "_score"), ["image_id", "r", "c"], "left").withColumn("p", F.coalesce("_score", "p")).drop("_score")
+    g = gap if gap > 1 else 0
+    # Only cells that hold pixels matter: pixels meet those of the cells of edge 2 g + 1 that they can reach.
+    edge = 2 * g + 1
+    cell = lambda v: F.floor(v / edge).cast("int")
+    reached = lambda v: F.array_distinct(F.array(cell(F.col(v) - g), cell(F.col(v) + g)))
+    spread = labelled.select("image_id", "label", F.col("r").alias("_r"), F.col("c").alias("_c"), F.explode(reached("r")).alias("_cr"), "c").withColumn("_cc", F.explode(reached("c"))).drop("c")
+    at = px.select("image_id", "r", "c", cell(F.col("r")).alias("_cr"), cell(F.col("c")).alias("_cc")).distinct()
+    near = at.join(spread, ["image_id", "_cr", "_cc"]).filter((F.abs(F.col("r") - F.col("_r")) <= g) & (F.abs(F.col("c") - F.col("_c")) <= g))
+    painted = near.groupBy("image_id", "r", "c").agg(F.min("label").alias("label")).join(score, ["image_id", "label"])
+    return px.join(painted.select("image_id", "r", "c", "_score"), ["image_id", "r", "c"], "left").withColumn("p", F.coalesce("_score", "p")).drop("_score")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators.pixels import ratio, trapezoid
 
+#: Consecutive orders that one task looks at.
+RANGE = 4096
+
 
 def roc(sweep: DataFrame, tp: str = "pix_tp", fp: str = "pix_fp", tn: str = "pix_tn", fn: str = "pix_fn", order: str = "thr_idx") -> DataFrame:
     """order_idx, fpr, tpr, pos: points in stable order of fpr; 0 where a denominator is 0."""
@@ -26,17 +29,23 @@ def froc(sweep: DataFrame, n_images: int, tp: str = "obj_tp", fp: str = "obj_fp"
 def partial_auc(points: DataFrame, x_max: float | None = None, normalize: bool = False) -> DataFrame:
     """One row `area` of the curve (pos, fpr, tpr) up to x_max, by default its largest fpr.
 
-    (0,0) comes first if the curve starts later, and the point at x_max is interpolated.
+    (0,0) comes first if the curve starts later.  If the points up to x_max end before it, one at x_max
+    follows: interpolated towards the next point, or as high as the last one where there is none.
     """
-    limit = F.lit(x_max) if x_max is not None else F.lit(points.agg(F.max("fpr")).first()[0])
-    w = Window.orderBy("pos")
-    near = points.select("pos", "fpr", "tpr", F.lead("fpr").over(w).alias("nx"), F.lead("tpr").over(w).alias("ny"))
-    inside = near.filter(F.col("fpr") <= limit)
-    start = points.agg(F.min("fpr").alias("x")).filter("x > 0").select(F.lit(0).alias("pos"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    crossing = inside.filter((F.col("nx") > limit) & (F.col("fpr") < limit))
-    end = crossing.select((F.col("pos") + 1).alias("pos"), limit.alias("fpr"), (F.col("tpr") + (F.col("ny") - F.col("tpr")) * (limit - F.col("fpr")) / (F.col("nx") - F.col("fpr"))).alias("tpr"))
-    area = trapezoid(inside.select("pos", "fpr", "tpr").unionByName(start).unionByName(end), "fpr", "tpr", "pos")
-    return area.select((F.try_divide(F.col("area"), limit) if normalize else F.col("area")).alias("area"))
+    limit = F.lit(float(x_max)) if x_max is not None else F.lit(points.agg(F.max("fpr")).first()[0]).cast("double")
+    inside = points.filter(F.col("fpr") <= limit).select("pos", "fpr", "tpr")
+    first, last = (lambda c: F.min_by(c, F.struct("fpr", "pos"))), (lambda c: F.max_by(c, F.struct("fpr", "pos")))
+    below = F.col("fpr") <= limit
+    ends = points.agg(
+        F.min("fpr").alias("x0"), first("tpr").alias("y0"), F.count_if(below).alias("n"),
+        F.max_by(F.when(below, F.col("fpr")), F.when(below, F.col("pos"))).alias("xa"), F.max_by(F.when(below, F.col("tpr")), F.when(below, F.col("pos"))).alias("ya"), F.max(F.when(below, F.col("pos"))).alias("pa"),
+        F.min_by(F.when(~below, F.col("fpr")), F.when(~below, F.col("pos"))).alias("xb"), F.min_by(F.when(~below, F.col("tpr")), F.when(~below, F.col("pos"))).alias("yb"), last("tpr").alias("y9"),
+    )
+    start = ends.filter("x0 > 0").select(F.lit(0).alias("pos"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    height = F.when(F.col("n") == 0, F.col("y0")).when(F.col("xb").isNull(), F.col("y9")).otherwise(F.col("ya") + (F.col("yb") - F.col("ya")) * (limit - F.col("xa")) / (F.col("xb") - F.col("xa")))
+    end = ends.filter((F.col("n") == 0) | (F.col("xa") < limit)).filter(F.col("x0").isNotNull()).select((F.coalesce("pa", F.lit(0)) + 1).alias("pos"), limit.alias("fpr"), height.alias("tpr"))
+    area = trapezoid(inside.unionByName(start).unionByName(end), "fpr", "tpr", "pos").select(F.when(limit > 0, F.col("area")).otherwise(0.0).alias("area"))
+    return area.select((F.coalesce(F.try_divide(F.col("area"), limit), F.lit(0.0)) if normalize else F.col("area")).alias("area"))
 
 
 def best_threshold(sweep: DataFrame, score: str = "obj_f2", order: str = "thr_idx") -> DataFrame:
@@ -45,9 +54,17 @@ def best_threshold(sweep: DataFrame, score: str = "obj_f2", order: str = "thr_id
 
 
 def running_best(epochs: DataFrame, value: str, order: str) -> DataFrame:
-    """Adds `best` (so far) and `improved`: strictly better than everything before."""
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return epochs.withColumn("improved", F.coalesce(F.col(value) > F.max(value).over(before), F.lit(True))).withColumn("best", F.max(value).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    """Adds `best` (so far) and `improved`: strictly better than everything before.
+
+    The orders, integers, are cut into ranges; each starts from the best of all lower ones.
+    """
+    rows = epochs.withColumn("_b", F.floor(F.col(order) / RANGE))
+    tops = rows.groupBy("_b").agg(F.max(value).alias("_top"))
+    base = tops.select("_b", F.max("_top").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_base"))
+    inside = Window.partitionBy("_b").orderBy(order)
+    before = F.greatest(F.max(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_base"))
+    out = rows.join(base, "_b").withColumn("_before", before)
+    return out.withColumn("improved", F.coalesce(F.col(value) > F.col("_before"), F.lit(True))).withColumn("best", F.greatest(F.col(value), F.col("_before"))).drop("_b", "_base", "_before")
 
 
 def moving_average(df: DataFrame, by: str, order: str, value: str, decay: float) -> DataFrame:

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.operators.pixels import count_if, ratio, scores
+from lumenframe.operators.components import label_components, neighbours, reach_of, settled
+from lumenframe.operators.pixels import count_if, dilate, scores
+from lumenframe.operators.pixels import confusion as pixel_confusion
+from lumenframe.operators.pixels import sweep as pixel_sweep
+from lumenframe.operators.raster import disk_mask, line_mask
 
 #: Edge of the grid cells that turn the overlap join into an equi-join.
 CELL = 32
@@ -48,29 +52,29 @@ def overlaps(objects: DataFrame, px: DataFrame, width: float) -> DataFrame:
     return at.join(cut, ["image_id", "cr", "cc"]).filter(covers(width)).select("row_pos", *px.columns)
 
 
+def trail_pixels(objects: DataFrame, width: float, h: int, w: int) -> DataFrame:
+    """image_id, row_pos, r, c of all pixels of h x w images that lie under each object."""
+    a = F.radians("beta")
+    reach = lambda f: F.abs(f(a)) * F.col("trail_length") / 2 + width / 2 + 1e-6
+    span = lambda v, d, n: F.sequence(F.greatest(F.lit(0), F.ceil(v - d)).cast("int"), F.least(F.lit(n - 1), F.floor(v + d)).cast("int"))
+    inside = lambda v, d, n: (F.ceil(v - d) <= n - 1) & (F.floor(v + d) >= 0) & (F.ceil(v - d) <= F.floor(v + d))
+    near = objects.filter(inside(F.col("y"), reach(F.sin), h) & inside(F.col("x"), reach(F.cos), w))
+    cells = near.withColumn("r", F.explode(span(F.col("y"), reach(F.sin), h))).withColumn("c", F.explode(span(F.col("x"), reach(F.cos), w)))
+    return cells.filter(covers(width)).select("image_id", "row_pos", "r", "c")
+
+
 def edges(objects: DataFrame, labelled: DataFrame, width: float) -> DataFrame:
     """image_id, row_pos, label: components under each object."""
     return overlaps(objects, labelled.select("image_id", "r", "c", "label"), width).select("image_id", "row_pos", "label").distinct()
 
 
 def consume(links: DataFrame) -> DataFrame:
-    """image_id, row_pos, n_free: in catalog order each object takes all free components under it."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows, labels = table.column("row_pos").to_numpy(), table.column("label").to_numpy()
-        order = np.lexsort((labels, rows))
-        taken: set[int] = set()
-        free: dict[int, int] = {}
-        for i in order.tolist():
-            row, label = int(rows[i]), int(labels[i])
-            free.setdefault(row, 0)
-            if label not in taken:
-                taken.add(label)
-                free[row] += 1
-        image = table.column("image_id")[0].as_py()
-        return pa.table({"image_id": pa.array([image] * len(free), pa.int64()), "row_pos": pa.array(list(free), pa.int64()), "n_free": pa.array(list(free.values()), pa.int32())})
+    """image_id, row_pos, n_free: in catalog order each object takes all free components under it.
 
-    return links.select(F.col("image_id").cast("long").alias("image_id"), F.col("row_pos").cast("long").alias("row_pos"), "label").groupBy("image_id").applyInArrow(run, "image_id long, row_pos long, n_free int")
+    As it takes them all, a component goes to the first object that covers it, so no scan in order is needed.
+    """
+    first = F.min("row_pos").over(Window.partitionBy("image_id", "label"))
+    return links.withColumn("_free", (F.col("row_pos") == first).cast("int")).groupBy("image_id", "row_pos").agg(F.sum("_free").cast("int").alias("n_free"))
 
 
 def match(objects: DataFrame, links: DataFrame) -> DataFrame:
@@ -107,27 +111,81 @@ def confusion(objects: DataFrame, labelled: DataFrame, width: float, stack_px: D
     return both.agg(F.sum("tp").alias("obj_tp"), F.sum(fp).alias("obj_fp"), F.sum("fn").alias("obj_fn"))
 
 
+def full_confusion(objects: DataFrame, px: DataFrame, labelled: DataFrame, width: float, threshold: float, stack_px: DataFrame | None = None) -> DataFrame:
+    """Object and pixel confusion at one threshold, in one row; px has gt."""
+    pix = pixel_confusion(px, threshold)
+    return confusion(objects, labelled, width, stack_px).join(pix.select(*[F.col(c).alias(f"pix_{c}") for c in pix.columns]))
+
+
+def _scan_image(thresholds: list[float], reach: int):
+    """Counts of one image at all thresholds: pixels are added from the highest down, so components only merge."""
+    down = sorted(range(len(thresholds)), key=lambda i: -thresholds[i])
+
+    def run(px: pa.Table, over: pa.Table) -> pa.Table:
+        r, c = (px.column(n).to_numpy().astype(np.int64) for n in ("r", "c"))
+        p, mask = px.column("p").to_numpy(), px.column("mask").to_numpy(zero_copy_only=False)
+        a, b = neighbours(r, c, reach)
+        weight = np.minimum(p[a], p[b])
+        place = {(y, x): i for i, (y, x) in enumerate(zip(r.tolist(), c.tolist(), strict=True))}
+        under = np.array([place[yx] for yx in zip(over.column("r").to_pylist(), over.column("c").to_pylist(), strict=True)], dtype=np.int64)
+        rows = over.column("row_pos").to_numpy() if over.num_rows else np.zeros(0, np.int64)
+        root, above, out = np.arange(len(p)), np.inf, []
+        for i in down:
+            t = thresholds[i]
+            fresh = (weight >= t) & (weight < above)
+            root, above = settled(root, a[fresh], b[fresh]), t
+            active = p >= t
+            roots = np.unique(root[active])
+            on = active[under]
+            owner = np.full(len(p), np.iinfo(np.int64).max)
+            np.minimum.at(owner, root[under[on]], rows[on])
+            taken = owner < np.iinfo(np.int64).max
+            skipped = np.unique(root[active & mask])
+            out.append((i, len(roots), len(np.unique(owner[taken])), int((~taken[skipped]).sum())))
+        kinds = {"thr_idx": pa.int32(), "n": pa.int64(), "tp": pa.int64(), "skipped": pa.int64()}
+        image = px.column("image_id") if px.num_rows else over.column("image_id")
+        return pa.table([pa.array([image[0].as_py()] * len(out), pa.int64())] + [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=["image_id", *kinds])
+
+    return run
+
+
 def sweep(objects: DataFrame, px: DataFrame, width: float, gap: int, thresholds: list[float], stack_px: DataFrame | None = None) -> DataFrame:
-    """obj_tp, obj_fp, obj_fn and scores at each threshold, in one plan: (threshold, image) is the image."""
-    from lumenframe.operators.components import label_components
-
-    n = len(thresholds)
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("t")) for i, t in enumerate(thresholds)])
-    at = lambda df: df.withColumn("_s", F.explode(steps)).withColumn("image_id", F.col("image_id") * n + F.col("_s.i"))
-    labelled = label_components(at(px).filter(F.col("p") >= F.col("_s.t")).select("image_id", "r", "c", "p"), gap)
-    many = at(objects).withColumn("row_pos", F.col("row_pos") * n + F.col("_s.i"))
-    links = edges(many, labelled, width)
-    hits = match(many, links).groupBy("image_id").agg(count_if(F.col("tp")).alias("tp"), count_if(~F.col("tp")).alias("fn"))
-    parts = labelled.select("image_id", "label").distinct()
+    """obj_tp, obj_fp, obj_fn and scores at each threshold, over images that have objects.
+
+    Pixels are read and joined with objects once; an image's components at all thresholds are one task's work.
+    """
+    steps = F.array(*[F.struct(F.lit(i).alias("thr_idx"), F.lit(float(t)).alias("thr")) for i, t in enumerate(thresholds)])
+    images = objects.groupBy(F.col("image_id").cast("long").alias("image_id")).agg(F.count("*").alias("n_obj"))
+    kept = px.filter(F.col("p") >= min(thresholds)).select(F.col("image_id").cast("long").alias("image_id"), "r", "c", F.col("p").cast("double").alias("p")).join(images, "image_id", "left_semi")
     if stack_px is None:
-        skipped = parts.limit(0)
+        kept = kept.withColumn("mask", F.lit(False))
     else:
-        skipped = ignored(labelled, at(stack_px)).join(links.select("image_id", "label").distinct(), ["image_id", "label"], "left_anti")
-    count = parts.groupBy("image_id").agg(F.count("*").alias("n")).join(skipped.groupBy("image_id").agg(F.count("*").alias("skipped")), "image_id", "left")
-    both = hits.join(count, "image_id", "left").na.fill(0, ["n", "skipped"]).withColumn("thr_idx", F.pmod("image_id", F.lit(n)).cast("int"))
+        kept = kept.join(stack_px.select("image_id", "r", "c", F.lit(True).alias("mask")).distinct(), ["image_id", "r", "c"], "left").na.fill(False, ["mask"])
+    over = overlaps(objects, kept.select("image_id", "r", "c"), width).select(*[F.col(c).alias(c) for c in ("image_id", "r", "c")], F.col("row_pos").cast("long").alias("row_pos"))
+    counts = kept.groupBy("image_id").cogroup(over.groupBy("image_id")).applyInArrow(_scan_image([float(t) for t in thresholds], reach_of(gap)), "image_id long, thr_idx int, n long, tp long, skipped long")
+    every = images.withColumn("_s", F.explode(steps)).select("image_id", "n_obj", "_s.*")
+    both = every.join(counts, ["image_id", "thr_idx"], "left").na.fill(0, ["n", "tp", "skipped"])
     fp = F.greatest(F.col("n") - F.col("tp") - F.col("skipped"), F.lit(0))
-    out = both.groupBy("thr_idx").agg(F.sum("tp").alias("obj_tp"), F.sum(fp).alias("obj_fp"), F.sum("fn").alias("obj_fn"))
-    return out.withColumn("thr", F.element_at(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("thr_idx") + 1)).select("thr_idx", "thr", "obj_tp", "obj_fp", "obj_fn", *scores("obj_tp", "obj_fp", "obj_fn", "obj_"))
+    out = both.groupBy("thr_idx", "thr").agg(F.sum("tp").alias("obj_tp"), F.sum(fp).alias("obj_fp"), F.sum(F.col("n_obj") - F.col("tp")).alias("obj_fn"))
+    return out.select("*", *scores("obj_tp", "obj_fp", "obj_fn", "obj_"))
+
+
+def threshold_scan(objects: DataFrame, px: DataFrame, width: float, gap: int, n: int = 51, lo: float = 0.0, hi: float = 1.0, stack_px: DataFrame | None = None) -> DataFrame:
+    """Pixel and object counts and scores at n evenly spaced thresholds; px has gt."""
+    steps = [round(lo + (hi - lo) * i / max(1, n - 1), 9) for i in range(n)]
+    return pixel_sweep(px, n, lo, hi).join(sweep(objects, px, width, gap, steps, stack_px).drop("thr"), "thr_idx")
+
+
+def any_overlap(objects: DataFrame, px: DataFrame, gap: int, h: int, w: int, width: int = 1) -> DataFrame:
+    """row_pos, nn_detected: whether a line along the object, or a disk where it has no direction or length,
+    meets the grown pixels."""
+    grown = dilate(px.select("image_id", "r", "c"), gap) if gap > 1 else px.select("image_id", "r", "c")
+    known = F.coalesce(~F.isnan("beta") & ~F.isnan("trail_length") & (F.abs("beta") < float("inf")) & (F.abs("trail_length") < float("inf")), F.lit(False))
+    clip = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.col(v).cast("int"))).alias(v)
+    placed = objects.select("image_id", "row_pos", clip("x", w), clip("y", h), "beta", "trail_length")
+    probes = line_mask(placed.filter(known), h, w, width).unionByName(disk_mask(placed.filter(~known), h, w, max(1, gap)))
+    hit = probes.join(grown, ["image_id", "r", "c"], "left_semi").select("row_pos").distinct().withColumn("_hit", F.lit(True))
+    return objects.select("row_pos").join(hit, "row_pos", "left").select("row_pos", F.coalesce("_hit", F.lit(False)).alias("nn_detected"))
 
 
 def stack_flag(columns: list[str]) -> Column:
@@ -147,10 +205,14 @@ def stack_metrics(objects: DataFrame, labels: DataFrame) -> DataFrame:
     return objects.agg(count_if(hit).alias("tp"), count_if(~hit).alias("fn")).join(fp).select("tp", "fp", "fn", F.lit(None).cast("long").alias("tn"))
 
 
-def combined(objects: DataFrame, nn_fp: int | Column, stack_fp: int | Column) -> DataFrame:
-    """tp: either detector; fn: neither; fp: the sum of both."""
-    either = F.coalesce(F.col("nn_detected"), F.lit(False)) | stack_flag(objects.columns)
-    return objects.agg(count_if(either).alias("tp"), count_if(~either).alias("fn")).withColumn("fp", F.lit(nn_fp) + F.lit(stack_fp))
-
+def combined(objects: DataFrame, labelled: DataFrame, width: float, stack_px: DataFrame) -> DataFrame:
+    """tp: found by either detector; fn: by neither; fp: components that are free and off the mask, and the mask's own false ones.
 
-__all__ = ["combined", "confusion", "consume", "covers", "edges", "ignored", "match", "overlaps", "ratio", "roi", "stack_flag", "stack_metrics", "sweep"]
+    The mask's pixels stand for the baseline detector's false positives: each of its components is one.
+    """
+    own = confusion(objects, labelled, width, stack_px).select("obj_fp")
+    links = edges(objects, labelled, width)
+    either = F.col("nn_detected") | stack_flag(objects.columns)
+    both = match(objects, links).agg(count_if(either).alias("tp"), count_if(~either).alias("fn"))
+    mask = label_components(stack_px.select("image_id", "r", "c").distinct(), 1).groupBy("image_id").agg(F.max("label").alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("stack_fp"))
+    return both.join(own).join(mask).select("tp", "fn", (F.col("obj_fp") + F.col("stack_fp")).alias("fp"))

@@ -5,6 +5,8 @@ Pixel frames hold image_id, r, c, p (a probability), gt (truth) and real (label
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +106,25 @@ def trapezoid(points: DataFrame, x: str, y: str, order: str, keep: list[str] | N
     return points.withColumn("_a", dx * my).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("area"), *[F.max(k).alias(k) for k in keep or []])
 
 
+def histogram_auc_by(px: DataFrame, by: str, nbins: int = 256) -> DataFrame:
+    """by, auc: the area of each group by the trapezoid rule over bins; null where a class has no pixel."""
+    h = px.groupBy(by, auc_bin(nbins).alias("bin")).agg(count_if(F.col("gt")).alias("pos"), count_if(~F.col("gt")).alias("neg"))
+    down, whole = Window.partitionBy(by).orderBy(F.desc("bin")), Window.partitionBy(by)
+    upto = down.rowsBetween(Window.unboundedPreceding, 0)
+    c = h.select(by, "bin", F.sum("pos").over(upto).alias("tp"), F.sum("neg").over(upto).alias("fp"), F.sum("pos").over(whole).alias("P"), F.sum("neg").over(whole).alias("N"))
+    c = c.withColumn("x", F.try_divide("fp", "N")).withColumn("y", F.try_divide("tp", "P"))
+    part = (F.col("x") - F.lag("x").over(down)) * (F.col("y") + F.lag("y").over(down)) / 2
+    return c.withColumn("_a", part).groupBy(by).agg(F.when((F.min("P") > 0) & (F.min("N") > 0), F.coalesce(F.sum("_a"), F.lit(0.0))).alias("auc"))
+
+
+def panels_with_positives(px: DataFrame, positive: Column, max_panels: int | None = None, order: Column | None = None) -> DataFrame:
+    """image_id of images with a positive pixel, of all images or of the first max_panels in the given order."""
+    if max_panels is not None:
+        first = px.select("image_id").distinct().orderBy(order, "image_id").limit(max_panels)
+        px = px.join(first, "image_id", "left_semi")
+    return px.groupBy("image_id").agg(F.bool_or(positive).alias("_any")).filter("_any").select("image_id")
+
+
 def mask_counts(px: DataFrame) -> DataFrame:
     ok = ~(F.coalesce(F.col("real"), F.lit(0)) > 0.5)
     gt = F.col("gt")
@@ -117,16 +138,53 @@ def similarity(px: DataFrame) -> DataFrame:
     return px.agg(F.avg((a == b).cast("double")).alias("equal_rate"), ratio(both, F.sum(a) + F.sum(b) - both).alias("iou"), F.corr(a, b).alias("pearson"), F.sum(a).cast("long").alias("sum_y"), F.sum(b).cast("long").alias("sum_real"))
 
 
+def median_by(df: DataFrame, by: str, value: Column, name: str) -> DataFrame:
+    """by and the exact median, the mean of the middle two: groups are sorted, which spills, and not held in a buffer."""
+    rows = df.select(by, value.alias("_v"))
+    n = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy("_v")) - 1).join(n, by)
+    middle = F.col("_k").between(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))
+    return ranked.filter(middle).groupBy(by).agg(F.avg("_v").alias(name))
+
+
 def robust_stats(px: DataFrame, value: str = "flux", by: str = "image_id") -> DataFrame:
     """med and sigma = 1.4826 * (MAD + 1e-12) of each image; 0 and 1 where they aren't finite or positive."""
     fine = px.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    med = fine.groupBy(by).agg(F.median(value).alias("_m"))
-    mad = fine.join(med, by).groupBy(by, "_m").agg(F.median(F.abs(F.col(value) - F.col("_m"))).alias("_d"))
+    med = median_by(fine, by, F.col(value), "_m")
+    mad = median_by(fine.join(med, by), by, F.abs(F.col(value) - F.col("_m")), "_d").join(med, by)
     sigma = 1.4826 * (F.col("_d") + 1e-12)
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     return mad.select(by, F.when(finite(F.col("_m")), F.col("_m")).otherwise(0.0).alias("med"), F.when(finite(sigma) & (sigma > 0), sigma).otherwise(1.0).alias("sigma"))
 
 
+#: Bins of a pass of ranked_value(), and values that its last step sorts.
+RANK_BINS, RANK_ROWS = 4096, 100_000
+
+
+def ranked_value(df: DataFrame, value: Column, rank: Callable[[int], int]) -> float | None:
+    """The value of rank(n), from 0, in order of all n values that are numbers.
+
+    Each pass counts bins between two bounds and keeps the bin that holds the rank, until few values are left.
+    """
+    rows = df.select(value.cast("double").alias("v")).filter("v is not null and not isnan(v) and abs(v) < double('infinity')")
+    n, lo, hi = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    k = rank(n)
+    while lo < hi and n > RANK_ROWS:
+        width = (hi - lo) / RANK_BINS
+        at = F.least(F.lit(RANK_BINS - 1), F.floor((F.col("v") - lo) / width)) if width > 0 else F.when(F.col("v") > lo, 1).otherwise(0)
+        bins = rows.filter(F.col("v").between(lo, hi)).groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()  # RANK_BINS rows
+        for b in bins:
+            if k < b["n"]:
+                n, lo, hi = b["n"], b["lo"], b["hi"]
+                break
+            k -= b["n"]
+    if lo == hi:
+        return lo
+    return rows.filter(F.col("v").between(lo, hi)).orderBy("v").limit(k + 1).agg(F.max("v")).first()[0]
+
+
 def centre_crop(px: DataFrame, h: int, w: int, side: int) -> DataFrame:
     """The centred square of side min(side, h, w)."""
     s = min(side, h, w)
@@ -147,8 +205,8 @@ def row_median_stats(px: DataFrame, eps: float = 1e-6) -> DataFrame:
     """Lower median of the rows' lower medians for each image, and one pooled 1.4826 * MAD + eps."""
     rows = px.groupBy("image_id", "r").agg(F.expr("percentile_disc(0.5) within group (order by flux)").alias("m"))
     med = rows.groupBy("image_id").agg(F.expr("percentile_disc(0.5) within group (order by m)").alias("med"))
-    pooled = px.join(med, "image_id").agg((F.expr("percentile_disc(0.5) within group (order by abs(flux - med))") * 1.4826 + eps).alias("sigma"))
-    return med.join(F.broadcast(pooled))
+    spread = ranked_value(px.join(med, "image_id"), F.abs(F.col("flux") - F.col("med")), lambda n: (n - 1) // 2)
+    return med.withColumn("sigma", F.lit(None if spread is None else spread * 1.4826 + eps).cast("double"))
 
 
 def sobel_l1(px: DataFrame, value: str = "p") -> DataFrame:

@@ -56,6 +56,45 @@ def disk_mask(objects: DataFrame, h: int, w: int, radius: int) -> DataFrame:
     return _stamp(p, h, w, disk_offsets(radius))
 
 
+def stamps(objects: DataFrame, px: DataFrame, side: int, h: int, w: int, value: str = "p") -> DataFrame:
+    """row_pos, r, c, value: side x side pixels about each object's nearest pixel; r and c count from the stamp's corner.
+
+    Pixels of the image that px lacks are 0, pixels outside the h x w image null.
+    """
+    half = side // 2
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(side) for b in range(side)])
+    at = objects.select("image_id", "row_pos", F.explode(cells).alias("o"), _near(F.col("y")).alias("_y"), _near(F.col("x")).alias("_x"))
+    at = at.select("image_id", "row_pos", F.col("o.a").alias("_a"), F.col("o.b").alias("_b"), (F.col("_y") - half + F.col("o.a")).alias("r"), (F.col("_x") - half + F.col("o.b")).alias("c"))
+    inside = F.col("r").between(0, h - 1) & F.col("c").between(0, w - 1)
+    got = at.join(px.select("image_id", "r", "c", F.col(value).alias("_v")), ["image_id", "r", "c"], "left")
+    return got.select("row_pos", F.col("_a").alias("r"), F.col("_b").alias("c"), F.when(inside, F.coalesce("_v", F.lit(0.0))).alias(value))
+
+
+def trail_template(objects: DataFrame, psf: DataFrame, side: int, step: float) -> DataFrame:
+    """row_pos, r, c, value: the point-spread image moved along each object's centred segment, of sum 1.
+
+    psf is a small image (u, v, value) of n x m pixels, its centroid is put on max(ceil(L / step) + 1, 21) evenly spaced points;
+    parts of a pixel are shared bilinearly within the moved image's own frame, and what leaves the stamp is lost.
+    """
+    w = F.greatest(F.col("value"), F.lit(0.0))
+    frame = psf.agg(F.max("u").alias("_mu"), F.max("v").alias("_mv"), (F.sum(F.col("u") * w) / F.sum(w)).alias("_cu"), (F.sum(F.col("v") * w) / F.sum(w)).alias("_cv"), F.sum("value").alias("_sum"))
+    small = psf.join(F.broadcast(frame))  # one point-spread image
+    n = F.greatest(F.ceil(F.col("trail_length") / step) + 1, F.lit(21))
+    s = _samples(objects.select("row_pos", "trail_length", "beta"), n)
+    along, a = (F.col("_i") / (F.col("_n") - 1) - 0.5) * F.col("trail_length"), F.radians("beta")
+    centre = (side - 1) / 2
+    moved = s.select("row_pos", (centre + along * F.cos(a)).alias("_tx"), (centre + along * F.sin(a)).alias("_ty")).join(F.broadcast(small))
+    floor = lambda t, c: F.floor(F.round(F.col(t) - F.col(c), 9))
+    moved = moved.withColumn("_x0", floor("_tx", "_cu")).withColumn("_y0", floor("_ty", "_cv"))
+    fx, fy = F.col("_tx") - F.col("_cu") - F.col("_x0"), F.col("_ty") - F.col("_cv") - F.col("_y0")
+    taps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("k")) for i in (0, 1) for j in (0, 1)])
+    parts = moved.withColumn("_t", F.explode(taps)).filter((F.col("u") + F.col("_t.i") <= F.col("_mu")) & (F.col("v") + F.col("_t.j") <= F.col("_mv")))
+    at = parts.select("row_pos", (F.col("_y0") + F.col("v") + F.col("_t.j")).cast("int").alias("r"), (F.col("_x0") + F.col("u") + F.col("_t.i")).cast("int").alias("c"), (F.col("value") / F.col("_sum") * F.col("_t.k")).alias("x"))
+    image = at.filter(F.col("r").between(0, side - 1) & F.col("c").between(0, side - 1)).groupBy("row_pos", "r", "c").agg(F.greatest(F.sum("x"), F.lit(0.0)).alias("x"))
+    total = image.groupBy("row_pos").agg(F.sum("x").alias("_all")).filter("_all > 0")
+    return image.join(total, "row_pos").select("row_pos", "r", "c", (F.col("x") / F.col("_all")).alias("value"))
+
+
 def resize_bilinear(px: DataFrame, h: int, w: int, h2: int, w2: int, value: str = "p") -> DataFrame:
     """image_id, r, c, value with half-pixel centres; the same image when sizes agree."""
 

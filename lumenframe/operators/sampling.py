@@ -68,7 +68,8 @@ def mixture(df: DataFrame, key: str, bucket: str, counts: dict[str, int], seed:
     """draw, bucket, key: draws with replacement; draw i of a bucket takes row hash(i) mod its size."""
     spark = df.sparkSession
     rows = numbered(df.select(key, F.col(bucket).alias("bucket")), F.col(key), key, "_k", "bucket")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("_n"))
+    rows = rows.filter(F.col("bucket").cast("string").isin(list(counts)))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("_n"))  # as many rows as counts
     draws = None
     for name, n in sorted(counts.items()):
         d = spark.range(n).select(F.col("id").alias("draw"), F.lit(name).alias("bucket"))
@@ -88,3 +89,19 @@ def modal(df: DataFrame, columns: list[str]) -> DataFrame:
     """The most frequent combination; ties go to the smallest."""
     n = df.groupBy(*columns).agg(F.count("*").alias("n"))
     return n.orderBy(F.desc("n"), *columns).limit(1)
+
+
+def modal_each(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the most frequent value of each column on its own; ties go to the smallest."""
+    n = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text"), F.col(c).cast("double").alias("number")) for c in columns])).alias("v")).select("v.*")
+    best = n.groupBy("column", "text", "number").agg(F.count("*").alias("n")).groupBy("column").agg(F.max_by("number", F.struct("n", -F.col("number"))).alias("mode"))
+    return best.agg(*[F.max(F.when(F.col("column") == c, F.col("mode"))).alias(c) for c in columns])
+
+
+def throughput(batches: DataFrame, worker: str, at: str, key: str, tiles: str, warm_up: int, most: int) -> DataFrame:
+    """worker, batches, batches_per_s, tiles_per_s over at most `most` batches that follow `warm_up` others."""
+    ranked = batches.withColumn("_n", F.row_number().over(Window.partitionBy(worker).orderBy(at, key))).filter(F.col("_n") <= warm_up + most)
+    timed = F.col("_n") > warm_up
+    sums = ranked.groupBy(worker).agg(F.min(F.when(F.col("_n") == warm_up, F.col(at))).alias("t0"), F.max(at).alias("t1"), F.count_if(timed).alias("batches"), F.sum(F.when(timed, F.col(tiles))).alias("tiles"))
+    seconds = F.col("t1") - F.col("t0")
+    return sums.select(worker, "batches", F.try_divide(F.col("batches"), seconds).alias("batches_per_s"), F.try_divide(F.col("tiles"), seconds).alias("tiles_per_s"))

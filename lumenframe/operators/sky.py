@@ -55,6 +55,13 @@ def tangent_pixel(ra: Column, dec: Column, ra0: float, dec0: float, scale_arcsec
     return unit * F.cos(d) * F.sin(a) / cosc, unit * (math.cos(d0) * F.sin(d) - math.sin(d0) * F.cos(d) * F.cos(a)) / cosc
 
 
+def tangent_sky(x: Column, y: Column, ra0: float, dec0: float, scale_arcsec: float) -> tuple[Column, Column]:
+    """Right ascension and declination of pixel offsets: the inverse of tangent_pixel."""
+    xi, eta, d0 = F.radians(x * scale_arcsec / 3600), F.radians(y * scale_arcsec / 3600), math.radians(dec0)
+    ra = ra0 + F.degrees(F.atan2(xi, math.cos(d0) - eta * math.sin(d0)))
+    return ra, F.degrees(F.asin((math.sin(d0) + eta * math.cos(d0)) / F.sqrt(1 + xi * xi + eta * eta)))
+
+
 def footprint_pixels(sources: DataFrame) -> DataFrame:
     """image_id, r, c, src_pos of the pixels of spans (y, x0, x1), x1 included."""
     s = sources.select("image_id", "src_pos", F.explode("spans").alias("s"))
@@ -92,3 +99,20 @@ def placeable(candidates_px: DataFrame, blocked: DataFrame) -> DataFrame:
     bad = candidates_px.join(blocked, ["image_id", "r", "c"], "left_semi").select("image_id", "slot", "try").distinct()
     good = candidates_px.select("image_id", "slot", "try").distinct().join(bad, ["image_id", "slot", "try"], "left_anti")
     return good.groupBy("image_id", "slot").agg(F.min("try").alias("try"))
+
+
+def simulate(tries_px: DataFrame, blocked: DataFrame, px: DataFrame, flux: Column, level: float, fraction: float, least: int) -> DataFrame:
+    """Simulated objects, end to end: each slot's first try off the blocked pixels is placed, its flux is spread over
+    its pixels and added to the image, the image is detected at `level`, and each object's pixels are matched.
+
+    tries_px: image_id, slot, row_pos, r, c; px: image_id, r, c, flux.  Returns image_id, slot, row_pos, pixels, found,
+    and detected: found is at least max(least, int(fraction * pixels)).
+    """
+    placed = placeable(tries_px.withColumn("try", F.col("row_pos")), blocked).select(F.col("try").alias("row_pos"))
+    truth = tries_px.join(placed, "row_pos", "left_semi")
+    size = truth.groupBy("row_pos").agg(F.count("*").alias("pixels"))
+    injected = truth.join(size, "row_pos").select("image_id", "r", "c", (flux / F.col("pixels")).alias("flux"))
+    image = px.select("image_id", "r", "c", "flux").unionByName(injected).groupBy("image_id", "r", "c").agg(F.sum("flux").alias("flux"))
+    hit = image.filter(F.col("flux") >= level).select("image_id", "r", "c", F.lit(1).alias("_hit"))
+    found = truth.join(hit, ["image_id", "r", "c"], "left").groupBy("image_id", "slot", "row_pos").agg(F.count("*").alias("pixels"), F.count("_hit").alias("found"))
+    return found.withColumn("detected", F.col("found") >= F.greatest(F.lit(least), F.floor(F.col("pixels") * fraction)))

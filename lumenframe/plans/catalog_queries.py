@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import photometry as X
 from lumenframe.operators import histograms as H
 from lumenframe.operators import objects as O
+from lumenframe.operators import raster as G
 from lumenframe.operators import sampling as S
 from lumenframe.operators import sky as Y
 from lumenframe.plans import scenes as Z
@@ -102,13 +103,16 @@ def x03(spark, d):
 
 # Angles, rates and magnitudes
 
-ANGLES = f"{WC} SELECT row_pos, round(radians(beta),6) AS rad, round(CASE WHEN abs(beta) > 2*pi() THEN radians(beta) ELSE beta END,6) AS heuristic, round(degrees(atan2(sin(radians(beta*3)), cos(radians(beta*3)))),6) AS wrapped FROM cat WHERE (beta*3) % 180 <> 0"
+FOLDED = "round(degrees(atan2(sin(radians(beta*3)), cos(radians(beta*3)))),6)"
+ANGLES = f"{WC} SELECT row_pos, round(radians(beta),6) AS rad, round(CASE WHEN abs(beta) > 2*pi() THEN radians(beta) ELSE beta END,6) AS heuristic, CASE WHEN {FOLDED} = -180 THEN 180.0::DOUBLE ELSE {FOLDED} + 0.0::DOUBLE END AS wrapped FROM cat"
 
 
 @query("x04_x06_angles", ANGLES)
 def x04(spark, d):
+    # Half a turn is 180 here, whichever sign the sine's rounding gives it.
     b = F.col("beta")
-    return rounded(catalog(spark, d).filter((b * 3) % 180 != 0).select("row_pos", F.radians(b).alias("rad"), X.ensure_radians(b).alias("heuristic"), X.wrap_degrees(b * 3).alias("wrapped")))
+    wrapped = F.round(X.wrap_degrees(b * 3), 6)
+    return rounded(catalog(spark, d).select("row_pos", F.radians(b).alias("rad"), X.ensure_radians(b).alias("heuristic"), F.when(wrapped == -180, 180.0).otherwise(wrapped + 0.0).alias("wrapped")))
 
 
 SPEED = "sqrt(RARateCosDec_deg_day**2 + DecRate_deg_day**2)"
@@ -142,6 +146,25 @@ def x10(spark, d):
     return rounded(catalog(spark, d).select("row_pos", X.mag_of(F.col("SNR") - 4, F.lit(24.5)).alias("mag")))
 
 
+SIGMA_SQL = "sg AS (SELECT image_id, sqrt(sum(tpl*tpl/v))/sum(tpl*(tpl+0.1)/v) AS sf FROM stp GROUP BY 1), mk AS (SELECT *, pow(greatest(trail_length,0)/20.0, 1.5) AS q FROM cat LEFT JOIN sg USING (image_id))"
+
+
+def measured(spark, d):
+    """The catalog with the flux sigma of its images' stamps and the correction for length."""
+    sigma = H.flux_sigma(stamps(spark, d).withColumn("t2", F.col("tpl") + 0.1), "tpl", "t2", "v")
+    return catalog(spark, d).join(sigma, "image_id", "left").withColumn("k", X.snr_correction(F.col("trail_length"), 0.8, 0.3, 20.0, 1.5))
+
+
+@query("x09_mag_to_snr_measured", lambda: f"WITH {CATALOG_SQL}, {STAMP}, {SIGMA_SQL} SELECT row_pos, round(pow(10, 0.4*(23-stack_mag))/sf*(0.8+0.3*q/(1+q)),5) AS snr FROM mk")
+def x09b(spark, d):
+    return measured(spark, d).select("row_pos", F.round(X.snr_measured(F.col("stack_mag"), 23.0, F.col("sigma_f"), F.col("k")), 5).alias("snr"))
+
+
+@query("x10_snr_to_mag_measured", lambda: f"WITH {CATALOG_SQL}, {STAMP}, {SIGMA_SQL} SELECT row_pos, round(CASE WHEN (SNR-4)*sf > 0 THEN 23 - 2.5*log10((SNR-4)*sf/(0.8+0.3*q/(1+q))) END,6) AS mag FROM mk")
+def x10b(spark, d):
+    return rounded(measured(spark, d).select("row_pos", X.mag_measured(F.col("SNR") - 4, 23.0, F.col("sigma_f"), F.col("k")).alias("mag")))
+
+
 @query("x11_length_correction", f"{WC}, k AS (SELECT row_pos, pow(greatest(trail_length,0)/20.0, 1.5) AS x FROM cat) SELECT row_pos, round(0.8 + 0.3*x/(1+x),6) AS corr FROM k")
 def x11(spark, d):
     return rounded(catalog(spark, d).select("row_pos", X.snr_correction(F.col("trail_length"), 0.8, 0.3, 20.0, 1.5).alias("corr")))
@@ -159,6 +182,24 @@ def x14(spark, d):
     return rounded(cat.select("row_pos", X.source_type(F.col("l")).alias("source_type"), X.trailing_loss(F.col("l"), F.lit(4.0)).alias("loss"), X.surface_brightness(F.lit(22.0), F.col("l")).alias("mag")))
 
 
+MODES = {"snr": "24.5 - 2.5*log10(greatest(2 + row_pos % 60/10.0, 0.01)/5) - loss", "psf_mag": "20 + row_pos % 40/10.0 - loss", "surface_brightness": "20 + row_pos % 40/10.0 - per", "integrated_mag": "20 + row_pos % 40/10.0"}
+INJECTION_SQL = f"""{WC}, k AS (SELECT row_pos, CASE WHEN row_pos % 4 = 0 THEN 0 ELSE trail_length END AS l FROM cat), z AS (SELECT *, CASE WHEN l > 0 THEN 1.25*log10(1 + 0.42*(l/4.0)*(l/4.0)) ELSE 0 END AS loss, CASE WHEN l > 0 THEN 2.5*log10(l) ELSE 0 END AS per FROM k),
+ m AS ({" UNION ALL ".join(f"SELECT *, '{mode}' AS mode, {v} AS g FROM z" for mode, v in MODES.items())}) SELECT row_pos, mode, CASE WHEN l > 0 THEN 'Trail' ELSE 'Star' END AS source_type, round(g+per,6) AS mag, round(g,6) AS integrated_mag, round(g+loss,6) AS PSF_mag, round(5*pow(10, 0.4*(24.5-g-loss)),4) AS SNR FROM m"""
+
+
+@query("x14_injection_modes", INJECTION_SQL)
+def x14b(spark, d):
+    k = F.col("row_pos")
+    cat = catalog(spark, d).select("row_pos", F.when(k % 4 == 0, 0.0).otherwise(F.col("trail_length")).alias("l"))
+    out = None
+    for mode in MODES:
+        drawn = 2 + k % 60 / 10 if mode == "snr" else 20 + k % 40 / 10
+        got = X.injection(mode, drawn, F.col("l"), F.lit(4.0), F.lit(24.5))
+        one = cat.select("row_pos", F.lit(mode).alias("mode"), *[(F.round(c, 4) if n == "SNR" else c).alias(n) for n, c in got.items()])
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
 # 5-sigma depths by band.
 DEPTHS = {"1": 23.9, "2": 25.0, "3": 24.7, "4": 24.0, "5": 23.3}
 
@@ -189,7 +230,7 @@ def x22(spark, d):
     return exposures(spark, d).select("ref_id", X.diagnostics({"visit": F.col("visit"), "detector": F.col("detector")}).alias("said"))
 
 
-@query("x23_json_report")
+@query("x23_json_report", f"{WX} SELECT visit, CAST(to_json({{'healthy': coalesce(list_sort(list(DISTINCT detector) FILTER (valid)), []), 'bad': coalesce(list_sort(list(DISTINCT detector) FILTER (NOT valid)), [])}}) AS VARCHAR) AS report FROM expo GROUP BY 1")
 def x23(spark, d):
     e = exposures(spark, d).groupBy("visit").agg(F.array_sort(F.collect_set(F.when(F.col("valid"), F.col("detector")))).alias("healthy"), F.array_sort(F.collect_set(F.when(~F.col("valid"), F.col("detector")))).alias("bad"))
     return e.select("visit", F.to_json(F.struct("healthy", "bad")).alias("report"))
@@ -232,19 +273,23 @@ def a29(spark, d):
     return rounded(H.local_depth(stamps(spark, d), "tpl", "v"))
 
 
-@query("g11_aligned_stamps", f"WITH {DENSE_SQL} SELECT a.image_id, a.r, a.c, round(b.flux,6) AS shifted FROM px8 a LEFT JOIN px8 b ON a.image_id=b.image_id AND b.r=a.r+2 AND b.c=a.c-1")
+@query("g11_aligned_stamps", f"WITH {SPARSE_SQL}, {CATALOG_SQL}, s AS (SELECT image_id, row_pos, CAST(a AS INT) AS a, CAST(b AS INT) AS b, y-2+a AS r, x-2+b AS c FROM cat, range(5) t(a), range(5) u(b)) SELECT row_pos, a AS r, b AS c, CASE WHEN s.r BETWEEN 0 AND 127 AND s.c BETWEEN 0 AND 127 THEN coalesce(p, 0.0) END AS p FROM s LEFT JOIN pxs USING (image_id, r, c)")
 def g11(spark, d):
-    px = dense(spark, d)
-    other = px.select("image_id", (F.col("r") - 2).alias("r"), (F.col("c") + 1).alias("c"), F.col("flux").alias("shifted"))
-    return rounded(px.select("image_id", "r", "c").join(other, ["image_id", "r", "c"], "left"))
+    return rounded(G.stamps(catalog(spark, d), sparse(spark, d), 5, Z.SPARSE, Z.SPARSE))
 
 
-@query("g12_shift_and_add", f"""WITH {DENSE_SQL}, s AS (SELECT image_id, r+dr AS r, c+dc AS c, flux*(CASE WHEN dr=0 THEN 0.75 ELSE 0.25 END)*(CASE WHEN dc=0 THEN 0.6 ELSE 0.4 END) AS v FROM px8, (SELECT unnest([0,1]) AS dr), (SELECT unnest([0,1]) AS dc))
- SELECT image_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(sum(v),6)+0.0 AS v FROM s WHERE r < 8 AND c < 8 GROUP BY 1,2,3""")
+TEMPLATE_SQL = f"""{WC}, psf AS (SELECT CAST(u AS INT) AS u, CAST(v AS INT) AS v, exp(-((u-2.3)**2 + (v-1.9)**2)/2.0) AS value FROM range(5) a(u), range(5) b(v)), f AS (SELECT sum(u*value)/sum(value) AS cu, sum(v*value)/sum(value) AS cv, sum(value) AS s FROM psf),
+ sm AS (SELECT row_pos, 24 + (i/(n-1) - 0.5)*trail_length*cos(radians(beta)) AS tx, 24 + (i/(n-1) - 0.5)*trail_length*sin(radians(beta)) AS ty FROM (SELECT *, CAST(greatest(ceil(trail_length/4)+1, 21) AS INT) AS n FROM cat), range(30) t(i) WHERE i < n),
+ mv AS (SELECT row_pos, u, v, value/s AS q, floor(round(tx-cu,9)) AS x0, floor(round(ty-cv,9)) AS y0, tx-cu-floor(round(tx-cu,9)) AS fx, ty-cv-floor(round(ty-cv,9)) AS fy FROM sm, psf, f),
+ im AS (SELECT row_pos, CAST(y0+v+j AS INT) AS r, CAST(x0+u+i AS INT) AS c, sum(q*(CASE WHEN i=1 THEN fx ELSE 1-fx END)*(CASE WHEN j=1 THEN fy ELSE 1-fy END)) AS x FROM mv, range(2) a(i), range(2) b(j) WHERE u+i <= 4 AND v+j <= 4 AND y0+v+j BETWEEN 0 AND 48 AND x0+u+i BETWEEN 0 AND 48 GROUP BY 1,2,3)
+ SELECT row_pos, r, c, round(greatest(x,0)/sum(greatest(x,0)) OVER (PARTITION BY row_pos),6)+0.0 AS value FROM im"""
+
+
+@query("g12_trail_template", TEMPLATE_SQL)
 def g12(spark, d):
-    w = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit((0.25 if dr else 0.75) * (0.4 if dc else 0.6)).alias("w")) for dr in (0, 1) for dc in (0, 1)])
-    s = dense(spark, d).withColumn("w", F.explode(w)).select("image_id", (F.col("r") + F.col("w.dr")).alias("r"), (F.col("c") + F.col("w.dc")).alias("c"), (F.col("flux") * F.col("w.w")).alias("v"))
-    return s.filter("r < 8 and c < 8").groupBy("image_id", "r", "c").agg((F.round(F.sum("v"), 6) + 0.0).alias("v"))
+    at = spark.range(25).select(F.floor(F.col("id") / 5).cast("int").alias("u"), (F.col("id") % 5).cast("int").alias("v"))
+    psf = at.withColumn("value", F.exp(-((F.col("u") - 2.3) ** 2 + (F.col("v") - 1.9) ** 2) / 2))
+    return rounded(G.trail_template(catalog(spark, d), psf, 49, 4.0)).withColumn("value", F.col("value") + 0.0)
 
 
 # Sky joins and footprints
@@ -269,6 +314,13 @@ def j07(spark, d):
     return Y.containing(pts, frames).select("point_id", "detector")
 
 
+@query("j11_pixel_to_sky", "WITH k AS (SELECT p_partkey, ((p_partkey*37) % 4001 - 2000)::DOUBLE AS x, ((p_partkey*91) % 3989 - 1994)::DOUBLE AS y FROM part), m AS (SELECT *, radians(x*0.2/3600) AS xi, radians(y*0.2/3600) AS eta, radians(-35.5) AS d0 FROM k), n AS (SELECT *, sqrt(xi*xi+eta*eta) AS rho FROM m), o AS (SELECT *, atan(rho) AS w FROM n) SELECT p_partkey, round(150.05 + degrees(atan2(xi*sin(w), rho*cos(d0)*cos(w) - eta*sin(d0)*sin(w))),7) AS ra, round(degrees(asin(cos(w)*sin(d0) + CASE WHEN rho > 0 THEN eta*sin(w)*cos(d0)/rho ELSE 0 END)),7) AS dec FROM o")
+def j11b(spark, d):
+    k = F.col("p_partkey")
+    ra, dec = Y.tangent_sky(((k * 37) % 4001 - 2000).cast("double"), ((k * 91) % 3989 - 1994).cast("double"), 150.05, -35.5, 0.2)
+    return Z.table(spark, d, "part").select("p_partkey", F.round(ra, 7).alias("ra"), F.round(dec, 7).alias("dec"))
+
+
 @query("j11_sky_to_pixel", f"WITH {SKY_SQL}, k AS (SELECT src_id, radians(ra-150.05) AS a, radians(dec) AS b, radians(2.05) AS d0 FROM pre), m AS (SELECT *, sin(d0)*sin(b)+cos(d0)*cos(b)*cos(a) AS q FROM k) SELECT src_id, round(degrees(1)*3600/0.2*cos(b)*sin(a)/q,4) AS px, round(degrees(1)*3600/0.2*(cos(d0)*sin(b)-sin(d0)*cos(b)*cos(a))/q,4) AS py FROM m")
 def j11(spark, d):
     px, py = Y.tangent_pixel(F.col("ra"), F.col("dec"), 150.05, 2.05, 0.2)
@@ -290,18 +342,18 @@ def g06(spark, d):
     return Y.label_raster(sources(spark, d))
 
 
-COVER_ALL = """gp AS (SELECT cat.image_id, row_pos, CAST(i AS INT) AS r, CAST(j AS INT) AS c FROM cat, range(128) a(i), range(128) b(j) WHERE i BETWEEN y-4 AND y+4 AND j BETWEEN x-4 AND x+4)"""
+#: Pixels under each object: trails of width 9.
+COVER_ALL = """gp AS (SELECT image_id, row_pos, r, c FROM (SELECT image_id, row_pos, x, y, beta, CAST(i AS INT) AS r, CAST(j AS INT) AS c, greatest(-trail_length/2, least(trail_length/2, (j-x)*cos(radians(beta)) + (i-y)*sin(radians(beta)))) AS t
+ FROM cat JOIN range(128) a(i) ON i BETWEEN y-trail_length/2-6 AND y+trail_length/2+6 JOIN range(128) b(j) ON j BETWEEN x-trail_length/2-6 AND x+trail_length/2+6) WHERE (c-x - t*cos(radians(beta)))**2 + (r-y - t*sin(radians(beta)))**2 <= 20.250000001)"""
 
 
-def boxes(spark, d):
-    cat = catalog(spark, d)
-    span = lambda v: F.explode(F.sequence(F.greatest(F.lit(0), F.col(v) - 4).cast("int"), F.least(F.lit(127), F.col(v) + 4).cast("int")))
-    return cat.withColumn("r", span("y")).withColumn("c", span("x")).select("image_id", "row_pos", "r", "c")
+def trails(spark, d):
+    return O.trail_pixels(catalog(spark, d), 9.0, Z.SPARSE, Z.SPARSE)
 
 
-@query("j05_footprint_match", f"WITH {CATALOG_SQL}, {SPANS}, {COVER_ALL}, o AS (SELECT row_pos, src_pos, count(*) AS overlap FROM gp JOIN fpx USING (image_id, r, c) GROUP BY 1,2), f AS (SELECT row_pos, min(src_pos) AS src_pos FROM o WHERE overlap >= 2 GROUP BY 1) SELECT cat.row_pos, f.src_pos IS NOT NULL AS stack_detection, f.src_pos, o.overlap FROM cat LEFT JOIN f ON f.row_pos=cat.row_pos LEFT JOIN o ON o.row_pos=f.row_pos AND o.src_pos=f.src_pos")
+@query("j05_footprint_match", f"WITH {CATALOG_SQL}, {SPANS}, {COVER_ALL}, ar AS (SELECT row_pos, count(*) AS area FROM gp GROUP BY 1), o AS (SELECT row_pos, src_pos, count(*) AS overlap FROM gp JOIN fpx USING (image_id, r, c) GROUP BY 1,2), f AS (SELECT row_pos, min(src_pos) AS src_pos FROM o JOIN ar USING (row_pos) WHERE overlap >= greatest(2, floor(0.02*area)) GROUP BY 1) SELECT cat.row_pos, f.src_pos IS NOT NULL AS stack_detection, f.src_pos, o.overlap FROM cat LEFT JOIN f ON f.row_pos=cat.row_pos LEFT JOIN o ON o.row_pos=f.row_pos AND o.src_pos=f.src_pos")
 def j05(spark, d):
-    return Y.footprint_hits(catalog(spark, d), boxes(spark, d), sources(spark, d), 0.02, 2)
+    return Y.footprint_hits(catalog(spark, d), trails(spark, d), sources(spark, d), 0.02, 2)
 
 
 @query("f16_forbidden_pixels", f"WITH {SPARSE_SQL}, {SPANS} SELECT image_id, r, c FROM pxs WHERE ((r*31 + c) & 36) <> 0 UNION SELECT image_id, r, c FROM fpx")
@@ -312,7 +364,7 @@ def f16(spark, d):
 
 @query("j09_overlap_rejection", f"WITH {CATALOG_SQL}, {SPANS}, {COVER_ALL}, k AS (SELECT image_id, row_pos % 10 AS slot, row_pos AS try, r, c FROM gp), bad AS (SELECT DISTINCT image_id, slot, try FROM k JOIN (SELECT DISTINCT image_id, r, c FROM fpx) USING (image_id, r, c)) SELECT image_id, slot, min(try) AS try FROM (SELECT DISTINCT image_id, slot, try FROM k EXCEPT SELECT * FROM bad) GROUP BY 1,2")
 def j09(spark, d):
-    tries = boxes(spark, d).select("image_id", (F.col("row_pos") % 10).alias("slot"), F.col("row_pos").alias("try"), "r", "c")
+    tries = trails(spark, d).select("image_id", (F.col("row_pos") % 10).alias("slot"), F.col("row_pos").alias("try"), "r", "c")
     return Y.placeable(tries, Y.label_raster(sources(spark, d)))
 
 
@@ -360,6 +412,11 @@ def f18(spark, d):
     return exposures(spark, d).orderBy("visit", "detector", "ref_id").limit(640).select("ref_id")
 
 
+@query("a25_modal_each", f"{WX}, s AS (SELECT * FROM expo ORDER BY {order_sql()}, ref_id LIMIT 100) SELECT (SELECT CAST(detector AS DOUBLE) FROM s GROUP BY detector ORDER BY count(*) DESC, detector LIMIT 1) AS detector, (SELECT CAST(collection_rank AS DOUBLE) FROM s GROUP BY collection_rank ORDER BY count(*) DESC, collection_rank LIMIT 1) AS collection_rank")
+def a25b(spark, d):
+    return S.modal_each(S.first_k(exposures(spark, d), order_key(), "ref_id", 100), ["detector", "collection_rank"])
+
+
 @query("a25_modal_dimensions", f"{WX} SELECT detector, band, count(*) AS n FROM expo GROUP BY 1,2 ORDER BY n DESC, detector, band LIMIT 1")
 def a25(spark, d):
     return S.modal(exposures(spark, d), ["detector", "band"])
@@ -456,3 +513,38 @@ def o06(spark, d):
 def o05(spark, d):
     v = F.expr("try_cast(event_type as double)")
     return Z.table(spark, d, "events").select("event_id", v.alias("value"), F.when(v.isNull(), "cast_fail").alias("error"))
+
+
+# Sources and sinks: written to the folder that executors share, and read back
+
+@query("s03_catalog_csv", f"{WC} SELECT image_id, row_pos AS injection_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, beta, trail_length, round(SNR,6) AS SNR, stack_detection, round(stack_mag,6) AS stack_mag FROM cat")
+def s03(spark, d):
+    cat = catalog(spark, d).withColumnRenamed("row_pos", "injection_id")
+    path = R.scratch(spark)
+    R.write_csv(cat, path, R.CATALOG)
+    return rounded(R.read_csv(spark, path, R.CATALOG).select("image_id", "injection_id", "x", "y", "beta", "trail_length", "SNR", "stack_detection", "stack_mag"))
+
+
+@query("k04_csv_append", f"{WE} SELECT event_id, FieldID, ObjID, round(RA_deg,6) AS RA_deg, CAST(n AS INT) AS part FROM eph, range(2) t(n) WHERE n = 0 OR event_id % 3 = 0")
+def k04(spark, d):
+    path = R.scratch(spark)
+    rows = ephemerides(spark, d).select("event_id", "FieldID", "ObjID", "RA_deg")
+    for n in (0, 1, 2):  # the last part is empty, and leaves the file as it is
+        R.append_csv(rows.withColumn("part", F.lit(n)).filter("part = 0 or (part = 1 and event_id % 3 = 0)"), path)
+    return rounded(R.read_csv(spark, path, "event_id BIGINT, FieldID BIGINT, ObjID STRING, RA_deg DOUBLE, part INT"))
+
+
+@query("k05_bad_visits", f"{WX} SELECT visit, CAST(detector AS INT) AS detector, CASE WHEN NOT valid THEN 'wcs_none' ELSE 'photocalib_none' END AS reason FROM expo WHERE NOT valid OR band = '5'")
+def k05(spark, d):
+    e = exposures(spark, d).withColumn("wcs", F.when(F.col("valid"), F.lit(1))).withColumn("photo", F.when(F.col("band") != "5", F.lit(1)))
+    path = R.scratch(spark)
+    R.write_csv(R.bad_reasons(e, {"wcs_none": "wcs", "photocalib_none": "photo"}), path, R.BAD_VISITS)
+    return R.read_csv(spark, path, R.BAD_VISITS)
+
+
+@query("k01_image_sink", f"WITH {DENSE_SQL} SELECT CASE WHEN image_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, image_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(gt::INT) AS BIGINT) AS masks, CAST(sum(real) AS BIGINT) AS reals, round(sum(flux),5) AS flux FROM px8 GROUP BY 1,2")
+def k01(spark, d):
+    path = R.scratch(spark)
+    R.write_images(dense(spark, d).withColumn("split", F.when(F.col("image_id") % 5 == 0, "test").otherwise("train")), path)
+    cube = R.read_images(spark, path)
+    return cube.groupBy("split", "image_id").agg(F.count("*").alias("n"), F.sum(F.col("gt").cast("int")).alias("masks"), F.sum("real").alias("reals"), F.round(F.sum("flux"), 5).alias("flux"))

@@ -6,12 +6,17 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators import components as K
 from lumenframe.operators import objects as O
+from lumenframe.operators import report as M
+from lumenframe.operators import sampling as S
 from lumenframe.operators import tiles as T
-from lumenframe.operators.pixels import count_if
+from lumenframe.plans.pixel_queries import SCORES, SWEEP_TAIL
 from lumenframe.plans.registry import query, rounded
-from lumenframe.plans.scenes import CATALOG_SQL, SPARSE, SPARSE_SQL, STACK_SQL, catalog, sparse, stack_pixels
+from lumenframe.plans.scenes import CATALOG_SQL, SPARSE, SPARSE_SQL, STACK_SQL, catalog, order_key, order_sql, sparse, stack_pixels
 
 THR, GAP, WIDTH, TILE = 0.5, 2, 3.0, 32
+#: Pixels under each object, of all pixels of the image.
+TRAIL_SQL = """gp AS (SELECT image_id, row_pos, r, c FROM (SELECT image_id, row_pos, x, y, beta, CAST(i AS INT) AS r, CAST(j AS INT) AS c, greatest(-trail_length/2, least(trail_length/2, (j-x)*cos(radians(beta)) + (i-y)*sin(radians(beta)))) AS t
+ FROM cat JOIN range(128) a(i) ON i BETWEEN y-trail_length/2-3 AND y+trail_length/2+3 JOIN range(128) b(j) ON j BETWEEN x-trail_length/2-3 AND x+trail_length/2+3) WHERE (c-x - t*cos(radians(beta)))**2 + (r-y - t*sin(radians(beta)))**2 <= 2.250000001)"""
 
 
 def labels_sql(gap: int, thr: float = THR) -> str:
@@ -65,9 +70,15 @@ def f09(spark, d):
     return K.accept(K.measure(labelled(spark, d)), 2, 40, 0.6, 0.7).select("image_id", "label", "label_id", "area")
 
 
-@query("w08_label_numbers", f"{WL} SELECT image_id, CAST(max(label) AS INT) AS n FROM lab GROUP BY 1")
+@query("w08_image_numbers", f"WITH {CATALOG_SQL}, k AS (SELECT image_id AS panel, CASE WHEN image_id % 17 = 0 THEN 'test' ELSE 'train' END AS split, {order_sql('image_id')} AS o FROM cat GROUP BY 1) SELECT panel, split, row_number() OVER (PARTITION BY split ORDER BY o, panel) - 1 AS image_id FROM k")
+def w08b(spark, d):
+    k = images(spark, d).select(F.col("image_id").alias("panel"), F.when(F.col("image_id") % 17 == 0, "test").otherwise("train").alias("split"))
+    return S.numbered(k, order_key("panel"), "panel", "image_id", by="split")
+
+
+@query("w08_label_numbers", f"{WL}, {MEASURE} SELECT image_id, label, CAST(row_number() OVER (PARTITION BY image_id ORDER BY label) AS INT) AS label_id FROM ms WHERE area >= 2")
 def w08(spark, d):
-    return labelled(spark, d).groupBy("image_id").agg(F.max("label").alias("n"))
+    return K.accept(K.measure(labelled(spark, d)), 2).select("image_id", "label", "label_id")
 
 
 @query("t05_top_values", f"{WL} SELECT image_id, label, k, p FROM (SELECT image_id, label, round(p,6) AS p, CAST(row_number() OVER (PARTITION BY image_id, label ORDER BY p DESC) AS INT) AS k FROM lab) WHERE k <= 3")
@@ -106,16 +117,45 @@ EDGES = f"""ov AS (SELECT * FROM (SELECT cat.image_id, row_pos, label, r, c, x,
  ed AS (SELECT DISTINCT image_id, row_pos, label FROM ov)"""
 
 
+#: Greedy matching: an object takes all components under it that no earlier one has, so the first object owns each.
+GREEDY = f"""{EDGES}, own AS (SELECT image_id, label, min(row_pos) AS owner FROM ed GROUP BY 1,2),
+ hits AS (SELECT image_id, count(*) AS m, count(*) FILTER (row_pos IN (SELECT owner FROM own)) AS tp FROM cat GROUP BY 1),
+ parts AS (SELECT lab.image_id, lab.label, own.owner IS NOT NULL AS taken, bool_or(stk.image_id IS NOT NULL) AS masked FROM lab LEFT JOIN own ON own.image_id=lab.image_id AND own.label=lab.label
+  LEFT JOIN stk ON stk.image_id=lab.image_id AND stk.r=lab.r AND stk.c=lab.c GROUP BY 1,2,3),
+ pc AS (SELECT image_id, count(*) AS n, count(*) FILTER (NOT taken AND masked) AS skipped, count(*) FILTER (NOT taken AND NOT masked) AS free FROM parts GROUP BY 1),
+ im AS (SELECT image_id, m, tp, coalesce(n,0) AS n, coalesce(skipped,0) AS skipped, coalesce(free,0) AS free FROM hits LEFT JOIN pc USING (image_id))"""
+CONFUSION = "SELECT CAST(sum(tp) AS BIGINT) AS obj_tp, CAST(sum({}) AS BIGINT) AS obj_fp, CAST(sum(m-tp) AS BIGINT) AS obj_fn{} FROM im"
+WG = f"{WL}, {CATALOG_SQL}, {STACK_SQL}, {GREEDY}"
+TRUTH = f"""tr AS (SELECT DISTINCT image_id, r, c FROM (SELECT cat.image_id, r, c, x, y, beta, greatest(-trail_length/2, least(trail_length/2, (c-x)*cos(radians(beta)) + (r-y)*sin(radians(beta)))) AS t
+ FROM cat JOIN pxs ON cat.image_id=pxs.image_id AND r BETWEEN y-trail_length/2-3 AND y+trail_length/2+3 AND c BETWEEN x-trail_length/2-3 AND x+trail_length/2+3) WHERE {COVERS})"""
+#: Components of the baseline detector's mask.
+MASK_PARTS = """ms1 AS (SELECT *, row_number() OVER (ORDER BY image_id, r, c) AS id FROM stk), me AS (SELECT a.id AS a, b.id AS b FROM ms1 a JOIN ms1 b ON a.image_id=b.image_id AND abs(a.r-b.r)<=1 AND abs(a.c-b.c)<=1 AND a.id<>b.id),
+ mreach(a, b) AS (SELECT id, id FROM ms1 UNION SELECT mreach.a, me.b FROM mreach JOIN me ON mreach.b = me.a), mroot AS (SELECT b AS id, min(a) AS root FROM mreach GROUP BY 1), mfp AS (SELECT count(DISTINCT root) AS stack_fp FROM mroot)"""
+
+
+def with_truth(spark, d):
+    """The sparse images with gt: whether a pixel lies under an object."""
+    truth = O.overlaps(catalog(spark, d), sparse(spark, d), WIDTH).select("image_id", "r", "c").distinct().withColumn("gt", F.lit(True))
+    return sparse(spark, d).join(truth, ["image_id", "r", "c"], "left").na.fill(False, ["gt"])
+
+
 @query("j02_object_component_overlap", f"{WL}, {CATALOG_SQL}, {EDGES} SELECT * FROM ed")
 def j02(spark, d):
     return O.edges(catalog(spark, d), labelled(spark, d), WIDTH)
 
 
-@query("j10_any_overlap", f"{WL}, {CATALOG_SQL}, {EDGES} SELECT row_pos, row_pos IN (SELECT row_pos FROM ed) AS nn_detected FROM cat")
+PROBES = """cx AS (SELECT *, CASE WHEN row_pos % 4 > 0 THEN beta END AS b2 FROM cat), gr AS (SELECT DISTINCT image_id, r+dr AS r, c+dc AS c FROM pxs, (SELECT unnest(range(-2,3)) AS dr), (SELECT unnest(range(-2,3)) AS dc) WHERE p >= 0.5),
+ ln AS (SELECT image_id, row_pos, greatest(0, least(127, CAST(round_even(round(x + trail_length*(i/(n-1) - 0.5)*cos(radians(b2)), 9), 0) AS INT))) AS c, greatest(0, least(127, CAST(round_even(round(y + trail_length*(i/(n-1) - 0.5)*sin(radians(b2)), 9), 0) AS INT))) AS r
+  FROM (SELECT *, CAST(greatest(2, ceil(2*trail_length)) AS INT) AS n FROM cx WHERE b2 IS NOT NULL), range(130) t(i) WHERE i < n),
+ dk AS (SELECT image_id, row_pos, x+b AS c, y+a AS r FROM cx, (SELECT unnest(range(-2,3)) AS a), (SELECT unnest(range(-2,3)) AS b) WHERE b2 IS NULL AND a*a+b*b <= 4),
+ hit AS (SELECT DISTINCT row_pos FROM (SELECT * FROM ln UNION ALL SELECT * FROM dk) SEMI JOIN gr USING (image_id, r, c))"""
+
+
+@query("j10_any_overlap", f"WITH {SPARSE_SQL}, {CATALOG_SQL}, {PROBES} SELECT row_pos, row_pos IN (SELECT row_pos FROM hit) AS nn_detected FROM cat")
 def j10(spark, d):
-    cat = catalog(spark, d)
-    hit = O.edges(cat, labelled(spark, d), WIDTH).select("row_pos").distinct().withColumn("hit", F.lit(True))
-    return cat.select("row_pos").join(hit, "row_pos", "left").select("row_pos", F.coalesce("hit", F.lit(False)).alias("nn_detected"))
+    # A quarter of the objects has no direction, and is probed with a disk.
+    cat = catalog(spark, d).withColumn("beta", F.when(F.col("row_pos") % 4 > 0, F.col("beta")))
+    return O.any_overlap(cat, support(spark, d), GAP, SPARSE, SPARSE)
 
 
 @query("j03_component_mask_overlap", f"{WL}, {STACK_SQL} SELECT DISTINCT image_id, label FROM lab JOIN stk USING (image_id, r, c)")
@@ -129,9 +169,9 @@ def j01(spark, d):
     return rounded(catalog(spark, d).join(images, "image_id", "left").select("row_pos", F.coalesce("n", F.lit(0)).alias("n"), "top"))
 
 
-@query("g01_trail_pixels", f"{WL}, {CATALOG_SQL}, {EDGES} SELECT row_pos, count(*) AS n FROM ov GROUP BY 1")
+@query("g01_trail_pixels", f"WITH {CATALOG_SQL}, {TRAIL_SQL} SELECT row_pos, r, c FROM gp")
 def g01(spark, d):
-    return O.overlaps(catalog(spark, d), labelled(spark, d), WIDTH).groupBy("row_pos").agg(F.count("*").alias("n"))
+    return O.trail_pixels(catalog(spark, d), WIDTH, SPARSE, SPARSE).select("row_pos", "r", "c")
 
 
 def _roi_sql(v: str, f: str, low: str, high: str) -> str:
@@ -144,33 +184,77 @@ def g05(spark, d):
     return catalog(spark, d).select("row_pos", *O.roi(SPARSE, SPARSE, 40.0))
 
 
-@query("a02_object_confusion")
+#: All thresholds at once: components are roots that spread over neighbours of at least the threshold.
+SCAN_SQL = f"""WITH RECURSIVE {SPARSE_SQL}, {CATALOG_SQL}, {STACK_SQL}, {TRUTH}, px8 AS (SELECT pxs.*, tr.image_id IS NOT NULL AS gt FROM pxs LEFT JOIN tr ON tr.image_id=pxs.image_id AND tr.r=pxs.r AND tr.c=pxs.c), {SWEEP_TAIL},
+ ids AS (SELECT *, row_number() OVER (ORDER BY image_id, r, c) AS id FROM pxs SEMI JOIN cat USING (image_id)),
+ e0 AS (SELECT a.id AS a, b.id AS b, least(a.p, b.p) AS w FROM ids a JOIN ids b ON a.image_id=b.image_id AND abs(a.r-b.r)<=5 AND abs(a.c-b.c)<=5 AND a.id<>b.id),
+ cc(thr_idx, thr, id, root) USING KEY (thr_idx, id) AS (SELECT thr_idx, thr, id, id FROM ids JOIN t ON p >= thr UNION
+  SELECT cc.thr_idx, cc.thr, e0.b, min(cc.root) FROM cc JOIN e0 ON e0.a = cc.id AND e0.w >= cc.thr JOIN recurring.cc k ON k.thr_idx=cc.thr_idx AND k.id=e0.b WHERE cc.root < k.root GROUP BY 1,2,3),
+ lb AS (SELECT thr_idx, image_id, root, r, c, p FROM cc JOIN ids USING (id)),
+ uo AS (SELECT * FROM (SELECT row_pos, id, r, c, x, y, beta, greatest(-trail_length/2, least(trail_length/2, (c-x)*cos(radians(beta)) + (r-y)*sin(radians(beta)))) AS t
+  FROM cat JOIN ids ON cat.image_id=ids.image_id AND r BETWEEN y-trail_length/2-3 AND y+trail_length/2+3 AND c BETWEEN x-trail_length/2-3 AND x+trail_length/2+3) WHERE {COVERS}),
+ le AS (SELECT DISTINCT thr_idx, row_pos, root FROM cc JOIN uo USING (id)),
+ ow AS (SELECT thr_idx, root, min(row_pos) AS owner FROM le GROUP BY 1,2),
+ lp AS (SELECT lb.thr_idx, lb.image_id, lb.root, bool_or(ow.owner IS NOT NULL) AS taken, bool_or(stk.image_id IS NOT NULL) AS masked FROM lb LEFT JOIN ow ON ow.thr_idx=lb.thr_idx AND ow.root=lb.root
+  LEFT JOIN stk ON stk.image_id=lb.image_id AND stk.r=lb.r AND stk.c=lb.c GROUP BY 1,2,3),
+ lc AS (SELECT thr_idx, image_id, count(*) AS n, count(*) FILTER (NOT taken AND masked) AS skipped, count(*) FILTER (NOT taken AND NOT masked) AS free FROM lp GROUP BY 1,2),
+ tq AS (SELECT thr_idx, image_id, count(*) AS tp FROM (SELECT DISTINCT thr_idx, owner FROM ow) JOIN cat ON row_pos=owner GROUP BY 1,2),
+ oi AS (SELECT t.thr_idx, i.image_id, i.m, coalesce(tq.tp,0) AS tp, coalesce(lc.n,0) AS n, coalesce(lc.skipped,0) AS skipped, coalesce(lc.free,0) AS free FROM t CROSS JOIN (SELECT image_id, count(*) AS m FROM cat GROUP BY 1) i
+  LEFT JOIN tq ON tq.thr_idx=t.thr_idx AND tq.image_id=i.image_id LEFT JOIN lc ON lc.thr_idx=t.thr_idx AND lc.image_id=i.image_id),
+ ob AS (SELECT thr_idx, CAST(sum(tp) AS BIGINT) AS obj_tp, CAST(sum(greatest(n-tp-skipped,0)) AS BIGINT) AS obj_fp, CAST(sum(m-tp) AS BIGINT) AS obj_fn FROM oi GROUP BY 1),
+ scan AS (SELECT *, {SCORES.format('pix_tp', 'pix_fp', 'pix_fn', 'pix_')}, {SCORES.format('obj_tp', 'obj_fp', 'obj_fn', 'obj_')} FROM sw JOIN ob USING (thr_idx))"""
+
+HISTOGRAM_SQL = """SELECT 'histogram_{0}', n.name, bin, 0, n.v FROM (SELECT bin, [{{'name': 'n', 'v': count(*)}}, {{'name': 'nn', 'v': count(*) FILTER (a)}}, {{'name': 'stack', 'v': count(*) FILTER (s)}}, {{'name': 'either', 'v': count(*) FILTER (a OR s)}},
+ {{'name': 'nn_only', 'v': count(*) FILTER (a AND NOT s)}}, {{'name': 'completeness', 'v': count(*) FILTER (a OR s)/count(*)}}] AS ns FROM (SELECT CAST(least(floor(({0}-lo)/((hi-lo)/12)), 11) AS INT) AS bin, nn AS a, stack_detection AS s FROM mc, (SELECT min({0}) AS lo, max({0}) AS hi FROM mc)) GROUP BY 1), unnest(ns) u(n)"""
+COMPLETENESS_SQL = """SELECT '{0}', n.name, bin_x, bin_y, n.v FROM (SELECT i AS bin_x, j AS bin_y, [{{'name': 'total', 'v': count(z.f)}}, {{'name': 'detected', 'v': count(*) FILTER (z.f)}}, {{'name': 'ratio', 'v': coalesce(count(*) FILTER (z.f)/nullif(count(z.f),0),0)}}] AS ns
+ FROM range(10) x(i) CROSS JOIN range(10) y(j) LEFT JOIN (SELECT CAST(least(floor((SNR-lx)/((hx-lx)/10)),9) AS INT) AS a, CAST(least(floor((trail_length-ly)/((hy-ly)/10)),9) AS INT) AS b, {1} AS f FROM mc, (SELECT min(SNR) AS lx, max(SNR) AS hx, min(trail_length) AS ly, max(trail_length) AS hy FROM mc)) z ON z.a=i AND z.b=j GROUP BY 1,2), unnest(ns) u(n)"""
+REPORT_SQL = f"""{SCAN_SQL}, {MASK_PARTS}, best AS (SELECT thr_idx, thr, obj_f2 FROM scan ORDER BY obj_f2 DESC, thr_idx LIMIT 1),
+ mc AS (SELECT cat.*, row_pos IN (SELECT row_pos FROM le SEMI JOIN best USING (thr_idx)) AS nn, row_pos IN (SELECT owner FROM ow SEMI JOIN best USING (thr_idx)) AS hit FROM cat),
+ pts AS (SELECT thr_idx, coalesce(pix_fp/nullif(pix_fp+pix_tn,0),0) AS fpr, coalesce(pix_tp/nullif(pix_tp+pix_fn,0),0) AS tpr FROM scan), roc AS (SELECT *, CAST(row_number() OVER (ORDER BY fpr, thr_idx) AS INT) AS pos FROM pts),
+ fr AS (SELECT thr_idx, obj_fp/50.0 AS fppi, coalesce(obj_tp/nullif(obj_tp+obj_fn,0),0) AS recall FROM scan), fm AS (SELECT *, max(recall) OVER (ORDER BY fppi, thr_idx ROWS UNBOUNDED PRECEDING) AS recall_plot FROM fr),
+ bo AS (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(free) AS BIGINT) AS fp, CAST(sum(m-tp) AS BIGINT) AS fn FROM oi SEMI JOIN best USING (thr_idx)),
+ bp AS (SELECT count(*) FILTER (p>=thr AND gt) AS tp, count(*) FILTER (p>=thr AND NOT gt) AS fp, count(*) FILTER (p<thr AND gt) AS fn, count(*) FILTER (p<thr AND NOT gt) AS tn FROM px8, best),
+ rows(section, name, i, j, value) AS (SELECT 'sweep', name, thr_idx, 0, value FROM (UNPIVOT (SELECT thr_idx, CAST(COLUMNS(* EXCLUDE (thr_idx)) AS DOUBLE) FROM scan) ON COLUMNS(* EXCLUDE (thr_idx)) INTO NAME name VALUE value)
+ UNION ALL SELECT 'roc', 'fpr', pos, 0, fpr FROM roc UNION ALL SELECT 'roc', 'tpr', pos, 0, tpr FROM roc
+ UNION ALL SELECT 'area', 'roc', 0, 0, sum(v) FROM (SELECT (fpr-lag(fpr) OVER (ORDER BY pos))*(tpr+lag(tpr) OVER (ORDER BY pos))/2 AS v FROM roc)
+ UNION ALL SELECT 'froc', 'fppi', thr_idx, 0, fppi FROM fm UNION ALL SELECT 'froc', 'recall', thr_idx, 0, recall FROM fm UNION ALL SELECT 'froc', 'recall_plot', thr_idx, 0, recall_plot FROM fm
+ UNION ALL SELECT 'best', 'thr', 0, 0, thr FROM best UNION ALL SELECT 'best', 'obj_f2', 0, 0, obj_f2 FROM best
+ UNION ALL SELECT 'confusion', 'obj_tp', 0, 0, tp FROM bo UNION ALL SELECT 'confusion', 'obj_fp', 0, 0, fp FROM bo UNION ALL SELECT 'confusion', 'obj_fn', 0, 0, fn FROM bo
+ UNION ALL SELECT 'confusion', 'pix_tp', 0, 0, tp FROM bp UNION ALL SELECT 'confusion', 'pix_fp', 0, 0, fp FROM bp UNION ALL SELECT 'confusion', 'pix_fn', 0, 0, fn FROM bp UNION ALL SELECT 'confusion', 'pix_tn', 0, 0, tn FROM bp
+ UNION ALL SELECT 'combined', 'tp', 0, 0, count(*) FILTER (nn OR stack_detection) FROM mc UNION ALL SELECT 'combined', 'fn', 0, 0, count(*) FILTER (NOT (nn OR stack_detection)) FROM mc UNION ALL SELECT 'combined', 'fp', 0, 0, bo.fp + stack_fp FROM bo, mfp
+ UNION ALL {HISTOGRAM_SQL.format('SNR')} UNION ALL {HISTOGRAM_SQL.format('trail_length')}
+ UNION ALL {COMPLETENESS_SQL.format('completeness', 'nn')} UNION ALL {COMPLETENESS_SQL.format('completeness_nn_only', 'nn AND NOT stack_detection')})
+ SELECT section, name, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(CAST(value AS DOUBLE), 6) AS value FROM rows"""
+
+
+@query("a02_object_confusion", f"{WG} {CONFUSION.format('greatest(n-tp,0)', '')}")
 def a02(spark, d):
     return O.confusion(catalog(spark, d), labelled(spark, d), WIDTH)
 
 
-@query("a02_object_confusion_mask")
+@query("a02_object_confusion_mask", f"{WG} {CONFUSION.format('free', '')}")
 def a02b(spark, d):
     return O.confusion(catalog(spark, d), labelled(spark, d), WIDTH, stack_pixels(spark, d))
 
 
-@query("a03_object_confusion_sweep_rule")
+@query("a03_object_confusion_sweep_rule", f"{WG} {CONFUSION.format('greatest(n-tp-skipped,0)', '')}")
 def a03(spark, d):
     return O.confusion(catalog(spark, d), labelled(spark, d), WIDTH, stack_pixels(spark, d), per_threshold=True)
 
 
-@query("a04_object_sweep")
+@query("a04_object_sweep", f"{SCAN_SQL} SELECT * FROM scan")
 def a04(spark, d):
-    return rounded(O.sweep(catalog(spark, d), sparse(spark, d), WIDTH, GAP, [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9], stack_pixels(spark, d)))
+    return rounded(O.threshold_scan(catalog(spark, d), with_truth(spark, d), WIDTH, GAP, stack_px=stack_pixels(spark, d)))
 
 
-@query("a19_full_confusion")
+@query("a19_full_confusion", f"{WG}, {TRUTH}, px AS (SELECT p >= {THR} AS hit, tr.image_id IS NOT NULL AS gt FROM pxs LEFT JOIN tr ON tr.image_id=pxs.image_id AND tr.r=pxs.r AND tr.c=pxs.c), pq AS (SELECT count(*) FILTER (hit AND gt) AS pix_tp, count(*) FILTER (hit AND NOT gt) AS pix_fp, count(*) FILTER (NOT hit AND gt) AS pix_fn, count(*) FILTER (NOT hit AND NOT gt) AS pix_tn FROM px) SELECT * FROM ({CONFUSION.format('greatest(n-tp,0)', '')}), pq")
 def a19(spark, d):
-    px, cat = sparse(spark, d), catalog(spark, d)
-    truth = O.overlaps(cat, px, WIDTH).select("image_id", "r", "c").distinct().withColumn("gt", F.lit(True))
-    hit, gt = F.col("p") >= THR, F.coalesce(F.col("gt"), F.lit(False))
-    pix = px.join(truth, ["image_id", "r", "c"], "left").agg(count_if(hit & gt).alias("pix_tp"), count_if(hit & ~gt).alias("pix_fp"), count_if(~hit & gt).alias("pix_fn"), count_if(~hit & ~gt).alias("pix_tn"))
-    return O.confusion(cat, labelled(spark, d), WIDTH).join(pix)
+    return O.full_confusion(catalog(spark, d), with_truth(spark, d), labelled(spark, d), WIDTH, THR)
+
+
+@query("m07_metric_report", REPORT_SQL)
+def m07(spark, d):
+    return rounded(M.metric_report(catalog(spark, d), with_truth(spark, d), WIDTH, GAP, stack_pixels(spark, d), 50))
 
 
 @query("a17_stack_metrics", f"{WL}, {CATALOG_SQL} SELECT count(*) FILTER (stack_detection) AS tp, (SELECT CAST(sum(m) AS BIGINT) FROM (SELECT max(label) AS m FROM lab GROUP BY image_id)) AS fp, count(*) FILTER (NOT stack_detection) AS fn, CAST(NULL AS BIGINT) AS tn FROM cat")
@@ -178,9 +262,9 @@ def a17(spark, d):
     return O.stack_metrics(catalog(spark, d), labelled(spark, d))
 
 
-@query("a18_combined_confusion", f"WITH {CATALOG_SQL} SELECT count(*) FILTER (nn_detected OR stack_detection) AS tp, count(*) FILTER (NOT (nn_detected OR stack_detection)) AS fn, CAST(18 AS INT) AS fp FROM cat")
+@query("a18_combined_confusion", f"{WG}, {MASK_PARTS}, fl AS (SELECT row_pos IN (SELECT row_pos FROM ed) OR stack_detection AS found FROM cat) SELECT count(*) FILTER (found) AS tp, count(*) FILTER (NOT found) AS fn, (SELECT CAST(sum(free) AS BIGINT) FROM im) + (SELECT stack_fp FROM mfp) AS fp FROM fl")
 def a18(spark, d):
-    return O.combined(catalog(spark, d), 11, 7)
+    return O.combined(catalog(spark, d), labelled(spark, d), WIDTH, stack_pixels(spark, d))
 
 
 @query("a14_catalog_groups", f"WITH {CATALOG_SQL} SELECT image_id, count(*) AS n, CAST(min(row_pos) AS BIGINT) AS first_pos, list(x ORDER BY row_pos) AS xs FROM cat GROUP BY 1")

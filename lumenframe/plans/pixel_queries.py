@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from lumenframe.operators import curves as C
 from lumenframe.operators import pixels as P
 from lumenframe.plans.registry import query, rounded
-from lumenframe.plans.scenes import DENSE, DENSE_SQL, dense
+from lumenframe.plans.scenes import DENSE, DENSE_SQL, dense, order_key, order_sql
 
 W = "WITH " + DENSE_SQL
 SCORES = """coalesce(round({0}/nullif({0}+{1},0),6),0) AS {3}precision, coalesce(round({0}/nullif({0}+{2},0),6),0) AS {3}recall,
  coalesce(round(2.0*{0}/nullif(2*{0}+{2}+{1},0),6),0) AS {3}f1, coalesce(round(5.0*{0}/nullif(5*{0}+4*{2}+{1},0),6),0) AS {3}f2"""
 
-SWEEP_CTE = DENSE_SQL + """, h AS (SELECT CAST(floor(greatest(0.0, least(1.0, p))*4095) AS INT) AS bin, count(*) FILTER (gt) AS pos, count(*) FILTER (NOT gt) AS neg FROM px8 GROUP BY 1),
+SWEEP_TAIL = """h AS (SELECT CAST(floor(greatest(0.0, least(1.0, p))*4095) AS INT) AS bin, count(*) FILTER (gt) AS pos, count(*) FILTER (NOT gt) AS neg FROM px8 GROUP BY 1),
 t AS (SELECT CAST(i AS INT) AS thr_idx, round(i/50.0, 9) AS thr, CAST(floor(round(i/50.0, 9)*4095) AS INT) AS tbin FROM range(51) x(i)),
 s AS (SELECT thr_idx, thr, CAST(coalesce(sum(pos),0) AS BIGINT) AS pix_tp, CAST(coalesce(sum(neg),0) AS BIGINT) AS pix_fp FROM t LEFT JOIN h ON bin >= tbin GROUP BY ALL),
 sw AS (SELECT thr_idx, thr, pix_tp, pix_fp, CAST((SELECT sum(pos) FROM h) AS BIGINT) - pix_tp AS pix_fn, CAST((SELECT sum(neg) FROM h) AS BIGINT) - pix_fp AS pix_tn FROM s)"""
+SWEEP_CTE = f"{DENSE_SQL}, {SWEEP_TAIL}"
 
 
 @query("a05_pixel_sweep", f"WITH {SWEEP_CTE} SELECT *, {SCORES.format('pix_tp', 'pix_fp', 'pix_fn', 'pix_')} FROM sw")
@@ -39,6 +40,11 @@ def f05(spark, d):
     return dense(spark, d).groupBy("image_id").agg(F.bool_or(F.col("gt") & (F.col("p") > 0.8)).alias("any")).filter("any").select("image_id")
 
 
+@query("f05_some_panels", f"{W}, o AS (SELECT image_id FROM px8 GROUP BY 1 ORDER BY {order_sql('image_id')}, image_id LIMIT 120) SELECT image_id FROM px8 SEMI JOIN o USING (image_id) GROUP BY image_id HAVING bool_or(gt AND p > 0.8)")
+def f05b(spark, d):
+    return P.panels_with_positives(dense(spark, d), F.col("gt") & (F.col("p") > 0.8), 120, order_key("image_id"))
+
+
 @query("f07_valid_pixels", f"{W} SELECT image_id, count(*) AS n FROM px8 WHERE NOT real > 0.5 GROUP BY 1")
 def f07(spark, d):
     return P.valid(dense(spark, d)).groupBy("image_id").agg(F.count("*").alias("n"))
@@ -119,11 +125,20 @@ def a22(spark, d):
     return rounded(b.agg(F.avg("f").alias("mean"), q.alias("q")).select("mean", *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p99"))]))
 
 
-@query("a23_validation_probe", f"{W}, b AS (SELECT image_id % 16 AS batch, CASE WHEN count(*) FILTER (real=1)>0 THEN corr(CAST(gt AS INT), p) END AS v FROM px8 GROUP BY 1) SELECT round(avg(v),6) AS mean, round(stddev_pop(v),6) AS std, round(min(v),6) AS lo, round(max(v),6) AS hi, count(*) FILTER (v < 0) AS bad, count(*) FILTER (v IS NULL) AS missing FROM b")
+PROBE = f"""{W}, h AS (SELECT image_id % 16 AS batch, greatest(0, least(255, CAST(floor(p*256) AS INT))) AS bin, count(*) FILTER (gt) AS pos, count(*) FILTER (NOT gt) AS neg FROM px8 WHERE NOT real > 0.5 AND (image_id % 16 > 1 OR gt = (image_id % 16 = 0)) GROUP BY 1, 2),
+ k AS (SELECT batch, bin, sum(neg) OVER w AS fp, sum(pos) OVER w AS tp, sum(neg) OVER (PARTITION BY batch) AS nn, sum(pos) OVER (PARTITION BY batch) AS np FROM h WINDOW w AS (PARTITION BY batch ORDER BY bin DESC)),
+ z AS (SELECT batch, nn, np, (fp/nullif(nn,0) - lag(fp/nullif(nn,0)) OVER u)*(tp/nullif(np,0) + lag(tp/nullif(np,0)) OVER u)/2 AS v FROM k WINDOW u AS (PARTITION BY batch ORDER BY bin DESC)),
+ b AS (SELECT batch, CASE WHEN min(nn) > 0 AND min(np) > 0 THEN sum(v) END AS auc FROM z GROUP BY 1)
+ SELECT round(avg(auc),6) AS mean, round(stddev_pop(auc),6) AS std, round(min(auc),6) AS lo, round(max(auc),6) AS hi, count(*) FILTER (auc < 0.5) AS bad, count(*) FILTER (auc IS NULL) AS missing FROM b"""
+
+
+@query("a23_validation_probe", PROBE)
 def a23(spark, d):
-    px = dense(spark, d)
-    b = px.groupBy((F.col("image_id") % 16).alias("batch")).agg(F.when(F.count_if(F.col("real") == 1) > 0, F.corr(F.col("gt").cast("double"), F.col("p"))).alias("v"))
-    return rounded(b.agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"), P.count_if(F.col("v") < 0).alias("bad"), P.count_if(F.col("v").isNull()).alias("missing")))
+    # Two batches lack a class, so that their area is missing.
+    batch = F.col("image_id") % 16
+    px = P.valid(dense(spark, d)).withColumn("batch", batch).filter((batch > 1) | (F.col("gt") == (batch == 0)))
+    b = P.histogram_auc_by(px, "batch")
+    return rounded(b.agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("std"), F.min("auc").alias("lo"), F.max("auc").alias("hi"), P.count_if(F.col("auc") < 0.5).alias("bad"), P.count_if(F.col("auc").isNull()).alias("missing")))
 
 
 @query("w01_reverse_cumulative", f"WITH {SWEEP_CTE} SELECT bin, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp FROM h WINDOW w AS (ORDER BY bin DESC)")
@@ -156,14 +171,33 @@ def w03(spark, d):
     return rounded(P.trapezoid(C.roc(P.sweep(dense(spark, d))), "fpr", "tpr", "pos"))
 
 
-@query("w06_partial_auc", f"""WITH {ROC_CTE}, n AS (SELECT pos, fpr, tpr, lead(fpr) OVER (ORDER BY pos) AS nx, lead(tpr) OVER (ORDER BY pos) AS ny FROM roc),
- i AS (SELECT * FROM n WHERE fpr <= 0.3), u AS (SELECT pos, fpr, tpr FROM i UNION ALL SELECT 0, 0.0, 0.0 WHERE (SELECT min(fpr) FROM roc) > 0
- UNION ALL SELECT pos+1, 0.3, tpr + (ny-tpr)*(0.3-fpr)/(nx-fpr) FROM i WHERE nx > 0.3 AND fpr < 0.3),
- z AS (SELECT (fpr-lag(fpr) OVER (ORDER BY pos))*(tpr+lag(tpr) OVER (ORDER BY pos))/2 AS v FROM u) SELECT round(coalesce(sum(v),0)/0.3,6) AS area FROM z""")
+def partial_sql(curve: str, x_max: float) -> str:
+    return f"""(SELECT coalesce(sum(v),0) FROM (SELECT (fpr-lag(fpr) OVER (ORDER BY pos))*(tpr+lag(tpr) OVER (ORDER BY pos))/2 AS v FROM (SELECT pos, fpr, tpr FROM {curve} WHERE fpr <= {x_max}
+ UNION ALL SELECT 0, 0.0, 0.0 WHERE (SELECT min(fpr) FROM {curve}) > 0
+ UNION ALL SELECT 1000000, {x_max}, CASE WHEN (SELECT min(fpr) FROM {curve}) > {x_max} THEN (SELECT tpr FROM {curve} ORDER BY pos LIMIT 1) WHEN (SELECT max(fpr) FROM {curve}) <= {x_max} THEN (SELECT tpr FROM {curve} ORDER BY pos DESC LIMIT 1)
+  ELSE (SELECT l.tpr + (u.tpr-l.tpr)*({x_max}-l.fpr)/(u.fpr-l.fpr) FROM (SELECT * FROM {curve} WHERE fpr <= {x_max} ORDER BY pos DESC LIMIT 1) l, (SELECT * FROM {curve} WHERE fpr > {x_max} ORDER BY pos LIMIT 1) u) END)))"""
+
+
+@query("w06_partial_auc", f"WITH {ROC_CTE} SELECT round({partial_sql('roc', 0.3)}/0.3,6) AS area")
 def w06(spark, d):
     return rounded(C.partial_auc(C.roc(P.sweep(dense(spark, d))), 0.3, normalize=True))
 
 
+#: Ends before, inside and beyond the points of a curve that starts late and ends early.
+LIMITS = (0.05, 0.1, 0.3, 0.8, 1.0)
+
+
+@query("w06_partial_auc_edges", f"WITH {ROC_CTE}, lt AS (SELECT * FROM roc WHERE fpr BETWEEN 0.08 AND 0.9) " + " UNION ALL ".join(f"SELECT CAST({x} AS DOUBLE) AS x_max, round({partial_sql('lt', x)},6) AS area" for x in LIMITS))
+def w06b(spark, d):
+    late = C.roc(P.sweep(dense(spark, d))).filter("fpr between 0.08 and 0.9").select("pos", "fpr", "tpr")
+    points = late.sparkSession.createDataFrame(late.collect(), late.schema)  # at most as many as thresholds
+    out = None
+    for x in LIMITS:
+        one = C.partial_auc(points, x).select(F.lit(x).alias("x_max"), "area")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
 @query("t02_sweep_in_order", f"WITH {SWEEP_CTE} SELECT thr_idx, thr, pix_tp FROM sw ORDER BY thr")
 def t02(spark, d):
     return P.sweep(dense(spark, d)).select("thr_idx", "thr", "pix_tp").orderBy("thr")
@@ -235,7 +269,7 @@ def a39(spark, d):
     return rounded(b.agg((F.sum(F.col("l") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("loss")))
 
 
-@query("w09_moving_average")
+@query("w09_moving_average", f"{W} SELECT image_id, round(list_reduce(list(p ORDER BY r*8+c), lambda s, x: 0.9*s + 0.1*x),6) AS ema FROM px8 GROUP BY 1")
 def w09(spark, d):
     px = dense(spark, d).withColumn("step", F.col("r") * DENSE + F.col("c"))
     return rounded(C.moving_average(px, "image_id", "step", "p", 0.9))
@@ -259,11 +293,3 @@ def g10(spark, d):
     from lumenframe.operators.tiles import centre_crop_pad
 
     return rounded(centre_crop_pad(dense(spark, d).select("image_id", "r", "c", "p"), DENSE, DENSE, 4, 4))
-
-
-@query("m07_metric_report", f"WITH {ROC_CTE}, f AS (SELECT *, coalesce(round(5.0*pix_tp/nullif(5*pix_tp+4*pix_fn+pix_fp,0),6),0) AS f2 FROM sw), b AS (SELECT thr, f2 FROM f ORDER BY f2 DESC, thr_idx LIMIT 1), z AS (SELECT (fpr-lag(fpr) OVER (ORDER BY pos))*(tpr+lag(tpr) OVER (ORDER BY pos))/2 AS v FROM roc) SELECT b.thr AS best_thr, b.f2 AS best_f2, round((SELECT sum(v) FROM z),6) AS area, pix_tp, pix_fp, pix_fn, pix_tn FROM b JOIN sw ON sw.thr=b.thr")
-def m07(spark, d):
-    s = P.sweep(dense(spark, d)).cache()
-    best = C.best_threshold(rounded(s), "pix_f2").select("thr", F.col("score").alias("best_f2"))
-    area = P.trapezoid(C.roc(s), "fpr", "tpr", "pos")
-    return rounded(s.join(best, "thr").join(area).select(F.col("thr").alias("best_thr"), "best_f2", "area", "pix_tp", "pix_fp", "pix_fn", "pix_tn"))

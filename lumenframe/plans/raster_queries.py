@@ -11,7 +11,8 @@ from lumenframe.operators import pixels as P
 from lumenframe.operators import raster as R
 from lumenframe.operators import sampling as S
 from lumenframe.operators import tiles as T
-from lumenframe.plans.object_queries import GAP, THR, TILE, TOUCH, WIDTH, images
+from lumenframe.plans.catalog_queries import SPANS
+from lumenframe.plans.object_queries import EDGES, GAP, MEASURE, THR, TILE, TOUCH, TRAIL_SQL, WIDTH, WL, images
 from lumenframe.plans.pixel_queries import STATS, SWEEP_CTE
 from lumenframe.plans.registry import query, rounded
 from lumenframe.plans.scenes import CATALOG_SQL, DENSE, DENSE_SQL, EXP_SQL, SPARSE, SPARSE_SQL, STACK_SQL, catalog, dense, exposures, order_key, order_sql, sparse, stack_pixels
@@ -76,7 +77,8 @@ def s10(spark, d):
 def f06(spark, d):
     from pyspark.sql import Window
 
-    ids = catalog(spark, d).groupBy("image_id").agg(F.max("SNR").alias("s")).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("s"), "image_id"))).filter("pos <= 25")
+    first = catalog(spark, d).groupBy("image_id").agg(F.max("SNR").alias("s")).orderBy(F.desc("s"), "image_id").limit(25)
+    ids = first.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("s"), "image_id")))  # 25 rows
     tiles = T.enumerate_tiles(images(spark, d), SPARSE, SPARSE, TILE).join(ids, "image_id")
     return tiles.select("image_id", "tr", "tc", ((F.col("pos") - 1) * 16 + F.col("tile_index")).cast("long").alias("at"))
 
@@ -87,11 +89,12 @@ def a35(spark, d):
     return rounded(h.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.avg("pos").alias("mean")))
 
 
-@query("a37_throughput", "SELECT CAST(event_id % 20 AS BIGINT) AS worker, count(*) AS batches, round(count(*)/1000.0,6) AS per_second FROM events GROUP BY 1")
+@query("a37_throughput", "WITH k AS (SELECT event_id % 20 AS worker, epoch(ts) AS sec, value, row_number() OVER (PARTITION BY event_id % 20 ORDER BY ts, event_id) AS n FROM events), b AS (SELECT worker, min(sec) FILTER (n = 10) AS t0, max(sec) AS t1, count(*) FILTER (n > 10) AS batches, sum(round(value,2)) FILTER (n > 10) AS tiles FROM k WHERE n <= 110 GROUP BY 1) SELECT CAST(worker AS BIGINT) AS worker, batches, round(batches/(t1-t0),6) AS batches_per_s, round(tiles/(t1-t0),6) AS tiles_per_s FROM b")
 def a37(spark, d):
     from lumenframe.plans.scenes import table
 
-    return rounded(table(spark, d, "events").groupBy((F.col("event_id") % 20).alias("worker")).agg(F.count("*").alias("batches"), (F.count("*") / F.lit(1000.0)).alias("per_second")))
+    e = table(spark, d, "events").select((F.col("event_id") % 20).alias("worker"), F.col("ts").cast("timestamp").cast("double").alias("at"), F.round("value", 2).alias("tiles"), "event_id")
+    return rounded(S.throughput(e, "worker", "at", "event_id", "tiles", 10, 100))
 
 
 @query("d05_training_tiles", f"""WITH {SPARSE_SQL}, {STACK_SQL}, {CATALOG_SQL}, {TOUCH}, m AS (SELECT image_id, tr, tc, bool_or(NOT stack_detection) AS missed, bool_or(stack_detection) AS detected FROM tch GROUP BY 1,2,3),
@@ -116,7 +119,11 @@ def k08(spark, d):
     return rounded(s.select("thr", P.ratio(F.col("pix_tp"), F.col("pix_tp") + F.col("pix_fn")).alias("tpr"), P.ratio(F.col("pix_fp"), F.col("pix_fp") + F.col("pix_tn")).alias("fpr")))
 
 
-@query("o01_detection_run")
+RUN_SQL = f"""{WL}, {CATALOG_SQL}, {MEASURE}, {EDGES}, ok AS (SELECT image_id, label FROM ms WHERE area >= 2), e2 AS (SELECT * FROM ed SEMI JOIN ok USING (image_id, label)), o2 AS (SELECT image_id, label, min(row_pos) AS owner FROM e2 GROUP BY 1,2)
+ SELECT image_id, row_pos, row_pos IN (SELECT row_pos FROM e2) AS nn_detected, row_pos IN (SELECT owner FROM o2) AS tp FROM cat"""
+
+
+@query("o01_detection_run", RUN_SQL)
 def o01(spark, d):
     """A whole run: components of every image, accepted ones, and each object's match."""
     p = Config().validate().detection
@@ -125,3 +132,23 @@ def o01(spark, d):
     used = lab.join(kept.select("image_id", "label"), ["image_id", "label"], "left_semi")
     cat = catalog(spark, d)
     return M.match(cat, M.edges(cat, used, WIDTH)).select("image_id", "row_pos", "nn_detected", "tp")
+
+
+SIMULATE_SQL = f"""WITH {CATALOG_SQL}, {SPARSE_SQL}, {SPANS}, {TRAIL_SQL}, fb AS (SELECT image_id, r, c FROM pxs WHERE ((r*31 + c) & 36) <> 0 UNION SELECT image_id, r, c FROM fpx),
+ k AS (SELECT image_id, row_pos % 10 AS slot, row_pos AS try, r, c FROM gp), bad AS (SELECT DISTINCT try FROM k SEMI JOIN fb USING (image_id, r, c)), pl AS (SELECT image_id, slot, min(try) AS row_pos FROM k WHERE try NOT IN (SELECT try FROM bad) GROUP BY 1,2),
+ inj AS (SELECT gp.image_id, gp.row_pos, gp.r, gp.c, pow(10, -0.4*(20 + row_pos % 30/10.0 - 25))/count(*) OVER (PARTITION BY row_pos) AS flux FROM gp SEMI JOIN pl USING (row_pos)),
+ post AS (SELECT image_id, r, c, sum(flux) AS flux FROM (SELECT image_id, r, c, p AS flux FROM pxs UNION ALL SELECT image_id, r, c, flux FROM inj) GROUP BY 1,2,3), det AS (SELECT image_id, r, c FROM post WHERE flux >= 0.9)
+ SELECT pl.image_id, pl.slot, pl.row_pos, count(*) AS pixels, count(det.r) AS found, count(det.r) >= greatest(1, floor(0.3*count(*))) AS detected FROM pl JOIN gp ON gp.row_pos=pl.row_pos LEFT JOIN det ON det.image_id=gp.image_id AND det.r=gp.r AND det.c=gp.c GROUP BY 1,2,3"""
+
+
+@query("o01_simulation", SIMULATE_SQL)
+def o01b(spark, d):
+    from lumenframe.operators import sky as Y
+    from lumenframe.plans.catalog_queries import sources
+
+    cat, px = catalog(spark, d), sparse(spark, d)
+    mask = px.select("image_id", "r", "c", (F.col("r") * 31 + F.col("c")).alias("mask"))
+    blocked = Y.forbidden(mask, [2, 5], Y.label_raster(sources(spark, d)))
+    tries = M.trail_pixels(cat, WIDTH, SPARSE, SPARSE).withColumn("slot", F.col("row_pos") % 10)
+    flux = F.pow(F.lit(10.0), -0.4 * (20 + F.col("row_pos") % 30 / 10 - 25))
+    return Y.simulate(tries, blocked, px.withColumnRenamed("p", "flux"), flux, 0.9, 0.3, 1)

@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+LATER: dict[str, Callable[[], str]] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
+    """Registers a query; SQL that needs names defined further down its module is given as a function."""
+
     def add(f: Query) -> Query:
         QUERIES[name] = f
-        if sql is not None:
+        if isinstance(sql, str):
             ORACLES[name] = sql
+        elif sql is not None:
+            LATER[name] = sql
         return f
 
     return add

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,21 @@ EPHEMERIS = "FieldID BIGINT, ObjID STRING, RA_deg DOUBLE, Dec_deg DOUBLE, RARate
 BAD_VISITS = "visit BIGINT, detector INT, reason STRING"
 
 
+_own: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share, spark.checkpoint.dir; on one machine a temporary one will do."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not known:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own:
+            _own.append(f"file://{tempfile.mkdtemp(prefix='lumenframe-')}")
+        known = _own[0]
+    return f"{known.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header and a declared schema; NaN becomes null."""
     df = spark.read.schema(schema).csv(path, header=True, nanValue="NaN")
@@ -26,6 +44,19 @@ def append_csv(df: DataFrame, path: str) -> None:
         df.write.mode("append").csv(path, header=True)
 
 
+def write_csv(df: DataFrame, path: str, schema: str) -> None:
+    """Writes a CSV with a header; columns of the schema that df lacks are null, others are left out."""
+    have = {c.lower(): c for c in df.columns}
+    fields = df.sparkSession.createDataFrame([], schema).schema.fields
+    df.select(*[(F.col(have[f.name.lower()]) if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]).write.csv(path, header=True)
+
+
+def read_images(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """What write_images() wrote, of all splits or of one."""
+    df = spark.read.parquet(path)
+    return df if split is None else df.filter(F.col("split") == split)
+
+
 def write_images(df: DataFrame, path: str, mode: str = "errorifexists", compression: str = "zstd") -> None:
     """Pixels or tiles by split; row groups take the place of chunks, and image_id keeps them narrow."""
     df.sortWithinPartitions("image_id").write.mode(mode).partitionBy("split").option("compression", compression).parquet(path)

@@ -182,3 +182,111 @@ def test_streamed_histogram_equals_batch(spark, tmp_path):
     q.stop()
     want = P.histogram(px, P.sweep_bin(16))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_greedy_order_against_a_loop(spark):
+    import random
+
+    rng = random.Random(4)
+    links = sorted({(rng.randrange(4), rng.randrange(30), rng.randrange(12)) for _ in range(150)})
+    taken, want = set(), {}
+    for image, row, label in sorted(links, key=lambda x: (x[0], x[1])):
+        want.setdefault((image, row), set())
+        if (image, label) not in taken:
+            want[image, row].add(label)
+    free, done = {}, set()
+    for image, row in sorted(want):
+        mine = {x for i, r, x in links if (i, r) == (image, row)}
+        free[image, row] = len({x for x in mine if (image, x) not in done})
+        done |= {(image, x) for x in mine}
+    got = O.consume(spark.createDataFrame(links, "image_id long, row_pos long, label int")).collect()
+    assert {(r["image_id"], r["row_pos"]): r["n_free"] for r in got} == free
+
+
+def test_sweep_equals_one_threshold_after_the_other(spark):
+    import random
+
+    rng = random.Random(9)
+    cells = {(rng.randrange(40), rng.randrange(40)): rng.randrange(1, 11) / 10 for _ in range(260)}
+    px = pixels(spark, [(r, c, p) for (r, c), p in cells.items()])
+    cat = objects(spark, [(rng.randrange(40), rng.randrange(40), float(rng.randrange(180)), float(rng.randrange(4, 20))) for _ in range(12)])
+    mask = px.filter("(r + c) % 7 = 0").select("image_id", "r", "c")
+    steps = [0.2, 0.45, 0.7, 1.0]
+    got = {r["thr_idx"]: (r["obj_tp"], r["obj_fp"], r["obj_fn"]) for r in O.sweep(cat, px, 3.0, 2, steps, mask).collect()}
+    plain = {r["thr_idx"]: (r["obj_tp"], r["obj_fp"], r["obj_fn"]) for r in O.sweep(cat, px, 3.0, 2, steps).collect()}
+    for i, t in enumerate(steps):
+        lab = K.label_components(px.filter(F.col("p") >= t), 2)
+        assert got[i] == counts(O.confusion(cat, lab, 3.0, mask, per_threshold=True))
+        assert plain[i] == counts(O.confusion(cat, lab, 3.0))
+
+
+def test_partial_area_beyond_and_before_the_points(spark):
+    pts = spark.createDataFrame([(1, 0.2, 0.5), (2, 0.5, 0.8)], "pos int, fpr double, tpr double")
+    assert C.partial_auc(pts, 1.0).first()["area"] == pytest.approx(0.645)
+    assert C.partial_auc(pts, 0.1).first()["area"] == pytest.approx(0.025)
+    assert C.partial_auc(pts, 0.2).first()["area"] == pytest.approx(0.05)
+    assert C.partial_auc(pts).first()["area"] == pytest.approx(0.245)
+    assert C.partial_auc(pts, 0.0).first()["area"] == 0.0
+
+
+def test_ranked_values_narrow_down(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(P, "RANK_ROWS", 5)
+    monkeypatch.setattr(P, "RANK_BINS", 8)
+    rng = random.Random(1)
+    values = [rng.choice([rng.random(), 1e30, -7.0, 3.0]) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+    for k in (0, 1, 77, 150, 298, 299):
+        assert P.ranked_value(df, F.col("v"), lambda n, k=k: k) == sorted(values)[k]
+    assert P.ranked_value(df.limit(0), F.col("v"), lambda n: 0) is None
+
+
+def test_running_best_over_ranges(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(C, "RANGE", 10)
+    rng = random.Random(2)
+    values = [rng.randrange(50) / 10 for _ in range(95)]
+    df = spark.createDataFrame(list(enumerate(values)), "step long, v double")
+    got = C.running_best(df, "v", "step").orderBy("step").collect()
+    assert [r["best"] for r in got] == [max(values[: i + 1]) for i in range(95)]
+    assert [r["improved"] for r in got] == [i == 0 or v > max(values[:i]) for i, v in enumerate(values)]
+
+
+def test_repeated_pixels_share_a_label(spark):
+    out = K.label_components(pixels(spark, [(3, 3, 0.9), (3, 3, 0.8), (9, 9, 0.7)]), 0).collect()
+    assert sorted((r["r"], r["label"]) for r in out) == [(3, 1), (3, 1), (9, 2)]
+
+
+def test_painting_takes_the_reach_of_the_gap(spark):
+    px = pixels(spark, [(5, 5, 0.9), (5, 7, 0.01), (5, 8, 0.02), (7, 7, 0.03), (8, 5, 0.04)])
+    got = {(r["r"], r["c"]): r["p"] for r in K.paint(px, 0.5, 2).collect()}
+    assert got == {(5, 5): 0.9, (5, 7): 0.9, (5, 8): 0.02, (7, 7): 0.9, (8, 5): 0.04}
+
+
+def test_disk_probe_where_the_direction_is_unknown(spark):
+    cat = spark.createDataFrame([(1, 0, 10, 10, None, 9.0), (1, 1, 30, 30, 0.0, 9.0), (1, 2, 30, 30, float("nan"), 9.0), (1, 3, 200, -4, 0.0, 2.0)], "image_id long, row_pos long, x long, y long, beta double, trail_length double")
+    px = pixels(spark, [(12, 10, 0.9), (30, 34, 0.9), (0, 127, 0.9)])
+    got = {r["row_pos"]: r["nn_detected"] for r in O.any_overlap(cat, px, 1, 128, 128).collect()}
+    assert got == {0: False, 1: True, 2: False, 3: True}
+    assert {r["row_pos"]: r["nn_detected"] for r in O.any_overlap(cat, px, 2, 128, 128).collect()} == {0: True, 1: True, 2: True, 3: True}
+
+
+def test_magnitude_modes_agree(spark):
+    one = spark.range(1)
+    length, psf, limit = F.lit(20.0), F.lit(4.0), F.lit(24.0)
+    first = one.select(*[c.alias(n) for n, c in X.injection("psf_mag", F.lit(22.0), length, psf, limit).items()]).first()
+    for mode, value in (("snr", first["SNR"]), ("surface_brightness", first["mag"]), ("integrated_mag", first["integrated_mag"])):
+        again = one.select(*[c.alias(n) for n, c in X.injection(mode, F.lit(value), length, psf, limit).items()]).first()
+        assert all(again[c] == pytest.approx(first[c]) for c in ("mag", "integrated_mag", "PSF_mag", "SNR"))
+    with pytest.raises(ValueError, match="unknown mode"):
+        X.injection("other", F.lit(1.0), length, psf, limit)
+
+
+def test_sky_and_pixel_are_inverse(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (150.0, -300.0), (-4000.0, 10.0)], "x double, y double")
+    ra, dec = Y.tangent_sky(F.col("x"), F.col("y"), 10.0, 60.0, 0.2)
+    px, py = Y.tangent_pixel(F.col("ra"), F.col("dec"), 10.0, 60.0, 0.2)
+    for r in df.withColumn("ra", ra).withColumn("dec", dec).select("x", "y", px.alias("px"), py.alias("py")).collect():
+        assert r["px"] == pytest.approx(r["x"], abs=1e-5) and r["py"] == pytest.approx(r["y"], abs=1e-5)
