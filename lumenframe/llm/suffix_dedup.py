@@ -44,7 +44,7 @@ U64 = np.uint64
 LENGTH = 200
 K = 32
 #: Strings of one anchor that go to one transform, and strings of one transform, about.
-CAP, BATCH = 3_000, 3_000
+CAP, BATCH = 3_000, 500
 #: Numbers of ranges of offsets that larger anchors are split into; the last gives single windows.
 SPLITS = (4, 24, None)
 #: Text of a block of packed fingerprints, and fingerprints that meet in one place.
