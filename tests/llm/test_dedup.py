@@ -25,7 +25,7 @@ def corpus(seed, n=120):
     return rows + [(n, None), (n + 1, ""), (n + 2, " \n "), (n + 3, "one"), (n + 4, "ONE"), (n + 5, "one two")]
 
 
-@pytest.mark.parametrize(("seed", "percent", "block"), [(1, 90, 2000), (2, 80, 2000), (3, 80, 7)])
+@pytest.mark.parametrize(("seed", "percent", "block"), [(1, 90, 2000), (3, 80, 7)])
 def test_join_equals_brute_force(spark, monkeypatch, seed, percent, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = corpus(seed)
@@ -56,7 +56,7 @@ def test_join_of_a_set_inside_one_a_gram_larger(spark, n, percent, words):
     assert {r["component_id"] for r in ngram_join.join(alone, n, percent).collect()} == {1}
 
 
-@pytest.mark.parametrize(("n", "percent"), [(1, 50), (1, 75), (2, 67), (2, 80), (3, 90), (1, 100)])
+@pytest.mark.parametrize(("n", "percent"), [(1, 50), (2, 67), (1, 100)])
 def test_join_of_short_sets_equals_brute_force(spark, n, percent):
     rng = random.Random(n * percent)
     rows = []
@@ -110,7 +110,7 @@ def test_groups_that_are_joined_already_are_not_walked():
     assert [set(x) for x in links] == [{4, 5}]
 
 
-@pytest.mark.parametrize("block", [3, 40])
+@pytest.mark.parametrize("block", [3])
 def test_join_of_large_buckets(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rng = random.Random(block)
