@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,9 +48,12 @@ def _delete(context: SparkContext, path: str) -> None:
 @atexit.register
 def _delete_all() -> None:
     """Tables that results still read can only go when the program ends."""
-    if (context := SparkContext._active_spark_context) is not None and context._jsc is not None:
-        for path in list(_written):
-            _delete(context, path)
+    with contextlib.suppress(Py4JError, OSError):  # Spark may have ended first
+        if (context := SparkContext._active_spark_context) is not None and context._jsc is not None:
+            for path in list(_written):
+                _delete(context, path)
+    if own := getattr(shared_dir, "own", None):
+        shutil.rmtree(own.removeprefix("file://"), ignore_errors=True)
 
 
 def scratch(spark: SparkSession) -> str:
