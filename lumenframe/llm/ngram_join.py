@@ -315,10 +315,12 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key
     equal = cut(reps.join(twice, "rep", "left").select(*same, "rep", F.when(F.col("several"), F.xxhash64(*same)).otherwise(F.col("rep")).alias("id")))
     miss = F.col("n") - F.ceil(F.col("n") * percent / 100)
     # Of sets of other grams, one of n + 1 that holds all n is the nearest that a set of n can have.
-    open_ = equal.filter(100 * F.col("n") >= percent * (F.col("n") + 1)).select("id", F.col("rep").alias("doc_id"), *same)
-    once = sets.filter("n > 0 and doc_id is not null").join(open_, ["doc_id", *same]).select("id", "n", F.explode("grams").alias("g"))
-    alone = once.groupBy("g").agg(F.max("id").alias("other"), F.min("id").alias("id")).filter("id = other").groupBy("id").agg(F.count("*").alias("alone"))
-    likely = cut(open_.join(alone, "id", "left").filter(F.coalesce("alone", F.lit(0)) <= miss).drop("alone"))
+    fits = 100 * F.col("n") >= percent * (F.col("n") + 1)
+    # Rows are not brought to one for each set here: a gram of one set has one hash of sets, however many rows there are.
+    spread = some.filter(fits).select(F.xxhash64(*same).alias("s"), F.explode("grams").alias("g"))
+    alone = spread.groupBy("g").agg(F.max("s").alias("other"), F.min("s").alias("s")).filter("s = other").groupBy("s").agg(F.count("*").alias("alone"))
+    open_ = equal.filter(fits).select("id", F.col("rep").alias("doc_id"), *same, F.xxhash64(*same).alias("s"))
+    likely = cut(open_.join(alone, "s", "left").filter(F.coalesce("alone", F.lit(0)) <= miss).drop("alone", "s"))
     full = shingled(plain.join(likely.select("doc_id").distinct(), "doc_id", "left_semi"), n, True).join(likely, ["doc_id", *same]).dropDuplicates(["id"])
     links = link(full.select("id", "n", "grams"), percent)
     roots = components(links)
