@@ -184,16 +184,18 @@ def g05(spark, d):
     return catalog(spark, d).select("row_pos", *O.roi(SPARSE, SPARSE, 40.0))
 
 
-#: All thresholds at once: components are roots that spread over neighbours of at least the threshold.
+#: All thresholds at once: components are roots that spread over neighbours of at least the threshold.  All pixels of a cell
+#: of edge 6 are neighbours, so cells take the place of pixels.
 SCAN_SQL = f"""WITH RECURSIVE {SPARSE_SQL}, {CATALOG_SQL}, {STACK_SQL}, {TRUTH}, px8 AS (SELECT pxs.*, tr.image_id IS NOT NULL AS gt FROM pxs LEFT JOIN tr ON tr.image_id=pxs.image_id AND tr.r=pxs.r AND tr.c=pxs.c), {SWEEP_TAIL},
- ids AS (SELECT *, row_number() OVER (ORDER BY image_id, r, c) AS id FROM pxs SEMI JOIN cat USING (image_id)),
- e0 AS (SELECT a.id AS a, b.id AS b, least(a.p, b.p) AS w FROM ids a JOIN ids b ON a.image_id=b.image_id AND abs(a.r-b.r)<=5 AND abs(a.c-b.c)<=5 AND a.id<>b.id),
- cc(thr_idx, thr, id, root) USING KEY (thr_idx, id) AS (SELECT thr_idx, thr, id, id FROM ids JOIN t ON p >= thr UNION
+ ids AS (SELECT *, image_id*484 + (r//6)*22 + c//6 AS id FROM pxs SEMI JOIN cat USING (image_id)),
+ cl AS (SELECT id, max(p) AS top FROM ids GROUP BY 1),
+ e0 AS (SELECT a.id AS a, b.id AS b, max(least(a.p, b.p)) AS w FROM ids a JOIN ids b ON a.image_id=b.image_id AND abs(a.r-b.r)<=5 AND abs(a.c-b.c)<=5 AND a.id<>b.id GROUP BY 1,2),
+ cc(thr_idx, thr, id, root) USING KEY (thr_idx, id) AS (SELECT thr_idx, thr, id, id FROM cl JOIN t ON top >= thr UNION
   SELECT cc.thr_idx, cc.thr, e0.b, min(cc.root) FROM cc JOIN e0 ON e0.a = cc.id AND e0.w >= cc.thr JOIN recurring.cc k ON k.thr_idx=cc.thr_idx AND k.id=e0.b WHERE cc.root < k.root GROUP BY 1,2,3),
- lb AS (SELECT thr_idx, image_id, root, r, c, p FROM cc JOIN ids USING (id)),
- uo AS (SELECT * FROM (SELECT row_pos, id, r, c, x, y, beta, greatest(-trail_length/2, least(trail_length/2, (c-x)*cos(radians(beta)) + (r-y)*sin(radians(beta)))) AS t
+ lb AS (SELECT thr_idx, image_id, root, r, c, p FROM cc JOIN ids USING (id) WHERE p >= thr),
+ uo AS (SELECT * FROM (SELECT row_pos, id, p, r, c, x, y, beta, greatest(-trail_length/2, least(trail_length/2, (c-x)*cos(radians(beta)) + (r-y)*sin(radians(beta)))) AS t
   FROM cat JOIN ids ON cat.image_id=ids.image_id AND r BETWEEN y-trail_length/2-3 AND y+trail_length/2+3 AND c BETWEEN x-trail_length/2-3 AND x+trail_length/2+3) WHERE {COVERS}),
- le AS (SELECT DISTINCT thr_idx, row_pos, root FROM cc JOIN uo USING (id)),
+ le AS (SELECT DISTINCT thr_idx, row_pos, root FROM cc JOIN uo USING (id) WHERE p >= thr),
  ow AS (SELECT thr_idx, root, min(row_pos) AS owner FROM le GROUP BY 1,2),
  lp AS (SELECT lb.thr_idx, lb.image_id, lb.root, bool_or(ow.owner IS NOT NULL) AS taken, bool_or(stk.image_id IS NOT NULL) AS masked FROM lb LEFT JOIN ow ON ow.thr_idx=lb.thr_idx AND ow.root=lb.root
   LEFT JOIN stk ON stk.image_id=lb.image_id AND stk.r=lb.r AND stk.c=lb.c GROUP BY 1,2,3),
