@@ -10,6 +10,7 @@ from lumenframe.operators import objects as O
 from lumenframe.operators import raster as G
 from lumenframe.operators import sampling as S
 from lumenframe.operators import sky as Y
+from lumenframe.operators import tasks as K
 from lumenframe.plans import scenes as Z
 from lumenframe.plans.registry import query, rounded
 from lumenframe.plans.scenes import CATALOG_SQL, DENSE_SQL, EPH_SQL, EXP_SQL, SKY_SQL, SPARSE_SQL, catalog, dense, ephemerides, exposures, order_key, order_sql, sky, sparse
@@ -368,9 +369,9 @@ def j09(spark, d):
     return Y.placeable(tries, Y.label_raster(sources(spark, d)))
 
 
-@query("f17_source_guard", f"WITH {SPANS} SELECT image_id, count(*) AS n, count(*) > 15 AS aborted FROM src GROUP BY 1")
+@query("f17_source_guard", f"WITH {SPANS} SELECT image_id, count(*) AS n, count(*) > 15 AND image_id % 3 <> 0 AS aborted FROM src GROUP BY 1")
 def f17(spark, d):
-    return sources(spark, d).groupBy("image_id").agg(F.count("*").alias("n")).withColumn("aborted", F.col("n") > 15)
+    return K.source_guard(sources(spark, d), 15, F.col("image_id") % 3 == 0)
 
 
 # Exposures: registry scans, splits, samples and slots
@@ -402,9 +403,12 @@ def f10(spark, d):
     return R.bad_reasons(e, {"wcs_none": "wcs", "photocalib_none": "photo"}).select("ref_id", "reason")
 
 
-@query("f14_key_fallback", f"{WX} SELECT ref_id, coalesce(CASE WHEN valid THEN ref_id END, visit) AS exposure FROM expo")
+@query("f14_key_fallback", f"{WX} SELECT 'column' AS form, ref_id, coalesce(CASE WHEN valid THEN ref_id END, visit) AS exposure FROM expo UNION ALL SELECT 'none', ref_id, visit FROM expo")
 def f14(spark, d):
-    return exposures(spark, d).select("ref_id", F.coalesce(F.when(F.col("valid"), F.col("ref_id")), F.col("visit")).alias("exposure"))
+    e = exposures(spark, d)
+    both = {"column": e.withColumn("exposure", F.when(F.col("valid"), F.col("ref_id"))), "none": e}
+    one = lambda form: R.with_exposure(both[form]).select(F.lit(form).alias("form"), "ref_id", "exposure")
+    return one("column").unionByName(one("none"))
 
 
 @query("f18_batch_limit", f"{WX} SELECT ref_id FROM expo ORDER BY visit, detector, ref_id LIMIT 640")
@@ -492,10 +496,16 @@ def t01(spark, d):
     return ephemerides(spark, d).orderBy("FieldID", "ObjID", "RA_deg", "Dec_deg").select("FieldID", "ObjID", "event_id")
 
 
-@query("a36_run_timing", "SELECT l_shipmode_, round(avg(l_extendedprice),4) AS mean_s, round(max(l_quantity),4) AS peak, count(*) AS attempts, count(*) FILTER (l_returnflag='A') AS ok FROM (SELECT *, l_linestatus AS l_shipmode_ FROM lineitem) GROUP BY 1")
+TIMING_SQL = """WITH a AS (SELECT l_linenumber AS worker, l_orderkey AS rank, l_returnflag <> 'R' AS ok, l_quantity/10 AS c, l_discount AS s, l_tax AS w, l_extendedprice/100 AS rss FROM lineitem),
+ o AS (SELECT worker, CAST(floor(rank/2500) AS BIGINT) AS step, count(*) AS n, count(*) FILTER (ok) AS good, sum(c) AS c, sum(s) FILTER (ok) AS s, sum(w) FILTER (ok) AS w, max(rss) AS rss FROM a GROUP BY 1,2)
+ SELECT worker, step, CAST(sum(n) OVER u AS BIGINT) AS attempts, CAST(sum(good) OVER u AS BIGINT) AS successes, round(sum(c) OVER u/sum(n) OVER u,6) AS compute_s, round(sum(s) OVER u/nullif(sum(good) OVER u,0),6) AS stage_s, round(sum(w) OVER u/nullif(sum(good) OVER u,0),6) AS write_s, round(max(rss) OVER u,6) AS rss_mb FROM o WINDOW u AS (PARTITION BY worker ORDER BY step ROWS UNBOUNDED PRECEDING)"""
+
+
+@query("a36_run_timing", TIMING_SQL)
 def a36(spark, d):
-    t = Z.table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("l_shipmode_"))
-    return t.agg(F.round(F.avg("l_extendedprice"), 4).alias("mean_s"), F.round(F.max("l_quantity"), 4).alias("peak"), F.count("*").alias("attempts"), F.count_if(F.col("l_returnflag") == "A").alias("ok"))
+    t = Z.table(spark, d, "lineitem")
+    attempts = t.select(F.col("l_linenumber").alias("worker"), F.col("l_orderkey").alias("rank"), (F.col("l_returnflag") != "R").alias("ok"), (F.col("l_quantity") / 10).alias("compute_s"), F.col("l_discount").alias("stage_s"), F.col("l_tax").alias("write_s"), (F.col("l_extendedprice") / 100).alias("rss_mb"))
+    return rounded(K.run_timing(attempts, "worker", 2500))
 
 
 @query("k06_columns_by_prefix", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem")
@@ -548,3 +558,28 @@ def k01(spark, d):
     R.write_images(dense(spark, d).withColumn("split", F.when(F.col("image_id") % 5 == 0, "test").otherwise("train")), path)
     cube = R.read_images(spark, path)
     return cube.groupBy("split", "image_id").agg(F.count("*").alias("n"), F.sum(F.col("gt").cast("int")).alias("masks"), F.sum("real").alias("reals"), F.round(F.sum("flux"), 5).alias("flux"))
+
+
+@query("o05_timeouts", "SELECT event_id, CASE WHEN event_id % 250 = 1 OR user_id % 7 = 0 THEN NULL ELSE round(100.0/(user_id % 7),6) END AS value, CASE WHEN event_id % 250 = 1 THEN 'timeout' WHEN user_id % 7 = 0 THEN 'ZeroDivisionError' END AS error FROM events")
+def o05b(spark, d):
+    def work(row):
+        while row["event_id"] % 250 == 1:  # never ends by itself
+            pass
+        return 100.0 / (row["user_id"] % 7)
+
+    return rounded(K.guarded(Z.table(spark, d, "events").select("event_id", "user_id"), "event_id", work, 0.5))
+
+
+WRONG = ["threshold must be from 0 to 1", "topk_fraction must be over 0 and at most 1", "score_method is unknown"]
+
+
+@query("x25_config_check", "SELECT CAST(i AS INT) AS i, said FROM (VALUES " + ", ".join(f"({i}, '{w}')" for i, w in enumerate(WRONG)) + ") v(i, said)")
+def x25(spark, d):
+    from lumenframe.functions.config import Config, Detection
+
+    try:
+        Config(detection=Detection(threshold=1.5, topk_fraction=0.0, score_method="none")).validate()
+        said = []
+    except ValueError as e:
+        said = str(e).split("; ")
+    return spark.createDataFrame(list(enumerate(said)), "i int, said string")

@@ -330,10 +330,12 @@ def g08(spark, d):
     return rounded(T.reassemble(T.tile_arrays(px, 3), DENSE, DENSE, 3))
 
 
-@query("s09_side_scan", f"WITH {SPARSE_SQL}, {STACK_SQL} SELECT image_id, r, c, CASE WHEN stk.image_id IS NULL THEN 0 ELSE 1 END AS real FROM pxs LEFT JOIN stk USING (image_id, r, c)")
+@query("s09_side_scan", f"WITH {SPARSE_SQL}, {STACK_SQL}, {CATALOG_SQL}, sd AS (SELECT DISTINCT image_id, r, c FROM stk WHERE image_id % 10 > 0) SELECT i.image_id, CAST(a AS INT) AS tr, CAST(b AS INT) AS tc, 1024 AS n, coalesce(k.total, 0) AS total FROM {IMAGES} i, range(4) t(a), range(4) u(b) LEFT JOIN (SELECT image_id, r//32 AS tr, c//32 AS tc, count(*) AS total FROM sd GROUP BY 1,2,3) k ON k.image_id=i.image_id AND k.tr=a AND k.tc=b")
 def s09(spark, d):
-    side = stack_pixels(spark, d).withColumn("real", F.lit(1))
-    return sparse(spark, d).select("image_id", "r", "c").join(side, ["image_id", "r", "c"], "left").select("image_id", "r", "c", F.coalesce("real", F.lit(0)).alias("real"))
+    # Every tenth image has no side array; its tiles are zeros.
+    side = stack_pixels(spark, d).filter("image_id % 10 > 0").distinct().withColumn("real", F.lit(1.0))
+    tiles = T.side_tiles(T.enumerate_tiles(images(spark, d), SPARSE, SPARSE, TILE), side, TILE, "real")
+    return tiles.select("image_id", "tr", "tc", F.size("data").alias("n"), F.aggregate("data", F.lit(0.0), lambda a, b: a + b).cast("long").alias("total"))
 
 
 @query("j08_flat_tile_index", f"WITH {SPARSE_SQL} SELECT image_id*16 + (r//32)*4 + c//32 AS tile, count(*) AS n FROM pxs GROUP BY 1")

@@ -69,6 +69,11 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+def with_exposure(df: DataFrame) -> DataFrame:
+    """exposure, which falls back to visit where it is null and where there is no such column."""
+    return df.withColumn("exposure", F.coalesce("exposure", "visit") if "exposure" in df.columns else F.col("visit"))
+
+
 def registry(df: DataFrame, where: str) -> DataFrame:
     """Rows by a predicate, the first of each (visit, detector) in collection order."""
     first = Window.partitionBy("visit", "detector").orderBy("collection_rank", "ref_id")
