@@ -65,7 +65,9 @@ def g15(spark, d):
 def s01(spark, d):
     px = dense(spark, d)
     z = P.normalise(px, P.robust_stats(px))
-    return T.tile_arrays(z.withColumn("z", F.round("z", 6)), 4, "z")
+    # As in SQL, a value that rounds to zero keeps its sign.
+    signed = F.when(F.col("z") < 0, -F.round(-F.col("z"), 6)).when(F.col("z") == 0, F.col("z")).otherwise(F.round("z", 6))
+    return T.tile_arrays(z.withColumn("z", signed), 4, "z")
 
 
 @query("s10_full_scan", f"WITH {DENSE_SQL} SELECT image_id, CAST(sum(gt::INT) AS BIGINT) AS masks, CAST(sum(real) AS BIGINT) AS reals FROM px8 GROUP BY 1")
