@@ -116,6 +116,7 @@ def paint(px: DataFrame, low: float = 0.1, gap: int = 10, method: str = "max", f
     reached = lambda v: F.array_distinct(F.array(cell(F.col(v) - g), cell(F.col(v) + g)))
     spread = labelled.select("image_id", "label", F.col("r").alias("_r"), F.col("c").alias("_c"), F.explode(reached("r")).alias("_cr"), "c").withColumn("_cc", F.explode(reached("c"))).drop("c")
     at = px.select("image_id", "r", "c", cell(F.col("r")).alias("_cr"), cell(F.col("c")).alias("_cc")).distinct()
-    near = at.join(spread, ["image_id", "_cr", "_cc"]).filter((F.abs(F.col("r") - F.col("_r")) <= g) & (F.abs(F.col("c") - F.col("_c")) <= g))
+    near = at.join(spread.hint("merge"), ["image_id", "_cr", "_cc"])
+    near = near.filter((F.abs(F.col("r") - F.col("_r")) <= g) & (F.abs(F.col("c") - F.col("_c")) <= g))
     painted = near.groupBy("image_id", "r", "c").agg(F.min("label").alias("label")).join(score, ["image_id", "label"])
     return px.join(painted.select("image_id", "r", "c", "_score"), ["image_id", "r", "c"], "left").withColumn("p", F.coalesce("_score", "p")).drop("_score")

@@ -45,11 +45,19 @@ def in_cells(objects: DataFrame, width: float, columns: list[str]) -> DataFrame:
     return rows.withColumn("cc", F.explode(cells(F.col("x"))))
 
 
+def of_objects(px: DataFrame, objects: DataFrame) -> DataFrame:
+    """The rows of px in images that have objects."""
+    return px.join(objects.select("image_id").distinct(), "image_id", "left_semi")
+
+
 def overlaps(objects: DataFrame, px: DataFrame, width: float) -> DataFrame:
-    """row_pos and the columns of px for every pixel under an object; joined by image and grid cell."""
+    """row_pos and the columns of px for every pixel under an object; joined by image and grid cell.
+
+    The planner takes exploded rows for as many as there are objects, so without the hint it would broadcast them.
+    """
     cut = in_cells(objects, width, ["image_id", "row_pos", "x", "y", "beta", "trail_length"])
-    at = px.withColumn("cr", F.floor(F.col("r") / CELL).cast("int")).withColumn("cc", F.floor(F.col("c") / CELL).cast("int"))
-    return at.join(cut, ["image_id", "cr", "cc"]).filter(covers(width)).select("row_pos", *px.columns)
+    at = of_objects(px, objects).withColumn("cr", F.floor(F.col("r") / CELL).cast("int")).withColumn("cc", F.floor(F.col("c") / CELL).cast("int"))
+    return at.join(cut.hint("merge"), ["image_id", "cr", "cc"]).filter(covers(width)).select("row_pos", *px.columns)
 
 
 def trail_pixels(objects: DataFrame, width: float, h: int, w: int) -> DataFrame:
@@ -95,6 +103,7 @@ def confusion(objects: DataFrame, labelled: DataFrame, width: float, stack_px: D
     is the components that are neither taken nor touch the mask; per_threshold takes the sweep's rule
     instead: components less true positives less untaken components on the mask, at least 0.
     """
+    stack_px = None if stack_px is None else of_objects(stack_px, objects)
     links = edges(objects, labelled, width)
     matched = match(objects, links)
     hits = matched.groupBy("image_id").agg(count_if(F.col("tp")).alias("tp"), count_if(~F.col("tp")).alias("fn"))
@@ -184,8 +193,8 @@ def any_overlap(objects: DataFrame, px: DataFrame, gap: int, h: int, w: int, wid
     clip = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.col(v).cast("int"))).alias(v)
     placed = objects.select("image_id", "row_pos", clip("x", w), clip("y", h), "beta", "trail_length")
     probes = line_mask(placed.filter(known), h, w, width).unionByName(disk_mask(placed.filter(~known), h, w, max(1, gap)))
-    hit = probes.join(grown, ["image_id", "r", "c"], "left_semi").select("row_pos").distinct().withColumn("_hit", F.lit(True))
-    return objects.select("row_pos").join(hit, "row_pos", "left").select("row_pos", F.coalesce("_hit", F.lit(False)).alias("nn_detected"))
+    hit = probes.join(grown.hint("merge"), ["image_id", "r", "c"], "left_semi").select("row_pos").distinct().withColumn("_hit", F.lit(True))
+    return objects.select("row_pos").join(hit.hint("merge"), "row_pos", "left").select("row_pos", F.coalesce("_hit", F.lit(False)).alias("nn_detected"))
 
 
 def stack_flag(columns: list[str]) -> Column:

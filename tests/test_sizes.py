@@ -1,10 +1,28 @@
-"""What only shows on other tables than the given ones: signs of zero."""
+"""What only shows on other tables than the given ones: joins of exploded rows, and signs of zero."""
 
 import math
+import os
 
 import duckdb
+import pytest
+
 from lumenframe import catalog
 
+DATA = "/root/testdata/sf0.001"
+
+EXPLODED = ["a02_object_confusion_mask", "a03_object_confusion_sweep_rule", "a04_object_sweep", "a18_combined_confusion", "a19_full_confusion", "j05_footprint_match", "j09_overlap_rejection", "j10_any_overlap", "j04_angular_antijoin", "a38_paint"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", EXPLODED)
+def test_exploded_rows_are_not_broadcast(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString().splitlines()
+    deep = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    for i, line in enumerate(plan):
+        if "BroadcastExchange HashedRelation" in line:
+            end = next((k for k in range(i + 1, len(plan)) if deep[k] <= deep[i]), len(plan))
+            assert not any("Generate explode(sequence" in below for below in plan[i:end])
+
 
 def test_values_that_round_to_zero_keep_their_sign_in_tiles(spark, tmp_path):
     flux = [0.5] * 64
