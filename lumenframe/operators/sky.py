@@ -1,4 +1,7 @@
-"""Joins on the sky and over source footprints."""
+"""Joins on the sky and over source footprints.
+
+Joins of exploded rows carry a hint: the planner sizes them as before the explosion, and would broadcast them.
+"""
 
 from __future__ import annotations
 
@@ -32,7 +35,7 @@ def unmatched(post: DataFrame, pre: DataFrame, radius_arcsec: float = 0.40) -> D
     right = right.withColumn("_c", F.explode(F.array_distinct(near)))
     left = post.withColumn("_lz", zone(F.col("dec"))).withColumn("_lc", cell(F.col("ra"), F.col("_lz")))
     on = (F.col("_lz") == F.col("_z")) & (F.col("_lc") == F.col("_c")) & (separation(F.col("ra"), F.col("dec"), F.col("_ra"), F.col("_dec")) <= size)
-    return left.join(right, on, "left_anti").drop("_lz", "_lc")
+    return left.join(right.hint("merge"), on, "left_anti").drop("_lz", "_lc")
 
 
 def containing(points: DataFrame, images: DataFrame) -> DataFrame:
@@ -79,10 +82,10 @@ def footprint_hits(objects: DataFrame, truth_px: DataFrame, sources: DataFrame,
     Enough is max(least, int(fraction * the object's pixels)).
     """
     area = truth_px.groupBy("row_pos").agg(F.count("*").alias("_n"))
-    shared = truth_px.join(footprint_pixels(sources), ["image_id", "r", "c"]).groupBy("row_pos", "src_pos").agg(F.count("*").alias("overlap"))
+    shared = truth_px.join(footprint_pixels(sources).hint("merge"), ["image_id", "r", "c"]).groupBy("row_pos", "src_pos").agg(F.count("*").alias("overlap"))
     need = F.greatest(F.lit(least), F.floor(F.col("_n") * fraction))
-    first = shared.join(area, "row_pos").filter(F.col("overlap") >= need).groupBy("row_pos").agg(F.min_by(F.struct("src_pos", "overlap"), "src_pos").alias("s"))
-    return objects.join(first, "row_pos", "left").select("row_pos", F.col("s").isNotNull().alias("stack_detection"), "s.src_pos", "s.overlap")
+    first = shared.join(area.hint("merge"), "row_pos").filter(F.col("overlap") >= need).groupBy("row_pos").agg(F.min_by(F.struct("src_pos", "overlap"), "src_pos").alias("s"))
+    return objects.join(first.hint("merge"), "row_pos", "left").select("row_pos", F.col("s").isNotNull().alias("stack_detection"), "s.src_pos", "s.overlap")
 
 
 def forbidden(mask_px: DataFrame, planes: list[int], labels: DataFrame) -> DataFrame:
@@ -96,8 +99,8 @@ def forbidden(mask_px: DataFrame, planes: list[int], labels: DataFrame) -> DataF
 
 def placeable(candidates_px: DataFrame, blocked: DataFrame) -> DataFrame:
     """image_id, slot and the first try none of whose pixels is blocked; tries are independent draws."""
-    bad = candidates_px.join(blocked, ["image_id", "r", "c"], "left_semi").select("image_id", "slot", "try").distinct()
-    good = candidates_px.select("image_id", "slot", "try").distinct().join(bad, ["image_id", "slot", "try"], "left_anti")
+    bad = candidates_px.join(blocked.hint("merge"), ["image_id", "r", "c"], "left_semi").select("image_id", "slot", "try").distinct()
+    good = candidates_px.select("image_id", "slot", "try").distinct().join(bad.hint("merge"), ["image_id", "slot", "try"], "left_anti")
     return good.groupBy("image_id", "slot").agg(F.min("try").alias("try"))
 
 
@@ -109,10 +112,10 @@ def simulate(tries_px: DataFrame, blocked: DataFrame, px: DataFrame, flux: Colum
     and detected: found is at least max(least, int(fraction * pixels)).
     """
     placed = placeable(tries_px.withColumn("try", F.col("row_pos")), blocked).select(F.col("try").alias("row_pos"))
-    truth = tries_px.join(placed, "row_pos", "left_semi")
+    truth = tries_px.join(placed.hint("merge"), "row_pos", "left_semi")
     size = truth.groupBy("row_pos").agg(F.count("*").alias("pixels"))
-    injected = truth.join(size, "row_pos").select("image_id", "r", "c", (flux / F.col("pixels")).alias("flux"))
+    injected = truth.join(size.hint("merge"), "row_pos").select("image_id", "r", "c", (flux / F.col("pixels")).alias("flux"))
     image = px.select("image_id", "r", "c", "flux").unionByName(injected).groupBy("image_id", "r", "c").agg(F.sum("flux").alias("flux"))
     hit = image.filter(F.col("flux") >= level).select("image_id", "r", "c", F.lit(1).alias("_hit"))
-    found = truth.join(hit, ["image_id", "r", "c"], "left").groupBy("image_id", "slot", "row_pos").agg(F.count("*").alias("pixels"), F.count("_hit").alias("found"))
+    found = truth.join(hit.hint("merge"), ["image_id", "r", "c"], "left").groupBy("image_id", "slot", "row_pos").agg(F.count("*").alias("pixels"), F.count("_hit").alias("found"))
     return found.withColumn("detected", F.col("found") >= F.greatest(F.lit(least), F.floor(F.col("pixels") * fraction)))
