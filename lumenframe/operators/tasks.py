@@ -18,7 +18,9 @@ def guarded(df: DataFrame, key: str, work: Callable[[dict], float | None], secon
     """key, value, error: a row for each row of df; an error or `timeout` takes the place of an exception.
 
     The work is Python by nature, one call a row; the alarm interrupts it after the given seconds.
+    Rows are dealt by key to several tasks for each core, as a small table that is read by one task may hold hours of work.
     """
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ring(*_: object) -> None:
@@ -46,7 +48,7 @@ def guarded(df: DataFrame, key: str, work: Callable[[dict], float | None], secon
         finally:
             signal.signal(signal.SIGALRM, before)
 
-    return df.mapInArrow(run, f"{key} long, value double, error string")
+    return df.repartition(tasks, F.xxhash64(key)).mapInArrow(run, f"{key} long, value double, error string")
 
 
 def source_guard(sources: DataFrame, limit: int, reprocess: Column | None = None) -> DataFrame:

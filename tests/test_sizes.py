@@ -36,3 +36,17 @@ def test_values_that_round_to_zero_keep_their_sign_in_tiles(spark, tmp_path):
     got = {(r["image_id"], r["tr"], r["tc"]): r["data"] for r in catalog.QUERIES["s01_tile_scan"](spark, str(tmp_path)).collect()}
     assert {k: list(map(repr, v)) for k, v in got.items()} == {k: list(map(repr, v)) for k, v in want.items()}
     assert any(x == 0 and math.copysign(1, x) < 0 for v in want.values() for x in v)
+
+
+def test_guarded_rows_of_one_partition_go_to_several_tasks(spark):
+    from lumenframe.operators.tasks import guarded
+
+    def where(row):
+        from pyspark import TaskContext
+
+        return float(TaskContext.get().partitionId())
+
+    rows = spark.range(400).coalesce(1).withColumnRenamed("id", "k")
+    got = guarded(rows, "k", where, 5.0).collect()
+    assert sorted(r["k"] for r in got) == list(range(400))
+    assert len({r["value"] for r in got}) > 4
