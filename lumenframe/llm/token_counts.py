@@ -33,6 +33,19 @@ from lumenframe.llm.batches import chunked
 from lumenframe.llm.bpe import CACHE_WORDS, ODD_SPACE, WORD_END, Recent, Vocabulary, _lists, _with_columns, merge, normalise, pieces_of, vocabulary
 
 
+def sizes(tokens: dict[str, int]) -> dict[str, tuple[int, ...]]:
+    """By the last three symbols: the lengths that tokens that end so can have, longest first."""
+    found: dict[str, set[int]] = {}
+    for s in tokens:
+        if len(s) > 2:
+            found.setdefault(s[-3:], {1, 2}).add(len(s))
+    return {end: tuple(sorted(n, reverse=True)) for end, n in found.items()}
+
+
+#: The lengths where no longer token ends so.
+SHORT = (2, 1)
+
+
 class PrefixCounter:
     """Counts of prefixes, over symbols: one symbol is one byte of the text."""
 
@@ -51,12 +64,14 @@ class PrefixCounter:
                     self.final[string[: -len(WORD_END)]] = i
                 else:
                     self.inner[string] = i
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        self.inner_sizes, self.final_sizes = sizes(self.inner), sizes(self.final)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the symbols of two tokens, encoded together, give the two tokens; left -1: right alone."""
         key = (left + 1) * self.vocab.size + right
-        known = self.stable.get(key)
+        known = self.stable.young.get(key)
+        if known is None:
+            known = self.stable.get(key)
         if known is None:
             want = [right] if left < 0 else [left, right]
             known = merge([s for t in want for s in self.parts[t]], self.vocab) == want
@@ -66,20 +81,20 @@ class PrefixCounter:
     def last_tokens(self, symbols: str) -> tuple[list[int], list[int]]:
         """For each prefix of a piece: its last token and its count, as the inner part of a longer piece."""
         last, count = [-1], [0]
-        find, fits = self.inner.get, self.fits
+        find, fits, lengths = self.inner.get, self.fits, self.inner_sizes.get
         for j in range(1, len(symbols) + 1):
-            for i in range(max(0, j - self.longest), j):
-                token = find(symbols[i:j])
-                if token is not None and fits(last[i], token):
+            for n in lengths(symbols[j - 3 : j], SHORT) if j > 2 else SHORT:
+                i = j - n
+                if i >= 0 and (token := find(symbols[i:j])) is not None and fits(last[i], token):
                     last.append(token)
                     count.append(count[i] + 1)
                     break
         return last, count
 
     def ending(self, symbols: str, j: int, last: list[int], count: list[int]) -> int:
-        for i in range(max(0, j - self.longest), j):
-            token = self.final.get(symbols[i:j])
-            if token is not None and self.fits(last[i], token):
+        for n in self.final_sizes.get(symbols[j - 3 : j], SHORT) if j > 2 else SHORT:
+            i = j - n
+            if i >= 0 and (token := self.final.get(symbols[i:j])) is not None and self.fits(last[i], token):
                 return count[i] + 1
         raise ValueError("the vocabulary lacks a byte")
 
@@ -123,10 +138,11 @@ class PrefixCounter:
                 counts.append(1)
                 continue
             part = normalise(part)
-            young = self.words.young
-            for word in [part] if ODD_SPACE.search(part) else part.split():
-                known = young.get(word)
-                counts.append(known if known is not None else self.word(word))
+            words = [part] if ODD_SPACE.search(part) else part.split()
+            known = list(map(self.words.young.get, words))
+            if None in known:
+                known = [self.word(w) if n is None else n for w, n in zip(words, known, strict=True)]
+            counts += known
         return array("i", accumulate(counts))
 
     def total(self, text: str | None) -> int:
