@@ -6,6 +6,10 @@ Samples are rounded half to even.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,29 +74,85 @@ def stamps(objects: DataFrame, px: DataFrame, side: int, h: int, w: int, value:
     return got.select("row_pos", F.col("_a").alias("r"), F.col("_b").alias("c"), F.when(inside, F.coalesce("_v", F.lit(0.0))).alias(value))
 
 
+#: Shares of moved images that are held at once.
+TEMPLATE_PARTS = 1 << 20
+
+
+def _templates(u: np.ndarray, v: np.ndarray, value: np.ndarray, side: int, step: float) -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A function of lengths, angles in degrees and the stamp that each object adds to; it gives the stamps' pixels: places stamp * side^2 + r * side + c, sorted, and values of sum 1 by stamp."""
+    weight = np.maximum(value, 0.0)
+    cu, cv, total = (u * weight).sum() / weight.sum(), (v * weight).sum() / weight.sum(), value.sum()
+    # What a pixel of the moved image holds: its own pixel and those before it, by (i, j), where the image has them.
+    u0, v0 = min(u.min(), 0), min(v.min(), 0)
+    shape = (int(v.max() - v0) + 1, int(u.max() - u0) + 1)
+    taps, there = np.zeros((2, 2, *shape)), np.zeros(shape, dtype=bool)
+    for i in (0, 1):
+        for j in (0, 1):
+            ok = (u + i <= u.max()) & (v + j <= v.max())
+            at = (v[ok] + j - v0).astype(np.int64), (u[ok] + i - u0).astype(np.int64)
+            np.add.at(taps[i, j], at, value[ok] / total)
+            there[at] = True
+    dv, du = (x.astype(np.int64) for x in np.nonzero(there))
+    taps, dv, du = taps[:, :, there], dv + int(v0), du + int(u0)
+    centre, reach = (side - 1) / 2, 1.5 * (side + max(np.abs(dv).max(), np.abs(du).max()) + max(abs(cu), abs(cv)) + 2)
+
+    def run(length: np.ndarray, beta: np.ndarray, stamp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.maximum(np.ceil(length / step) + 1, 21)
+        # Of the n points only those count whose image can meet the stamp.
+        far = np.divide(reach, np.abs(length), out=np.full(len(length), np.inf), where=length != 0)
+        low = np.maximum(0, np.ceil((0.5 - far) * (n - 1))).astype(np.int64)
+        high = np.minimum(n - 1, np.floor((0.5 + far) * (n - 1))).astype(np.int64)
+        many = np.maximum(0, high - low + 1)
+        of = np.repeat(np.arange(len(length)), many)
+        i = low[of] + np.arange(len(of)) - (np.cumsum(many) - many)[of]
+        along, angle = (i / (n[of] - 1) - 0.5) * length[of], np.radians(beta)
+        tx, ty = centre + along * np.cos(angle)[of] - cu, centre + along * np.sin(angle)[of] - cv
+        x0, y0 = np.floor(np.round(tx, 9)), np.floor(np.round(ty, 9))
+        fx, fy = (tx - x0)[:, None], (ty - y0)[:, None]
+        parts = (1 - fx) * ((1 - fy) * taps[0, 0] + fy * taps[0, 1]) + fx * ((1 - fy) * taps[1, 0] + fy * taps[1, 1])
+        r, c = y0.astype(np.int64)[:, None] + dv, x0.astype(np.int64)[:, None] + du
+        inside = (r >= 0) & (r < side) & (c >= 0) & (c < side)
+        place = (stamp[of][:, None] * (side * side) + r * side + c)[inside]
+        size = (int(stamp.max(initial=-1)) + 1) * side * side
+        held = np.zeros(size, dtype=bool)
+        held[place] = True
+        place, image = np.flatnonzero(held), np.bincount(place, parts[inside], size)
+        x = np.maximum(image[place], 0.0)
+        every = np.bincount(place // (side * side), x, int(stamp.max(initial=-1)) + 1)[place // (side * side)]
+        place, x, every = place[every > 0], x[every > 0], every[every > 0]
+        return place, x / every, place // (side * side)
+
+    return run
+
+
 def trail_template(objects: DataFrame, psf: DataFrame, side: int, step: float) -> DataFrame:
     """row_pos, r, c, value: the point-spread image moved along each object's centred segment, of sum 1.
 
     psf is a small image (u, v, value) of n x m pixels, its centroid is put on max(ceil(L / step) + 1, 21) evenly spaced points;
-    parts of a pixel are shared bilinearly within the moved image's own frame, and what leaves the stamp is lost.
+    parts of a pixel are shared bilinearly within the moved image's own frame, and what leaves the stamp is lost.  Objects of the
+    same row_pos add up to one stamp; without a row_pos, a length or an angle, or with an infinite one, there is none.
+
+    A stamp is made whole in one place, so its parts, of which there are thousands, are never rows.
     """
-    w = F.greatest(F.col("value"), F.lit(0.0))
-    frame = psf.agg(F.max("u").alias("_mu"), F.max("v").alias("_mv"), (F.sum(F.col("u") * w) / F.sum(w)).alias("_cu"), (F.sum(F.col("v") * w) / F.sum(w)).alias("_cv"), F.sum("value").alias("_sum"))
-    small = psf.join(F.broadcast(frame))  # one point-spread image
-    n = F.greatest(F.ceil(F.col("trail_length") / step) + 1, F.lit(21))
-    s = _samples(objects.select("row_pos", "trail_length", "beta"), n)
-    along, a = (F.col("_i") / (F.col("_n") - 1) - 0.5) * F.col("trail_length"), F.radians("beta")
-    centre = (side - 1) / 2
-    moved = s.select("row_pos", (centre + along * F.cos(a)).alias("_tx"), (centre + along * F.sin(a)).alias("_ty")).join(F.broadcast(small))
-    floor = lambda t, c: F.floor(F.round(F.col(t) - F.col(c), 9))
-    moved = moved.withColumn("_x0", floor("_tx", "_cu")).withColumn("_y0", floor("_ty", "_cv"))
-    fx, fy = F.col("_tx") - F.col("_cu") - F.col("_x0"), F.col("_ty") - F.col("_cv") - F.col("_y0")
-    taps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("k")) for i in (0, 1) for j in (0, 1)])
-    parts = moved.withColumn("_t", F.explode(taps)).filter((F.col("u") + F.col("_t.i") <= F.col("_mu")) & (F.col("v") + F.col("_t.j") <= F.col("_mv")))
-    at = parts.select("row_pos", (F.col("_y0") + F.col("v") + F.col("_t.j")).cast("int").alias("r"), (F.col("_x0") + F.col("u") + F.col("_t.i")).cast("int").alias("c"), (F.col("value") / F.col("_sum") * F.col("_t.k")).alias("x"))
-    image = at.filter(F.col("r").between(0, side - 1) & F.col("c").between(0, side - 1)).groupBy("row_pos", "r", "c").agg(F.greatest(F.sum("x"), F.lit(0.0)).alias("x"))
-    total = image.groupBy("row_pos").agg(F.sum("x").alias("_all")).filter("_all > 0")
-    return image.join(total, "row_pos").select("row_pos", "r", "c", (F.col("x") / F.col("_all")).alias("value"))
+    small = psf.select(F.col("u").cast("double"), F.col("v").cast("double"), F.col("value").cast("double")).collect()  # one point-spread image
+    u, v, value = (np.array([p[k] for p in small], dtype=float) for k in range(3))
+    make, each = _templates(u, v, value, side, step), max(1, TEMPLATE_PARTS // (21 * max(1, len(small))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, each):
+                some = batch.slice(start, each)
+                m = some.column("m")
+                stamp = np.repeat(np.arange(len(m)), np.diff(m.offsets.to_numpy()))
+                flat = m.flatten()
+                place, x, of = make(flat.field("trail_length").to_numpy(), flat.field("beta").to_numpy(), stamp)
+                at = place - of * (side * side)
+                yield pa.RecordBatch.from_arrays([some.column("row_pos").take(pa.array(of)), pa.array((at // side).astype(np.int32)), pa.array((at % side).astype(np.int32)), pa.array(x)], names=["row_pos", "r", "c", "value"])
+
+    known = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf"))
+    few = objects.select("row_pos", F.col("trail_length").cast("double").alias("trail_length"), F.col("beta").cast("double").alias("beta")).filter(F.col("row_pos").isNotNull() & known("trail_length") & known("beta"))
+    kind = dict(objects.dtypes)["row_pos"]
+    return few.groupBy("row_pos").agg(F.collect_list(F.struct("trail_length", "beta")).alias("m")).mapInArrow(run, f"row_pos {kind}, r int, c int, value double")
 
 
 def resize_bilinear(px: DataFrame, h: int, w: int, h2: int, w2: int, value: str = "p") -> DataFrame:

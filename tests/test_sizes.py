@@ -50,3 +50,20 @@ def test_guarded_rows_of_one_partition_go_to_several_tasks(spark):
     got = guarded(rows, "k", where, 5.0).collect()
     assert sorted(r["k"] for r in got) == list(range(400))
     assert len({r["value"] for r in got}) > 4
+
+
+def test_parts_of_a_template_are_never_rows(spark):
+    from lumenframe.operators.raster import trail_template
+
+    objects = spark.createDataFrame([(1, 8.0, 0.0), (2, 0.0, 0.0), (3, 1e12, 30.0), (4, None, 0.0), (None, 8.0, 0.0), (5, 8.0, float("nan")), (1, 8.0, 90.0)], "row_pos long, trail_length double, beta double")
+    psf = spark.createDataFrame([(u, v, 1.0 if u == v == 1 else 0.0) for u in range(3) for v in range(3)], "u int, v int, value double")
+    out = trail_template(objects, psf, 9, 4.0)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["row_pos"], r["r"], r["c"]): r["value"] for r in out.collect()}
+    assert {k[0] for k in got} == {1, 2, 3}
+    assert got[2, 4, 4] == 1.0
+    for k in (1, 2, 3):
+        assert abs(sum(x for at, x in got.items() if at[0] == k) - 1) < 1e-9
+    # Two objects of one row_pos, a bar and a post, meet in the middle of one stamp.
+    assert got[1, 4, 4] == max(x for at, x in got.items() if at[0] == 1)
+    assert abs(got[1, 4, 2] - got[1, 2, 4]) < 1e-9 and got[1, 4, 2] > 0
