@@ -21,12 +21,13 @@ from lumenframe.operators.raster import disk_mask, line_mask
 CELL = 32
 
 
-def covers(width: float) -> Column:
-    """Whether pixel (r, c) is under the object."""
+def covers(width: float, cos: Column | None = None, sin: Column | None = None) -> Column:
+    """Whether pixel (r, c) is under the object; cos and sin are those of beta, where they are known."""
     a = F.radians("beta")
+    cos, sin = F.cos(a) if cos is None else cos, F.sin(a) if sin is None else sin
     dx, dy, half = F.col("c") - F.col("x"), F.col("r") - F.col("y"), F.col("trail_length") / 2
-    t = F.greatest(-half, F.least(half, dx * F.cos(a) + dy * F.sin(a)))
-    return (dx - t * F.cos(a)) ** 2 + (dy - t * F.sin(a)) ** 2 <= (width / 2) ** 2 + 1e-9
+    t = F.greatest(-half, F.least(half, dx * cos + dy * sin))
+    return (dx - t * cos) ** 2 + (dy - t * sin) ** 2 <= (width / 2) ** 2 + 1e-9
 
 
 def roi(h: int, w: int, psf_width: float) -> list[Column]:
@@ -55,9 +56,11 @@ def overlaps(objects: DataFrame, px: DataFrame, width: float) -> DataFrame:
 
     The planner takes exploded rows for as many as there are objects, so without the hint it would broadcast them.
     """
-    cut = in_cells(objects, width, ["image_id", "row_pos", "x", "y", "beta", "trail_length"])
+    a = F.radians("beta")
+    turned = objects.select("image_id", "row_pos", "x", "y", "trail_length", F.cos(a).alias("_cos"), F.sin(a).alias("_sin"))
+    cut = in_cells(turned, width, turned.columns)
     at = of_objects(px, objects).withColumn("cr", F.floor(F.col("r") / CELL).cast("int")).withColumn("cc", F.floor(F.col("c") / CELL).cast("int"))
-    return at.join(cut.hint("merge"), ["image_id", "cr", "cc"]).filter(covers(width)).select("row_pos", *px.columns)
+    return at.join(cut.hint("merge"), ["image_id", "cr", "cc"]).filter(covers(width, F.col("_cos"), F.col("_sin"))).select("row_pos", *px.columns)
 
 
 def trail_pixels(objects: DataFrame, width: float, h: int, w: int) -> DataFrame:
@@ -88,12 +91,12 @@ def consume(links: DataFrame) -> DataFrame:
 def match(objects: DataFrame, links: DataFrame) -> DataFrame:
     """The catalog with nn_detected (any component under it) and tp (at least one free component)."""
     got = consume(links).select("row_pos", "n_free")
-    return objects.drop("nn_detected", "tp").join(got, "row_pos", "left").withColumn("nn_detected", F.col("n_free").isNotNull()).withColumn("tp", F.coalesce(F.col("n_free") > 0, F.lit(False))).drop("n_free")
+    return objects.drop("nn_detected", "tp").join(got.hint("merge"), "row_pos", "left").withColumn("nn_detected", F.col("n_free").isNotNull()).withColumn("tp", F.coalesce(F.col("n_free") > 0, F.lit(False))).drop("n_free")
 
 
 def ignored(labelled: DataFrame, stack_px: DataFrame) -> DataFrame:
     """image_id, label of components that touch the baseline detector's mask."""
-    return labelled.join(stack_px.select("image_id", "r", "c").distinct(), ["image_id", "r", "c"], "left_semi").select("image_id", "label").distinct()
+    return labelled.join(stack_px.select("image_id", "r", "c").distinct().hint("merge"), ["image_id", "r", "c"], "left_semi").select("image_id", "label").distinct()
 
 
 def confusion(objects: DataFrame, labelled: DataFrame, width: float, stack_px: DataFrame | None = None, per_threshold: bool = False) -> DataFrame:
@@ -103,17 +106,30 @@ def confusion(objects: DataFrame, labelled: DataFrame, width: float, stack_px: D
     is the components that are neither taken nor touch the mask; per_threshold takes the sweep's rule
     instead: components less true positives less untaken components on the mask, at least 0.
     """
-    stack_px = None if stack_px is None else of_objects(stack_px, objects)
-    links = edges(objects, labelled, width)
-    matched = match(objects, links)
+    return _confusion(objects, labelled, _over(objects, labelled, width), stack_px, per_threshold)
+
+
+def _over(objects: DataFrame, labelled: DataFrame, width: float) -> DataFrame:
+    return overlaps(objects, labelled.select("image_id", "r", "c", "label"), width)
+
+
+def _confusion(objects: DataFrame, labelled: DataFrame, over: DataFrame, stack_px: DataFrame | None, per_threshold: bool = False) -> DataFrame:
+    """A component goes to the first object over it, which is an aggregate of components alone: links are not listed.
+
+    What is joined grows with pixels, components or objects, so no side of it goes to the driver.
+    """
+    own = over.groupBy("image_id", "label").agg(F.min("row_pos").alias("owner"))
+    owners = own.select(F.col("owner").alias("row_pos")).distinct().withColumn("tp", F.lit(True))
+    matched = objects.select("image_id", "row_pos").join(owners.hint("merge"), "row_pos", "left").withColumn("tp", F.col("tp").isNotNull())
     hits = matched.groupBy("image_id").agg(count_if(F.col("tp")).alias("tp"), count_if(~F.col("tp")).alias("fn"))
-    parts = labelled.select("image_id", "label").distinct().withColumn("n", F.lit(1))
-    parts = parts.join(links.select("image_id", "label").distinct().withColumn("taken", F.lit(1)), ["image_id", "label"], "left")
-    if stack_px is not None:
-        parts = parts.join(ignored(labelled, stack_px).withColumn("mask", F.lit(1)), ["image_id", "label"], "left")
+    if stack_px is None:
+        parts = labelled.select("image_id", "label").distinct().withColumn("mask", F.lit(None).cast("boolean"))
     else:
-        parts = parts.withColumn("mask", F.lit(None).cast("int"))
-    free = F.col("taken").isNull()
+        mask = of_objects(stack_px, objects).select("image_id", "r", "c").distinct().withColumn("mask", F.lit(True))
+        marked = labelled.select("image_id", "r", "c", "label").join(mask.hint("merge"), ["image_id", "r", "c"], "left")
+        parts = marked.groupBy("image_id", "label").agg(F.max("mask").alias("mask"))
+    parts = parts.join(own.hint("merge"), ["image_id", "label"], "left")
+    free = F.col("owner").isNull()
     n = parts.groupBy("image_id").agg(F.count("*").alias("n"), count_if(free & F.col("mask").isNotNull()).alias("skipped"), count_if(free & F.col("mask").isNull()).alias("open"))
     both = hits.join(n, "image_id", "left").na.fill(0, ["n", "skipped", "open"])
     fp = F.col("open") if stack_px is not None and not per_threshold else F.greatest(F.col("n") - F.col("tp") - F.col("skipped"), F.lit(0))

@@ -67,3 +67,21 @@ def test_parts_of_a_template_are_never_rows(spark):
     # Two objects of one row_pos, a bar and a post, meet in the middle of one stamp.
     assert got[1, 4, 4] == max(x for at, x in got.items() if at[0] == 1)
     assert abs(got[1, 4, 2] - got[1, 2, 4]) < 1e-9 and got[1, 4, 2] > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["a03_object_confusion_sweep_rule"])
+def test_what_grows_with_objects_or_pixels_is_not_broadcast(spark, name):
+    out = catalog.QUERIES[name](spark, DATA)
+    out.collect()  # sizes are known then
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    keys = [line.split("[")[1].split("]")[0] for line in plan.splitlines() if "BroadcastHashJoin [" in line]
+    assert keys and not [k for k in keys if any(x in k for x in ("row_pos", "p_partkey", "label", "r#"))]
+
+
+def test_objects_of_one_number_are_counted_once_each(spark):
+    from lumenframe.operators import objects as O
+
+    cat = spark.createDataFrame([(i, 1, 5.0, 5.0, 0.0, 4.0, False) for i in (1, 2)], "image_id long, row_pos long, x double, y double, beta double, trail_length double, stack_detection boolean")
+    px = spark.createDataFrame([(i, 5, 5, 1) for i in (1, 2)], "image_id long, r int, c int, label int")
+    assert O.confusion(cat, px, 3.0).collect() == [(2, 0, 0)]
