@@ -235,9 +235,10 @@ def combined(objects: DataFrame, labelled: DataFrame, width: float, stack_px: Da
 
     The mask's pixels stand for the baseline detector's false positives: each of its components is one.
     """
-    own = confusion(objects, labelled, width, stack_px).select("obj_fp")
-    links = edges(objects, labelled, width)
-    either = F.col("nn_detected") | stack_flag(objects.columns)
-    both = match(objects, links).agg(count_if(either).alias("tp"), count_if(~either).alias("fn"))
+    over = _over(objects, labelled, width)
+    own = _confusion(objects, labelled, over, stack_px).select("obj_fp")
+    seen = over.select("row_pos").distinct().withColumn("_seen", F.lit(True))
+    either = F.col("_seen").isNotNull() | stack_flag(objects.columns)
+    both = objects.join(seen.hint("merge"), "row_pos", "left").agg(count_if(either).alias("tp"), count_if(~either).alias("fn"))
     mask = label_components(stack_px.select("image_id", "r", "c").distinct(), 1).groupBy("image_id").agg(F.max("label").alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("stack_fp"))
     return both.join(own).join(mask).select("tp", "fn", (F.col("obj_fp") + F.col("stack_fp")).alias("fp"))

@@ -70,7 +70,7 @@ def test_parts_of_a_template_are_never_rows(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["a03_object_confusion_sweep_rule"])
+@pytest.mark.parametrize("name", ["a03_object_confusion_sweep_rule", "a18_combined_confusion"])
 def test_what_grows_with_objects_or_pixels_is_not_broadcast(spark, name):
     out = catalog.QUERIES[name](spark, DATA)
     out.collect()  # sizes are known then
@@ -85,3 +85,5 @@ def test_objects_of_one_number_are_counted_once_each(spark):
     cat = spark.createDataFrame([(i, 1, 5.0, 5.0, 0.0, 4.0, False) for i in (1, 2)], "image_id long, row_pos long, x double, y double, beta double, trail_length double, stack_detection boolean")
     px = spark.createDataFrame([(i, 5, 5, 1) for i in (1, 2)], "image_id long, r int, c int, label int")
     assert O.confusion(cat, px, 3.0).collect() == [(2, 0, 0)]
+    none = spark.createDataFrame([], "image_id long, r int, c int")
+    assert O.combined(cat, px, 3.0, none).collect() == [(2, 0, 0)]
