@@ -185,7 +185,8 @@ def sweep(objects: DataFrame, px: DataFrame, width: float, gap: int, thresholds:
     if stack_px is None:
         kept = kept.withColumn("mask", F.lit(False))
     else:
-        kept = kept.join(stack_px.select("image_id", "r", "c", F.lit(True).alias("mask")).distinct(), ["image_id", "r", "c"], "left").na.fill(False, ["mask"])
+        mask = of_objects(stack_px, objects).select("image_id", "r", "c", F.lit(True).alias("mask")).distinct()
+        kept = kept.join(mask.hint("merge"), ["image_id", "r", "c"], "left").na.fill(False, ["mask"])
     over = overlaps(objects, kept.select("image_id", "r", "c"), width).select(*[F.col(c).alias(c) for c in ("image_id", "r", "c")], F.col("row_pos").cast("long").alias("row_pos"))
     counts = kept.groupBy("image_id").cogroup(over.groupBy("image_id")).applyInArrow(_scan_image([float(t) for t in thresholds], reach_of(gap)), "image_id long, thr_idx int, n long, tp long, skipped long")
     every = images.withColumn("_s", F.explode(steps)).select("image_id", "n_obj", "_s.*")
