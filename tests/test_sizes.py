@@ -70,7 +70,7 @@ def test_parts_of_a_template_are_never_rows(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["a03_object_confusion_sweep_rule", "a04_object_sweep", "a18_combined_confusion"])
+@pytest.mark.parametrize("name", ["a03_object_confusion_sweep_rule", "a04_object_sweep", "a18_combined_confusion", "a19_full_confusion"])
 def test_what_grows_with_objects_or_pixels_is_not_broadcast(spark, name):
     out = catalog.QUERIES[name](spark, DATA)
     out.collect()  # sizes are known then
