@@ -51,16 +51,19 @@ def of_objects(px: DataFrame, objects: DataFrame) -> DataFrame:
     return px.join(objects.select("image_id").distinct(), "image_id", "left_semi")
 
 
-def overlaps(objects: DataFrame, px: DataFrame, width: float) -> DataFrame:
+def overlaps(objects: DataFrame, px: DataFrame, width: float, how: str = "inner") -> DataFrame:
     """row_pos and the columns of px for every pixel under an object; joined by image and grid cell.
 
+    With "left" other pixels of images that have objects are there too, without row_pos.
     The planner takes exploded rows for as many as there are objects, so without the hint it would broadcast them.
     """
     a = F.radians("beta")
     turned = objects.select("image_id", "row_pos", "x", "y", "trail_length", F.cos(a).alias("_cos"), F.sin(a).alias("_sin"))
     cut = in_cells(turned, width, turned.columns)
     at = of_objects(px, objects).withColumn("cr", F.floor(F.col("r") / CELL).cast("int")).withColumn("cc", F.floor(F.col("c") / CELL).cast("int"))
-    return at.join(cut.hint("merge"), ["image_id", "cr", "cc"]).filter(covers(width, F.col("_cos"), F.col("_sin"))).select("row_pos", *px.columns)
+    cut = cut.withColumnsRenamed({k: f"_{k}" for k in ("image_id", "cr", "cc")})
+    same = [F.col(k) == F.col(f"_{k}") for k in ("image_id", "cr", "cc")]
+    return at.join(cut.hint("merge"), [*same, covers(width, F.col("_cos"), F.col("_sin"))], how).select("row_pos", *px.columns)
 
 
 def trail_pixels(objects: DataFrame, width: float, h: int, w: int) -> DataFrame:
@@ -142,6 +145,21 @@ def full_confusion(objects: DataFrame, px: DataFrame, labelled: DataFrame, width
     return confusion(objects, labelled, width, stack_px).join(pix.select(*[F.col(c).alias(f"pix_{c}") for c in pix.columns]))
 
 
+def covered_confusion(objects: DataFrame, px: DataFrame, width: float, gap: int, threshold: float) -> DataFrame:
+    """full_confusion where truth is to lie under an object; px holds each pixel once, and its components are labelled here.
+
+    One join finds the first object over each pixel, which is both its truth and, at its least, the owner of its
+    component.  Truth lies in images with objects alone, so of all other pixels only hits and misses are counted.
+    """
+    over = overlaps(objects, px.select("image_id", "r", "c", "p"), width, "left")
+    owned = over.groupBy("image_id", "r", "c").agg(F.max("p").alias("p"), F.min("row_pos").alias("row_pos"))
+    hit, true = F.col("p") >= threshold, F.col("row_pos").isNotNull()
+    labelled = label_components(owned.filter(hit), gap)
+    objs = _confusion(objects, labelled, labelled.filter(true), None)
+    pix = px.agg(count_if(hit).alias("hits"), count_if(~hit).alias("misses")).join(owned.agg(count_if(hit & true).alias("pix_tp"), count_if(~hit & true).alias("pix_fn")))
+    return objs.join(pix.select("pix_tp", (F.col("hits") - F.col("pix_tp")).alias("pix_fp"), "pix_fn", (F.col("misses") - F.col("pix_fn")).alias("pix_tn")))
+
+
 def _scan_image(thresholds: list[float], reach: int):
     """Counts of one image at all thresholds: pixels are added from the highest down, so components only merge."""
     down = sorted(range(len(thresholds)), key=lambda i: -thresholds[i])

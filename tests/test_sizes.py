@@ -87,3 +87,32 @@ def test_objects_of_one_number_are_counted_once_each(spark):
     assert O.confusion(cat, px, 3.0).collect() == [(2, 0, 0)]
     none = spark.createDataFrame([], "image_id long, r int, c int")
     assert O.combined(cat, px, 3.0, none).collect() == [(2, 0, 0)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_objects_and_pixels_are_joined_once(spark):
+    out = catalog.QUERIES["a19_full_confusion"](spark, DATA)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    assert len([line for line in plan if "SortMergeJoin [" in line and " cr#" in line]) == 1
+    assert len([line for line in plan if "FileScan parquet [l_" in line]) == 2
+
+
+def test_confusion_of_covered_pixels_is_that_of_marked_ones(spark):
+    from pyspark.sql import functions as F
+
+    from lumenframe.operators import components as K
+    from lumenframe.operators import objects as O
+
+    cat = spark.createDataFrame([(1, 1, 5.0, 5.0, 0.0, 4.0), (1, 2, 6.0, 5.0, 90.0, 4.0), (1, 3, 90.0, 90.0, 0.0, 4.0), (2, 4, 5.0, 5.0, 0.0, 4.0)], "image_id long, row_pos long, x double, y double, beta double, trail_length double")
+    px = spark.createDataFrame(
+        [(1, 5, 5, 0.9), (1, 5, 6, 0.2), (1, 5, 7, None), (1, 40, 40, 0.8), (1, 41, 41, 0.1), (1, 89, 90, float("nan")), (2, 60, 60, 0.7), (3, 5, 5, 0.9), (3, 9, 9, 0.3), (None, 5, 5, 0.9)],
+        "image_id long, r int, c int, p double",
+    )
+    truth = O.overlaps(cat, px, 3.0).select("image_id", "r", "c", F.lit(True).alias("gt")).distinct()
+    marked = px.join(truth, ["image_id", "r", "c"], "left").na.fill(False, ["gt"])
+    labelled = K.label_components(O.of_objects(px.filter("p >= 0.5"), cat), 2)
+    want = O.full_confusion(cat, marked, labelled, 3.0, 0.5)
+    got = O.covered_confusion(cat, px, 3.0, 2, 0.5)
+    assert got.columns == want.columns
+    assert got.collect() == want.collect() == [(2, 2, 2, 2, 4, 1, 2)]
