@@ -45,6 +45,8 @@ BLOCK, BLOCK_GRAMS = 2_000, 1 << 21
 EDGE = 32
 #: Grams whose hash, as unsigned, is below this are counted in step 2.
 QUARTER = U64(1 << 62)
+#: Bits of the filter of the keys whose texts are read a second time (4 MB), a power of 2.
+FILTER_BITS = 1 << 25
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +97,53 @@ def shingled(docs: DataFrame, n: int, everything: bool) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, n long, sig_a long, sig_b long, grams array<long>")
 
 
+def _bits(keys: np.ndarray, size: int) -> np.ndarray:
+    """Three places in a filter of so many bits for each key, a row for each of the three."""
+    h = keys.astype(np.int64).view(U64)
+    return np.stack([mix(h + U64((k * 0x9E3779B97F4A7C15) % (1 << 64))) & U64(size - 1) for k in (1, 2, 3)]).astype(np.int64)
+
+
+def key_filter(keys: DataFrame, size: int) -> np.ndarray:
+    """A Bloom filter of a column of longs without nulls, as 64-bit words; it never misses one of the keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_bits(batch.column(0).to_numpy(), size))
+            words, start = np.unique(at >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(U64(1) << (at & 63).astype(U64), start) if len(at) else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(bits.view(np.int64), pa.int64())], names=["w", "bits"])
+
+    rows = keys.mapInArrow(run, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()  # size / 64 rows at most
+    out = np.zeros(max(1, size >> 6), dtype=U64)
+    out[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(U64)
+    return out
+
+
+def _passed(keys: pa.Array, words: np.ndarray, size: int) -> pa.Array:
+    at = _bits(keys.fill_null(0).to_numpy(zero_copy_only=False), size)
+    ok = ((words[at >> 6] >> (at & 63).astype(U64)) & U64(1)).all(axis=0)
+    return pa.array(ok & keys.is_valid().to_numpy(zero_copy_only=False))
+
+
+def whole_sets(docs: DataFrame, likely: DataFrame, n: int) -> DataFrame:
+    """likely (id, doc_id, n, sig_a, sig_b) with h and all grams, once for each set, from the texts of docs (doc_id, text).
+
+    Texts are not dealt by key for this: a filter of the keys, of fixed size however many there are, goes to
+    all tasks, and what it lets through is shingled where it is read.  The join that follows is exact.
+    """
+    size = FILTER_BITS
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(likely.select("doc_id"), size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(_passed(batch.column("doc_id"), shared.value, size))
+
+    same = ["doc_id", "n", "sig_a", "sig_b"]
+    some = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+    # A set has one id, so rows of one key and set are told by the columns that the join has dealt them by.
+    return shingled(some, n, True).join(likely, same).dropDuplicates(same)
+
+
 def need(x: int | np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """The overlap that sets of these sizes need to link."""
     return -(-(percent * (x + y)) // (100 + percent))
@@ -321,8 +370,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key
     alone = spread.groupBy("g").agg(F.max("s").alias("other"), F.min("s").alias("s")).filter("s = other").groupBy("s").agg(F.count("*").alias("alone"))
     open_ = equal.filter(fits).select("id", F.col("rep").alias("doc_id"), *same, F.xxhash64(*same).alias("s"))
     likely = cut(open_.join(alone, "s", "left").filter(F.coalesce("alone", F.lit(0)) <= miss).drop("alone", "s"))
-    full = shingled(plain.join(likely.select("doc_id").distinct(), "doc_id", "left_semi"), n, True).join(likely, ["doc_id", *same]).dropDuplicates(["id"])
-    links = link(full.select("id", "n", "grams"), percent)
+    links = link(whole_sets(plain, likely, n).select("id", "n", "grams"), percent)
     roots = components(links)
     least = roots.join(equal.select(F.col("id").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("component"))
     named = cut(equal.join(roots.select(F.col("node").alias("id"), "root").join(least, "root"), "id", "left").select(*same, F.coalesce("component", "rep").alias("component")), roots, links, likely, equal)

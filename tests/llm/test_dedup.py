@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_brute import brute_components
@@ -34,6 +35,43 @@ def test_join_equals_brute_force(spark, monkeypatch, seed, percent, block):
     assert got == brute_components(rows, 3, percent)
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 25])
+def test_join_deals_no_texts_and_needs_no_filter_to_be_right(spark, monkeypatch, bits):
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", bits)  # one of 64 is full
+    plans, whole = [], ngram_join.whole_sets
+
+    def kept(*given):
+        out = whole(*given)
+        plans.append((out._jdf.queryExecution().executedPlan().toString(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "whole_sets", kept)
+    rows = corpus(2) + [(3, "lone"), (None, "two words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).localCheckpoint()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(df, 3, 90).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    want = brute_components(corpus(2), 3, 90)
+    assert got == Counter([(k, *v) for k, v in want.items()] + [(3, 1, 3), (None, 1, None)])
+    ((plan, sets),) = plans
+    assert sets > 20
+    # Sets and the keys asked for are dealt once each; nothing below the step that makes sets is.
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert "Exchange" not in plan[plan.rindex("MapInArrow") :].split("Scan ExistingRDD")[0]
+
+
+def test_a_key_filter_misses_no_key(spark):
+    keys = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)
+    words = ngram_join.key_filter(spark.createDataFrame([(int(k),) for k in keys], "k long").repartition(4), 1 << 17)
+    assert ngram_join._passed(pa.array(keys), words, 1 << 17).to_numpy(zero_copy_only=False).all()
+    others = pa.array([None, *range(5000)], pa.int64())
+    assert not ngram_join._passed(others, words, 1 << 17)[0].as_py()
+    assert ngram_join._passed(others, words, 1 << 17).true_count < 100
+
+
 def test_join_of_odd_rows(spark):
     a = " ".join(f"w{i}" for i in range(40))
     rows = [(5, a), (5, a), (7, a + " end"), (None, a), (8, None)]
