@@ -27,7 +27,7 @@ texts are cut into words in pieces, and their sets used whole.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,11 +77,15 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64), pa.int64()))
 
 
-def shingled(docs: DataFrame, n: int, everything: bool) -> DataFrame:
-    """(doc_id, h, n, sig_a, sig_b, grams) for rows (doc_id, text); grams are all, or the smallest quarter; h is the text's hash."""
+def shingled(docs: DataFrame, n: int, everything: bool, wanted: Callable[[pa.Array], pa.Array] | None = None) -> DataFrame:
+    """(doc_id, h, n, sig_a, sig_b, grams) for rows (doc_id, text); grams are all, or the smallest quarter; h is the text's hash.
+
+    wanted tells of a batch's keys which rows to take.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunked(batches, "text"):
+        some = batches if wanted is None else (b.filter(wanted(b.column("doc_id"))) for b in batches)
+        for batch in chunked(some, "text"):
             gram, offsets = shingle_sets(batch.column("text"), n)
             sums = []
             for salt in (0x51ED270B35D89F1D, 0xC3A5C85C97CB3127):
@@ -133,15 +137,11 @@ def whole_sets(docs: DataFrame, likely: DataFrame, n: int) -> DataFrame:
     """
     size = FILTER_BITS
     shared = docs.sparkSession.sparkContext.broadcast(key_filter(likely.select("doc_id"), size))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(_passed(batch.column("doc_id"), shared.value, size))
-
     same = ["doc_id", "n", "sig_a", "sig_b"]
-    some = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+    # Told in the function that shingles: a task with two Python nodes holds two workers, and an executor keeps them all.
+    some = shingled(docs, n, True, lambda keys: _passed(keys, shared.value, size))
     # A set has one id, so rows of one key and set are told by the columns that the join has dealt them by.
-    return shingled(some, n, True).join(likely, same).dropDuplicates(same)
+    return some.join(likely, same).dropDuplicates(same)
 
 
 def need(x: int | np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:

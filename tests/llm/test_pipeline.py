@@ -8,6 +8,7 @@ import pytest
 pytest.importorskip("tokenizers")
 
 from llm_brute import brute_components, edits
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenframe.llm.queries import WORD_BPE, tokenizer
@@ -86,3 +87,22 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
         assert out.count() == 0
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns
+
+
+def python_nodes(node):
+    """Python nodes in the stage that this node of a plan is in, from it down, and the most in any stage."""
+    if node.nodeName().startswith("AdaptiveSparkPlan"):
+        node = node.executedPlan()
+    below = [python_nodes(node.children().apply(k)) for k in range(node.children().size())]
+    own = ("InArrow" in node.nodeName() or "Python" in node.nodeName()) + sum(n for n, _ in below)
+    return 0 if "Exchange" in node.nodeName() else own, max([own, *(n for _, n in below)])
+
+
+def test_no_task_of_near_duplicates_holds_two_python_workers(spark):
+    from lumenframe.llm import ngram_join
+
+    docs = spark.createDataFrame(corpus()[0], "doc_id long, text string")
+    likely = ngram_join.shingled(docs, 5, False).filter("n > 0").select(F.col("doc_id").alias("id"), "doc_id", "n", "sig_a", "sig_b").localCheckpoint()
+    out = ngram_join.whole_sets(docs, likely, 5)
+    assert out.count() == likely.count()
+    assert python_nodes(out._jdf.queryExecution().executedPlan())[1] == 1
