@@ -66,15 +66,42 @@ def overlaps(objects: DataFrame, px: DataFrame, width: float, how: str = "inner"
     return at.join(cut.hint("merge"), [*same, covers(width, F.col("_cos"), F.col("_sin"))], how).select("row_pos", *px.columns)
 
 
-def trail_pixels(objects: DataFrame, width: float, h: int, w: int) -> DataFrame:
-    """image_id, row_pos, r, c of all pixels of h x w images that lie under each object."""
+def in_reach(objects: DataFrame, width: float, h: int, w: int) -> DataFrame:
+    """Objects that reach into h x w images, with the rows _r0 to _r1 and columns _c0 to _c1 in reach and beta's _cos and _sin."""
     a = F.radians("beta")
     reach = lambda f: F.abs(f(a)) * F.col("trail_length") / 2 + width / 2 + 1e-6
-    span = lambda v, d, n: F.sequence(F.greatest(F.lit(0), F.ceil(v - d)).cast("int"), F.least(F.lit(n - 1), F.floor(v + d)).cast("int"))
+    low = lambda v, d: F.greatest(F.lit(0), F.ceil(v - d)).cast("int")
+    high = lambda v, d, n: F.least(F.lit(n - 1), F.floor(v + d)).cast("int")
     inside = lambda v, d, n: (F.ceil(v - d) <= n - 1) & (F.floor(v + d) >= 0) & (F.ceil(v - d) <= F.floor(v + d))
-    near = objects.filter(inside(F.col("y"), reach(F.sin), h) & inside(F.col("x"), reach(F.cos), w))
-    cells = near.withColumn("r", F.explode(span(F.col("y"), reach(F.sin), h))).withColumn("c", F.explode(span(F.col("x"), reach(F.cos), w)))
-    return cells.filter(covers(width)).select("image_id", "row_pos", "r", "c")
+    y, x, dy, dx = F.col("y"), F.col("x"), reach(F.sin), reach(F.cos)
+    near = objects.filter(inside(y, dy, h) & inside(x, dx, w))
+    return near.select("image_id", "row_pos", "x", "y", "trail_length", F.cos(a).alias("_cos"), F.sin(a).alias("_sin"), low(y, dy).alias("_r0"), high(y, dy, h).alias("_r1"), low(x, dx).alias("_c0"), high(x, dx, w).alias("_c1"))
+
+
+def pixels_of(near: DataFrame, width: float) -> DataFrame:
+    """image_id, row_pos, r, c of all pixels under objects of in_reach."""
+    cells = near.withColumn("r", F.explode(F.sequence("_r0", "_r1"))).withColumn("c", F.explode(F.sequence("_c0", "_c1")))
+    return cells.filter(covers(width, F.col("_cos"), F.col("_sin"))).select("image_id", "row_pos", "r", "c")
+
+
+def trail_pixels(objects: DataFrame, width: float, h: int, w: int) -> DataFrame:
+    """image_id, row_pos, r, c of all pixels of h x w images that lie under each object."""
+    return pixels_of(in_reach(objects, width, h, w), width)
+
+
+def covered_spans(near: DataFrame, spans: DataFrame, width: float) -> DataFrame:
+    """row_pos, src_pos, overlap: how many pixels of a source's spans (image_id, src_pos, y, x0, x1) are under an object of in_reach.
+
+    Joined by image and grid cell; a span is cut at the cells' edges, and only the pixels that both can have are tested.
+    """
+    cell = lambda v: F.floor(F.col(v) / CELL).cast("int")
+    cells = near.withColumn("cr", F.explode(F.sequence(cell("_r0"), cell("_r1")))).withColumn("cc", F.explode(F.sequence(cell("_c0"), cell("_c1"))))
+    parts = spans.select(F.col("image_id").alias("_image"), "src_pos", F.col("y").alias("r"), cell("y").alias("_cr"), "x0", "x1", F.explode(F.sequence(cell("x0"), cell("x1"))).alias("_cc"))
+    parts = parts.withColumn("x0", F.greatest("x0", F.col("_cc") * CELL)).withColumn("x1", F.least("x1", F.col("_cc") * CELL + CELL - 1))
+    same = (F.col("image_id") == F.col("_image")) & (F.col("cr") == F.col("_cr")) & (F.col("cc") == F.col("_cc"))
+    meet = F.col("r").between(F.col("_r0"), F.col("_r1")) & (F.col("x0") <= F.col("_c1")) & (F.col("x1") >= F.col("_c0"))
+    both = cells.join(parts.hint("merge"), same & meet).withColumn("c", F.explode(F.sequence(F.greatest("x0", "_c0"), F.least("x1", "_c1"))))
+    return both.filter(covers(width, F.col("_cos"), F.col("_sin"))).groupBy("row_pos", "src_pos").agg(F.count("*").alias("overlap"))
 
 
 def edges(objects: DataFrame, labelled: DataFrame, width: float) -> DataFrame:

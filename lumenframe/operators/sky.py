@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators import objects as O
+
 
 def separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
     """Angle on the sphere in degrees, by the haversine form."""
@@ -83,11 +85,43 @@ def footprint_hits(objects: DataFrame, truth_px: DataFrame, sources: DataFrame,
     """
     area = truth_px.groupBy("row_pos").agg(F.count("*").alias("_n"))
     shared = truth_px.join(footprint_pixels(sources).hint("merge"), ["image_id", "r", "c"]).groupBy("row_pos", "src_pos").agg(F.count("*").alias("overlap"))
+    return _first_of(objects, area, shared, fraction, least)
+
+
+def _first_of(objects: DataFrame, area: DataFrame, shared: DataFrame, fraction: float, least: int) -> DataFrame:
     need = F.greatest(F.lit(least), F.floor(F.col("_n") * fraction))
     first = shared.join(area.hint("merge"), "row_pos").filter(F.col("overlap") >= need).groupBy("row_pos").agg(F.min_by(F.struct("src_pos", "overlap"), "src_pos").alias("s"))
     return objects.join(first.hint("merge"), "row_pos", "left").select("row_pos", F.col("s").isNotNull().alias("stack_detection"), "s.src_pos", "s.overlap")
 
 
+def possible_firsts(sources: DataFrame) -> DataFrame:
+    """image_id, src_pos, y, x0, x1: the spans of the sources that can be the first to cover enough of an object.
+
+    Of sources with the same spans only the first can be, as all cover as much.  For the same reason a source of one span
+    can't be after one that starts at the same pixel and is as long or longer.
+    """
+    s = sources.filter("src_pos is not null").select("image_id", "src_pos", F.explode("spans").alias("s"))
+    s = s.select("src_pos", F.struct("image_id", "s.y", "s.x0", "s.x1").alias("s")).filter("s.x0 <= s.x1")
+    shapes = s.groupBy("src_pos").agg(F.sort_array(F.collect_list("s")).alias("shape")).groupBy("shape").agg(F.min("src_pos").alias("src_pos"))
+    head, single = F.col("shape")[0], F.size("shape") == 1
+    earlier = Window.partitionBy(head["image_id"], head["y"], head["x0"]).orderBy("src_pos").rowsBetween(Window.unboundedPreceding, -1)
+    longest = F.max(F.when(single, head["x1"])).over(earlier)
+    kept = shapes.withColumn("_longest", longest).filter(~single | F.col("_longest").isNull() | (head["x1"] > F.col("_longest")))
+    return kept.select("src_pos", F.explode("shape").alias("s")).select("s.image_id", "src_pos", "s.y", "s.x0", "s.x1")
+
+
+def trail_hits(objects: DataFrame, width: float, h: int, w: int, sources: DataFrame, fraction: float = 0.0, least: int = 1) -> DataFrame:
+    """footprint_hits() for objects that are trails of this width in h x w images.
+
+    Pixels are made and counted where an object's row is, and never shuffled; objects are dealt to several tasks for each
+    core before, as a small table that is read by one task has many pixels.
+    """
+    tasks = 4 * objects.sparkSession.sparkContext.defaultParallelism
+    near = O.in_reach(objects, width, h, w)
+    area = O.pixels_of(near.repartition(tasks, "row_pos"), width).groupBy("row_pos").agg(F.count("*").alias("_n"))
+    return _first_of(objects, area, O.covered_spans(near, possible_firsts(sources), width), fraction, least)
+
+
 def forbidden(mask_px: DataFrame, planes: list[int], labels: DataFrame) -> DataFrame:
     """image_id, r, c where one of the bit planes is set or a source lies."""
     bits = 0

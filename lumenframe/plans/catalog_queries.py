@@ -354,7 +354,7 @@ def trails(spark, d):
 
 @query("j05_footprint_match", f"WITH {CATALOG_SQL}, {SPANS}, {COVER_ALL}, ar AS (SELECT row_pos, count(*) AS area FROM gp GROUP BY 1), o AS (SELECT row_pos, src_pos, count(*) AS overlap FROM gp JOIN fpx USING (image_id, r, c) GROUP BY 1,2), f AS (SELECT row_pos, min(src_pos) AS src_pos FROM o JOIN ar USING (row_pos) WHERE overlap >= greatest(2, floor(0.02*area)) GROUP BY 1) SELECT cat.row_pos, f.src_pos IS NOT NULL AS stack_detection, f.src_pos, o.overlap FROM cat LEFT JOIN f ON f.row_pos=cat.row_pos LEFT JOIN o ON o.row_pos=f.row_pos AND o.src_pos=f.src_pos")
 def j05(spark, d):
-    return Y.footprint_hits(catalog(spark, d), trails(spark, d), sources(spark, d), 0.02, 2)
+    return Y.trail_hits(catalog(spark, d), 9.0, Z.SPARSE, Z.SPARSE, sources(spark, d), 0.02, 2)
 
 
 @query("f16_forbidden_pixels", f"WITH {SPARSE_SQL}, {SPANS} SELECT image_id, r, c FROM pxs WHERE ((r*31 + c) & 36) <> 0 UNION SELECT image_id, r, c FROM fpx")

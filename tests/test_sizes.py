@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe import catalog
 
@@ -116,3 +117,36 @@ def test_confusion_of_covered_pixels_is_that_of_marked_ones(spark):
     got = O.covered_confusion(cat, px, 3.0, 2, 0.5)
     assert got.columns == want.columns
     assert got.collect() == want.collect() == [(2, 2, 2, 2, 4, 1, 2)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_pixels_of_trails_are_not_shuffled_to_match_footprints(spark):
+    plan = catalog.QUERIES["j05_footprint_match"](spark, DATA)._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [line for line in plan if "Exchange hashpartitioning(" in line]
+    assert dealt and not [line for line in dealt if " c#" in line]
+
+
+def test_footprint_match_of_odd_parts_is_that_of_sql(spark, tmp_path):
+    odd = [(k, 1 + k % 50) for k in range(0, 24_000, 4)]
+    odd += [(100 * k, -4) for k in range(1, 40)] + [(8, 50), (8, 3), (None, 5), (12, None)]  # sizes without a footprint, equal keys, nulls
+    spark.createDataFrame(odd, "p_partkey long, p_size int").withColumn("p_retailprice", F.lit(900.0)).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    want = db.sql(catalog.ORACLES["j05_footprint_match"]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["j05_footprint_match"](spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_sources_left_out_are_never_first(spark):
+    from lumenframe.operators import objects as O
+    from lumenframe.operators import sky as Y
+
+    spans = lambda k: [(k * 7 % 40, k * 5 % 30, k * 5 % 30 + k * 11 % 9), (k * 7 % 40 + 1, 4, 4 + k % 13)][: 1 + (k % 3 == 0)]
+    src = spark.createDataFrame([(k % 2, k // 2, spans(k % 60)) for k in range(400)], "image_id long, src_pos long, spans array<struct<y: int, x0: int, x1: int>>")
+    cat = spark.createDataFrame([(k % 2, k, k * 13 % 44 - 2.0, k * 17 % 44 - 2.0, k * 29 % 180.0, k % 25 * 1.0) for k in range(200)], "image_id long, row_pos long, x double, y double, beta double, trail_length double")
+    assert Y.possible_firsts(src).select("src_pos").distinct().count() < 150
+    for least in (1, 3, 6):
+        want = Y.footprint_hits(cat, O.trail_pixels(cat, 5.0, 40, 40), src, 0.05, least).collect()
+        got = Y.trail_hits(cat, 5.0, 40, 40, src, 0.05, least).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+        assert any(r["src_pos"] is not None for r in want)
