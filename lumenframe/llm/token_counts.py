@@ -21,6 +21,7 @@ from __future__ import annotations
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -44,6 +45,8 @@ def sizes(tokens: dict[str, int]) -> dict[str, tuple[int, ...]]:
 
 #: The lengths where no longer token ends so.
 SHORT = (2, 1)
+#: Symbols of a piece whose prefixes are filled in from its end, a call inside a call; those of longer pieces go from its start.
+DEEP = 128
 
 
 class PrefixCounter:
@@ -82,10 +85,14 @@ class PrefixCounter:
         """For each prefix of a piece: its last token and its count, as the inner part of a longer piece."""
         last, count = [-1], [0]
         find, fits, lengths = self.inner.get, self.fits, self.inner_sizes.get
+        stable, size = self.stable, self.vocab.size
         for j in range(1, len(symbols) + 1):
             for n in lengths(symbols[j - 3 : j], SHORT) if j > 2 else SHORT:
                 i = j - n
-                if i >= 0 and (token := find(symbols[i:j])) is not None and fits(last[i], token):
+                if i < 0 or (token := find(symbols[i:j])) is None:
+                    continue
+                known = stable.young.get((last[i] + 1) * size + token)
+                if known or known is None and fits(last[i], token):
                     last.append(token)
                     count.append(count[i] + 1)
                     break
@@ -98,11 +105,43 @@ class PrefixCounter:
                 return count[i] + 1
         raise ValueError("the vocabulary lacks a byte")
 
+    def reached(self, symbols: str, j: int, last: list[int | None], count: list[int]) -> int:
+        """last_tokens() of one prefix; only prefixes that can come before one of its tokens are filled in."""
+        find, stable, size = self.inner.get, self.stable, self.vocab.size
+        for n in self.inner_sizes.get(symbols[j - 3 : j], SHORT) if j > 2 else SHORT:
+            i = j - n
+            if i < 0 or (token := find(symbols[i:j])) is None:
+                continue
+            if (left := last[i]) is None:
+                left = self.reached(symbols, i, last, count)
+            known = stable.young.get((left + 1) * size + token)
+            if known or known is None and self.fits(left, token):
+                last[j], count[j] = token, count[i] + 1
+                return token
+        raise ValueError("the vocabulary lacks a byte")
+
+    def total_of(self, symbols: str) -> int:
+        """The count of a whole piece, from the prefixes that its last token can follow."""
+        j = len(symbols)
+        if j > DEEP:
+            return self.ending(symbols, j, *self.last_tokens(symbols[:-1]))
+        last: list[int | None] = [-1] + [None] * j
+        count = [0] * (j + 1)
+        for n in self.final_sizes.get(symbols[-3:], SHORT) if j > 2 else SHORT:
+            i = j - n
+            if i < 0 or (token := self.final.get(symbols[i:])) is None:
+                continue
+            left = last[i]
+            if left is None:
+                left = self.reached(symbols, i, last, count)
+            if self.fits(left, token):
+                return count[i] + 1
+        raise ValueError("the vocabulary lacks a byte")
+
     def piece(self, piece: str) -> int:
         known = self.pieces.get(piece)
         if known is None:
-            symbols = "".join([self.vocab.byte_symbol[b] for b in piece.encode("utf-8")])
-            known = self.ending(symbols, len(symbols), *self.last_tokens(symbols[:-1]))
+            known = self.total_of("".join([self.vocab.byte_symbol[b] for b in piece.encode("utf-8")]))
             if len(piece) <= 64:
                 self.pieces.put(piece, known)
         return known
@@ -119,7 +158,8 @@ class PrefixCounter:
     def word(self, word: str) -> int:
         known = self.words.get(word)
         if known is None:
-            known = sum(self.piece(m[0]) for m in pieces_of(word))
+            # Letters alone are one piece.
+            known = self.piece(word) if word.isalpha() else sum([self.piece(m[0]) for m in pieces_of(word)])
             if len(word) <= 64:
                 self.words.put(word, known)
         return known
@@ -183,13 +223,19 @@ class PrefixCounter:
         return whole[: start + blank + fit]
 
 
+@lru_cache(maxsize=1)
+def counter_of(path: str) -> PrefixCounter:
+    """The counter of a Python worker, whose caches serve all tasks that the worker runs."""
+    return PrefixCounter(vocabulary(path))
+
+
 def prefix_table(df: DataFrame, path: str, text: str = "text", out: str = "prefix_tokens") -> DataFrame:
     """Adds array<int>: the exact count of the text up to the end of its first, second, ... word."""
     schema = _with_columns(df, {out: T.ArrayType(T.IntegerType())})
     keep = [f.name for f in schema.fields if f.name != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(vocabulary(path))
+        counter = counter_of(path)
         for batch in chunked(batches, text):
             tables = [counter.prefix_table(t) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [_lists(tables)], names=[*keep, out])
@@ -222,7 +268,7 @@ def truncate(df: DataFrame, path: str, budget: int, text: str = "text", out: str
     keep = [f.name for f in schema.fields if f.name != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(vocabulary(path))
+        counter = counter_of(path)
         for batch in chunked(batches, text):
             cut = [counter.longest_prefix(t, budget) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(cut, type=pa.string())], names=[*keep, out])

@@ -112,3 +112,20 @@ def test_words_within_a_budget(spark, library):
         got = {r["doc_id"]: r["w"] for r in table.select("doc_id", token_counts.words_within(F.col("prefix_tokens"), budget).alias("w")).collect()}
         words = ["one", "two", "three", "<|endoftext|>", "four", "incomprehensibilities"]
         assert got == {1: max(k for k in range(7) if length(library, " ".join(words[:k])) <= budget), 2: 0, 3: 0}
+
+
+def test_counts_from_the_end_are_those_of_all_prefixes(library):
+    import random
+
+    counter = token_counts.PrefixCounter(bpe.vocabulary(PATH))
+    draw = random.Random(5)
+    pieces = ["".join(draw.choices("etaoinshrdluß", k=n)) for n in [*range(1, 40), token_counts.DEEP, token_counts.DEEP + 1, 400]]
+    for piece in [*pieces, "a", "internationalisation", "été", "東京都"]:
+        symbols = "".join([counter.vocab.byte_symbol[b] for b in piece.encode("utf-8")])
+        assert counter.total_of(symbols) == counter.ending(symbols, len(symbols), *counter.last_tokens(symbols[:-1]))
+
+
+def test_letters_alone_are_one_piece_and_tasks_share_a_counter():
+    letters = [chr(c) * 2 for c in range(0x110000) if chr(c).isalpha()]
+    assert all([m[0] for m in bpe.pieces_of(w)] == [w] for w in letters)
+    assert token_counts.counter_of(PATH) is token_counts.counter_of(PATH)
