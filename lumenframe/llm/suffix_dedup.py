@@ -106,25 +106,31 @@ def suffix_array(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarr
     of = np.repeat(np.arange(len(strings)), sizes)
     n = len(data)
     left = ends[of] - np.arange(n)
+    symbol = np.cumsum(np.bincount(data, minlength=256) > 0)  # the bytes that occur, from 1
+    bits = int(symbol[-1]).bit_length()
+    covered, symbols, at = 63 // bits, symbol[data], np.arange(n)
     key = np.zeros(n, dtype=np.int64)
-    for k in range(7):
-        key <<= 9
+    for k in range(covered):
+        key <<= bits
         m = max(0, n - k)
-        key[:m] |= np.where(left[:m] > k, data[n - m :].astype(np.int64) + 1, 0)
-    tie = np.where(left < 7, of + 1, 0)
-    order = np.lexsort((tie, key))
-    covered = 7
+        key[:m] |= np.where(left[:m] > k, symbols[n - m :], 0)
+    order = np.argsort(key, kind="stable")  # equal ones that end stay in the order of their strings
+    alone = left[order] < covered
+    places = (n + len(strings)).bit_length()
     while True:
-        a, b = key[order], tie[order]
+        a = key[order]
         rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(np.append(False, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        rank[order] = np.cumsum(np.append(False, (a[1:] != a[:-1]) | alone[1:]))
         if covered >= depth or rank[order[-1]] == n - 1:
             return data, order, left, of
-        after = np.minimum(np.arange(n) + covered, n - 1)
-        second = np.where(left > covered, len(strings) + rank[after], np.where(left == covered, of, 0))
-        key, tie = rank * (n + len(strings) + 1) + second, np.zeros(n, dtype=np.int8)
+        times = 3 if 3 * places <= 63 else 2  # ranks that one key holds
+        key = rank
+        for far in range(covered, times * covered, covered):
+            after = rank[np.minimum(at + far, n - 1)]
+            key = key << places | np.where(left > far, len(strings) + after, np.where(left == far, of, 0))
         order = np.argsort(key)
-        covered *= 2
+        alone = np.zeros(n, dtype=bool)
+        covered *= times
 
 
 def repeats(strings: list[bytes], length: int, times: np.ndarray | None = None) -> np.ndarray:
@@ -146,15 +152,18 @@ def repeats(strings: list[bytes], length: int, times: np.ndarray | None = None)
     changes = np.flatnonzero(first[1:] != first[:-1]) + 1
     known[changes] = True
     lo, hi = np.append(0, changes), np.append(changes, n)
+    places = n.bit_length()
+    low = (1 << places) - 1
     for level in range(1, length):
         size = hi - lo
-        rows = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        of = np.repeat(np.arange(len(lo)), size)
+        past = np.cumsum(size)
+        rows = np.repeat(lo - past + size, size) + np.arange(past[-1])
         to = step[rows]
         keep = to >= 0
-        keys = np.sort(of[keep] * n + to[keep])
-        group, to = keys // n, keys % n
-        edge = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (first[to[1:]] != first[to[:-1]]))) if len(to) else np.zeros(0, np.int64)
+        keys = np.sort((np.repeat(np.arange(len(lo)) << places, size) | to)[keep])
+        to = keys & low
+        kind = keys >> places << 8 | first[to]  # the interval that was extended, and the byte before it
+        edge = np.flatnonzero(np.append(True, kind[1:] != kind[:-1])) if len(to) else np.zeros(0, np.int64)
         lo, hi = to[edge], to[np.append(edge[1:], len(to)) - 1] + 1 if len(to) else to[edge]
         if level == 1:  # the separators' own extensions
             last = np.sort(place[left == 1])

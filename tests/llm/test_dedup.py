@@ -260,3 +260,20 @@ def test_long_texts_in_pieces_give_the_same(monkeypatch):
     second = suffix_dedup.runs_of_chunk(data, offsets, 60)
     spread = lambda r: sorted((int(lo) + k, int(fp), int(left) - k) for fp, _, _, lo, span, left in zip(*r, strict=True) for k in range(int(span) + 1))
     assert spread(first) == spread(second)
+
+
+@pytest.mark.parametrize("alphabet", [b"a", b"ab", bytes(range(256))])
+def test_suffixes_are_sorted_by_a_few_ranks_at_a_time(alphabet, monkeypatch):
+    draw = np.random.default_rng(len(alphabet))
+    strings = [bytes(draw.choice(list(alphabet), size)) for size in (90, 1, 70, 33)]
+    strings += [strings[0][5:80], strings[2]]
+    sorts = []
+    monkeypatch.setattr(np, "argsort", lambda *a, f=np.argsort, **b: sorts.append(1) or f(*a, **b))
+    monkeypatch.setattr(np, "lexsort", lambda *a, f=np.lexsort, **b: sorts.append(2) or f(*a, **b))
+    data, order, left, of = suffix_dedup.suffix_array(strings, 60)
+    assert sum(sorts) <= 3
+    text = b"".join(strings)
+    ends = [(text[i : i + left[i]][:60], left[i] >= 60, of[i]) for i in order]
+    # A string's end is below all bytes, and ends are in the order of their strings.
+    assert [e[0] for e in ends] == sorted(e[0] for e in ends)
+    assert all(a[2] < b[2] for a, b in zip(ends, ends[1:], strict=False) if a[0] == b[0] and not a[1] and not b[1])
