@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators.loops import Follower
+
 
 class OutOfTime(Exception):
     """Raised in a row's work when its seconds are over."""
@@ -17,7 +19,8 @@ class OutOfTime(Exception):
 def guarded(df: DataFrame, key: str, work: Callable[[dict], float | None], seconds: float) -> DataFrame:
     """key, value, error: a row for each row of df; an error or `timeout` takes the place of an exception.
 
-    The work is Python by nature, one call a row; the alarm interrupts it after the given seconds.
+    The work is Python by nature, one call a row; the alarm interrupts it after the given seconds.  A row gets all of
+    them, unless it is in a loop that provably never ends, which is a timeout as soon as that is known.
     Rows are dealt by key to several tasks for each core, as a small table that is read by one task may hold hours of work.
     """
     tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
@@ -27,23 +30,27 @@ def guarded(df: DataFrame, key: str, work: Callable[[dict], float | None], secon
             raise OutOfTime
 
         before = signal.signal(signal.SIGALRM, ring)
+        follower = Follower(OutOfTime)
         try:
             for batch in batches:
                 values, errors = [], []
-                for row in batch.to_pylist():
-                    value, error = None, None
-                    try:
-                        signal.setitimer(signal.ITIMER_REAL, seconds)
+                with follower:
+                    for row in batch.to_pylist():
+                        value, error = None, None
                         try:
-                            value = work(row)
-                        finally:
-                            signal.setitimer(signal.ITIMER_REAL, 0)
-                    except OutOfTime:
-                        error = "timeout"
-                    except Exception as e:  # an attempt's failure is its result
-                        error = type(e).__name__
-                    values.append(value)
-                    errors.append(error)
+                            signal.setitimer(signal.ITIMER_REAL, seconds)
+                            try:
+                                follower.arm()
+                                value = work(row)
+                            finally:
+                                signal.setitimer(signal.ITIMER_REAL, 0)
+                                follower.disarm()
+                        except OutOfTime:
+                            error = "timeout"
+                        except Exception as e:  # an attempt's failure is its result
+                            error = type(e).__name__
+                        values.append(value)
+                        errors.append(error)
                 yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.array(values, pa.float64()), pa.array(errors, pa.string())], names=[key, "value", "error"])
         finally:
             signal.signal(signal.SIGALRM, before)

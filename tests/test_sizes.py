@@ -53,6 +53,104 @@ def test_guarded_rows_of_one_partition_go_to_several_tasks(spark):
     assert len({r["value"] for r in got}) > 4
 
 
+def test_rows_in_a_loop_that_provably_never_ends_do_not_wait(spark):
+    import time
+
+    from lumenframe.operators.tasks import guarded
+
+    def work(row):
+        x, y = 1, 0.0
+        while row["k"] % 3 == 0:
+            pass
+        while row["k"] % 3 == 1:
+            x, y = (x * 5 + 3) % 16, -y
+        return float(row["k"])
+
+    start = time.time()
+    got = {r["k"]: (r["value"], r["error"]) for r in guarded(spark.range(12).withColumnRenamed("id", "k"), "k", work, 60.0).collect()}
+    assert got == {k: (None, "timeout") if k % 3 < 2 else (float(k), None) for k in range(12)}
+    assert time.time() - start < 50
+
+
+def test_rows_that_are_only_slow_get_all_of_their_seconds(spark):
+    from lumenframe.operators.tasks import guarded
+
+    def work(row):
+        import os
+        import signal
+        import subprocess
+        import threading
+
+        class Count:
+            n = 0
+
+            def __eq__(self, other):
+                self.n += 1
+                return self.n > 300_000
+
+        k, x, n, seen, it, c = row["k"], 0, 0, [], iter(range(1_000_000)), Count()
+        if k == 0:
+            while x < 2_000_000:
+                x = x + 1
+        elif k == 1:
+            while len(seen) < 300_000:
+                seen += [0]
+        elif k == 2:  # the condition's effects are in C and in an object
+            while 999_999 not in it:
+                pass
+            while c != 0:
+                pass
+        elif k == 3:
+            threading.Timer(0.3, lambda: row.update(on=True)).start()
+            while not row.get("on"):
+                pass
+            row["on"] = False
+            threading.Timer(0.3, lambda: row.update(on=True)).start()
+            while row["on"] == 0:
+                pass
+        elif k == 4:
+            row["on"] = False
+            before = signal.signal(signal.SIGUSR1, lambda *_: row.update(on=True))
+            child = subprocess.Popen(["sh", "-c", f"sleep 0.3; kill -USR1 {os.getpid()}"])
+            while row["on"] == 0:
+                pass
+            child.wait()
+            signal.signal(signal.SIGUSR1, before)
+        elif k == 5:  # each state is met twice, by a value that the state has
+            while n < 2:
+                x = (x + 1) % 50_000
+                n = n + (x == 0)
+        elif k == 6:
+            while seen is not it:
+                seen, n = seen if n < 300_000 else it, n + 1
+        return float(k)
+
+    got = {r["k"]: (r["value"], r["error"]) for r in guarded(spark.range(7).withColumnRenamed("id", "k"), "k", work, 60.0).collect()}
+    assert got == {k: (float(k), None) for k in range(7)}
+
+
+def test_a_loop_that_changes_or_calls_something_is_left_to_the_alarm(spark):
+    from lumenframe.operators.tasks import guarded
+
+    def work(row):
+        import time
+
+        n = 0
+        while row["k"] == 0:
+            n += 1
+        while row["k"] == 1:
+            time.sleep(0.01)
+        while row["k"] == 2:
+            try:
+                n = 1 // 0
+            except ZeroDivisionError:
+                pass
+        return time.monotonic()
+
+    got = {r["k"]: r["error"] for r in guarded(spark.range(4).withColumnRenamed("id", "k"), "k", work, 0.5).collect()}
+    assert got == {0: "timeout", 1: "timeout", 2: "timeout", 3: None}
+
+
 def test_parts_of_a_template_are_never_rows(spark):
     from lumenframe.operators.raster import trail_template
 
